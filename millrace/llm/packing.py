@@ -148,11 +148,21 @@ class Encoder:
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each worker process, so that what it has learned serves the tasks that follow."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int, end: int, key: str, text: str, batch_chars: int = 1 << 20) -> DataFrame:
     """(key, piece, start, length, ids_crc32) of every document; the ids of a document end with `end`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = Encoder(tokenizer), np.array([end], "<u4").tobytes()
+        encoder, tail = encoder_of(tokenizer), np.array([end], "<u4").tobytes()
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             sizes = np.cumsum([len(t) for t in (x or "" for x in texts.to_pylist())])
