@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, ecoc, packing, ring
+from . import ann, ecoc, jaccard, packing, ppm, ring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op1_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(x, x.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
+
+
 def op3_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ring.shard_rows(table(spark, sf_dir, "documents"), shards=24, load_factor=1.0)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -43,8 +47,12 @@ def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op6_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_components(table(spark, sf_dir, "documents"), n=3, threshold=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_anisotropic_search, op3_bounded_ring, op4_ecoc_language, op5_best_two_fit)
+    for f in (op1_anisotropic_search, op2_ppm_score, op3_bounded_ring, op4_ecoc_language, op5_best_two_fit, op6_token_group_jaccard)
 }
 ORACLES: dict[str, str] = {}
