@@ -75,14 +75,14 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 21) -> Ite
         lo = hi
 
 
-def words(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """Hashes of the lower-cased words of a run of texts, and where each text's words begin.
 
-    Returns (hashes, word bounds by text, starts in bytes). A word is a maximal run of bytes that are no separators.
+    Returns (hashes, word bounds by text, (starts, ends) in bytes). A word is a maximal run of bytes that are no separators.
     """
     n = len(buf)
     if not n:
-        return np.zeros(0, U64), np.zeros(len(bounds), np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(len(bounds), np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
     low = LOWER[buf]
     word = ~SPACE[buf]
     edge = np.zeros(n + 1, bool)
@@ -99,7 +99,7 @@ def words(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     total[0] = 0
     np.cumsum(_BYTE[low] * up, out=total[1:])
     h = fmix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
-    return h, np.searchsorted(starts, bounds).astype(np.int64), starts
+    return h, np.searchsorted(starts, bounds).astype(np.int64), (starts, ends)
 
 
 def shingle_sets(hashes: np.ndarray, word_bounds: np.ndarray, n: int) -> list[np.ndarray]:
@@ -175,20 +175,27 @@ class Table:
 
     EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
-    def __init__(self, keys: np.ndarray) -> None:
-        keys = np.asarray(keys, U64)
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
-        size = 1 << self.bits
-        self.slots = np.full(size, self.EMPTY, U64)
-        self.index = np.full(size, -1, np.int32)
-        left = np.arange(len(keys), dtype=np.int32)
-        at = self._home(keys)
+    def __init__(self, keys: np.ndarray | None = None) -> None:
+        self.keys = np.zeros(0, U64)
+        self.bits = 0
+        self.add(np.zeros(0, U64) if keys is None else np.asarray(keys, U64))
+
+    def add(self, keys: np.ndarray) -> None:
+        """Put in further distinct keys, which get the next indices."""
+        first, self.keys = len(self.keys), np.concatenate((self.keys, keys))
+        bits = max(4, int(np.ceil(np.log2(max(1, len(self.keys)) * 2.5))))
+        if bits > self.bits:
+            self.bits, first = bits, 0
+            self.slots = np.full(1 << bits, self.EMPTY, U64)
+            self.index = np.full(1 << bits, -1, np.int32)
+        left = np.arange(first, len(self.keys), dtype=np.int32)
+        at = self._home(self.keys[first:])
         while len(left):
             free = self.index[at] < 0
             self.index[at[free]] = left[free]
             lost = self.index[at] != left
-            self.slots[at[~lost]] = keys[left[~lost]]
-            left, at = left[lost], (at[lost] + 1) & (size - 1)
+            self.slots[at[~lost]] = self.keys[left[~lost]]
+            left, at = left[lost], (at[lost] + 1) & (len(self.slots) - 1)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * U64(_BASE)) >> U64(64 - self.bits)).astype(np.int64)

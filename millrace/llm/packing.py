@@ -11,16 +11,17 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import bucket, only, settle
+from .kernel import Table, text_slices, words
 
 
 def best_two(alive: np.ndarray, counts: np.ndarray, gap: int, more_than: int) -> tuple[int, int] | None:
@@ -86,66 +87,89 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
 
 
 #: The pre-tokenizer's pattern in the file of the tokenizer, over lower-cased letters below U+0180. Texts
-#: with other characters, with U+001C..U+001F or U+0085, or with "<|" (special tokens) are left to the tokenizer itself.
-_OTHER = re.compile("[^\t\n\r\x0b\x0c -~¡-ſ]|<\\|")
+#: with other characters, with U+001C..U+001F or U+0085, U+0130, or "<|" (special tokens) are left to the tokenizer itself.
+_OTHER = "[^\t\n\r\x0b\x0c -~¡-įı-ſ]|<\\|"
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ſ0-9²³¹¼-¾]+")
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes, equal to the tokenizer's own.
+    """Token ids of texts as flat arrays, equal to the tokenizer's own.
 
-    The tokenizer never looks across white space, nor across the pieces of its pre-tokenizer, so the ids of a text are
-    those of its white-space runs, and those of a run are those of its pieces. Both repeat; each process keeps the ids
-    of at most `keep` runs and `keep` pieces. Pieces not kept go to the tokenizer together, as one text; in its
-    vocabulary a token that ends a piece is marked as such, so the ids can be told apart again.
+    The tokenizer never looks across white space, nor across the pieces of its pre-tokenizer. So the ids of a text are
+    those of its white-space runs, and those of a run are those of its pieces. Runs repeat: a process keeps the ids of
+    at most `keep` runs in one array behind a hash table (keys are 64-bit hashes), and looks up whole batches. New
+    pieces go to the tokenizer together, as one text; in its vocabulary a token that ends a piece is marked as such, so
+    the ids can be told apart again.
     """
 
-    def __init__(self, path: str, keep: int = 250_000) -> None:
+    def __init__(self, path: str, keep: int = 1_500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.runs, self.pieces = Tokenizer.from_file(path), keep, {}, {}
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
 
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def forget(self) -> None:
+        self.table, self.pieces = Table(), {}
+        self.pool, self.edges = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64)
 
-    def learn(self, runs: list[str]) -> None:
+    def raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def learn(self, hashes: np.ndarray, runs: list[str]) -> None:
         split = [_PIECE.findall(r) for r in runs]
         pieces = self.pieces
         new = list({x for r in split for x in r if x not in pieces})
-        if len(pieces) + len(new) > self.keep:
+        if len(pieces) + len(new) > 300_000:
             pieces.clear()
             new = list({x for r in split for x in r})
         if new:
             ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             whole = ids.tobytes()
-            pieces.update(zip(new, (whole[a:b] for a, b in zip([0, *(4 * ends[:-1]).tolist()], (4 * ends).tolist())), strict=True))
-        self.runs.update(zip(runs, (b"".join([pieces[x] for x in r]) for r in split)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split, odd = {}, []
-        for i, t in enumerate(texts):
-            if _OTHER.search(t) or not unicodedata.is_normalized("NFC", t):
-                odd.append(i)
-            else:
-                split[i] = t.lower().split()
-        for i, ids in zip(odd, self.raw([texts[i] for i in odd])):
-            out[i] = ids
-        known = self.runs
-        missing = list(set().union(*split.values()).difference(known)) if split else []
-        if len(known) + len(missing) > self.keep:
-            known.clear()
-            missing = list(set().union(*split.values()))
-        if missing:
-            self.learn(missing)
-        for i, r in split.items():
-            out[i] = b"".join([known[x] for x in r])
-        return out
+            pieces.update(zip(new, (whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())), strict=True))
+        found = [b"".join([pieces[x] for x in r]) for r in split]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        n, used = len(self.table.keys), int(self.edges[len(self.table.keys)])
+        self.table.add(hashes)
+        while used + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        while n + len(runs) + 1 > len(self.edges):
+            self.edges = np.concatenate((self.edges, np.zeros_like(self.edges)))
+        self.pool[used : used + len(flat)] = flat
+        self.edges[n + 1 : n + len(runs) + 1] = used + np.cumsum([len(f) // 4 for f in found])
+
+    def encode(self, texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, end row, ids, bounds of the rows in them), for runs of rows."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, _OTHER).to_numpy(zero_copy_only=False)  # no other text changes by NFC
+        low = pc.utf8_lower(pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts))
+        for lo, hi, buf, bounds in text_slices(low, limit):
+            h, by, (starts, ends) = words(buf, bounds)
+            at = self.table.find(h)
+            if (at < 0).any():
+                if len(self.table.keys) > self.keep:
+                    self.forget()
+                    at = np.full(len(h), -1, np.int32)
+                miss = np.flatnonzero(at < 0)
+                new, first = np.unique(h[miss], return_index=True)
+                data = buf.tobytes()
+                self.learn(new, [data[a:b].decode() for a, b in zip(starts[miss[first]].tolist(), ends[miss[first]].tolist())])
+                at[miss] = self.table.find(h[miss])
+            n = self.edges[at + 1] - self.edges[at]
+            after = np.concatenate(([0], np.cumsum(n)))
+            ids = self.pool[np.repeat(self.edges[at] - after[:-1], n) + np.arange(after[-1])]
+            cut = after[by]
+            strange = np.flatnonzero(odd[lo:hi])
+            if len(strange):
+                parts = np.split(ids, cut[1:-1])
+                for k, own in zip(strange.tolist(), self.raw(texts.take(pa.array(lo + strange)).to_pylist())):
+                    parts[k] = own
+                ids, cut = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+            yield lo, hi, ids, cut
 
 
 _encoders: dict[str, Encoder] = {}
@@ -158,24 +182,19 @@ def encoder_of(path: str) -> Encoder:
     return _encoders[path]
 
 
-def tokenised(docs: DataFrame, tokenizer: str, capacity: int, end: int, key: str, text: str, batch_chars: int = 1 << 20) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, capacity: int, end: int, key: str, text: str) -> DataFrame:
     """(key, piece, start, length, ids_crc32) of every document; the ids of a document end with `end`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tail = encoder_of(tokenizer), np.array([end], "<u4").tobytes()
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            sizes = np.cumsum([len(t) for t in (x or "" for x in texts.to_pylist())])
-            lo = 0
-            while lo < len(texts):
-                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + batch_chars, "right")))
-                rows = []
-                for i, ids in enumerate(encoder.encode([x or "" for x in texts.slice(lo, hi - lo).to_pylist()]), lo):
-                    ids += tail
-                    rows += [(i, p, s // 4, min(len(ids) - s, 4 * capacity) // 4, zlib.crc32(ids[s : s + 4 * capacity])) for p, s in enumerate(range(0, len(ids), 4 * capacity))]
+            for lo, hi, ids, cut in encoder.encode(batch.column(1)):
+                data, rows = ids.tobytes(), []
+                for i, (a, b) in enumerate(zip((4 * cut[:-1]).tolist(), (4 * cut[1:]).tolist()), lo):
+                    own = data[a:b] + tail
+                    rows += [(i, p, s // 4, min(len(own) - s, 4 * capacity) // 4, zlib.crc32(own[s : s + 4 * capacity])) for p, s in enumerate(range(0, len(own), 4 * capacity))]
                 at, *rest = (np.array(c, np.int64) for c in zip(*rows))
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(rest[0].astype(np.int32)), *map(pa.array, rest[1:])], ["_key", "piece", "start", "length", "ids_crc32"])
-                lo = hi
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(rest[0].astype(np.int32)), *map(pa.array, rest[1:])], ["_key", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.dtypes)[key]
     return docs.select(F.col(key).alias("_key"), text).mapInArrow(run, f"_key {kind}, piece int, start long, length long, ids_crc32 long")
