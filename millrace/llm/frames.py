@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +82,23 @@ def components(edges: DataFrame) -> DataFrame:
         now = settle(small.union(least.select("a", F.col("m").alias("b"))).distinct())
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+
+
+def most_frequent(counts: DataFrame, most: int) -> tuple:
+    """The keys and counts of rows (k, c) with the highest counts, at most `most`, highest first, as numpy arrays.
+
+    The cut is made between classes of counts (sixteen to a power of two), whose sizes are all that the driver sees
+    first; so fewer than `most` may come back, and none if one class alone is larger.
+    """
+    scale = F.floor(F.log2("c") * 16)
+    sizes = counts.groupBy(scale.alias("s")).agg(F.count("*").alias("n")).collect()
+    cut, total = float("inf"), 0
+    for s, n in sorted(((r["s"], r["n"]) for r in sizes), reverse=True):
+        total += n
+        if total > most:
+            break
+        cut = s
+    rows = counts.where(scale >= F.lit(cut)).select("k", "c").toArrow()
+    k, c = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    by = np.lexsort((k, -c))
+    return k[by], c[by]

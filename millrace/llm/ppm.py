@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import settle
+from .frames import most_frequent, settle
 from .kernel import LOWER, U64, Counter, Table, digest, distinct_counts, list_column, signed, text_slices, words
 
 ORDER = 5
@@ -162,16 +162,16 @@ def score_documents(docs: DataFrame, train: Column, hot_words: int = 1 << 18, pa
     n_grams = facts[0]["n"] if 0 in facts else 0
     parts = max(1, -(-n_grams // part_grams))
     word_counts = counts.where("kind = 1").select("k", "c")
-    hot = word_counts.orderBy(F.desc("c"), "k").limit(hot_words).toPandas()
+    hot = most_frequent(word_counts, hot_words)
     part = F.shiftrightunsigned(F.shiftrightunsigned("k", 8).bitwiseAND(F.lit(0xFFFF)) * F.lit(SPREAD), 7) % parts
     gram_counts = counts.where("kind = 0").select("k", "c", part.alias("part"))
-    low = gram_counts.groupBy(F.col("k").bitwiseAND(F.lit(0xFFFF)).alias("k")).agg(F.sum("c").alias("c")).toPandas()  # 65,536 rows at most
+    low = gram_counts.groupBy(F.col("k").bitwiseAND(F.lit(0xFFFF)).alias("k")).agg(F.sum("c").alias("c")).toArrow()  # 65,536 rows at most
     floor = np.log10(0.1 / (total + 0.1 * (kinds + 1)))
-    base = spark.sparkContext.broadcast((hot["k"].to_numpy(np.int64).view(U64), hot["c"].to_numpy(np.int64), total, kinds))
+    base = spark.sparkContext.broadcast((hot[0].view(U64), hot[1], total, kinds))
 
     def part_model(part: int):
-        mine = gram_counts.where(F.col("part") == part).select("k", "c").toPandas()
-        return spark.sparkContext.broadcast(tuple(f[c].to_numpy(np.int64).view(kind) for f in (mine, low) for c, kind in (("k", U64), ("c", np.int64))))
+        mine = gram_counts.where(F.col("part") == part).select("k", "c").toArrow()
+        return spark.sparkContext.broadcast(tuple(f[c].to_numpy().view(kind) for f in (mine, low) for c, kind in (("k", U64), ("c", np.int64))))
 
     def part_scores(model: Model, part: int, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         codes, by = grams(buf, bounds)
