@@ -47,10 +47,14 @@ def features(buf: np.ndarray, bounds: np.ndarray, word_dims: int, byte_dims: int
 
 
 class Model:
-    """Weights and ordered thresholds, fitted by Adam on the likelihood of the grades."""
+    """Weights and ordered thresholds, fitted by Adam on the likelihood of the grades. x is scaled in place."""
 
-    def __init__(self, x: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 300, decay: float = 2e-5) -> None:
+    def __init__(self, x: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 1000, decay: float = 3e-6) -> None:
         n, dims = x.shape
+        # rare features count for more: each is divided by the root of its deviation (the constant is left alone)
+        self.scale = (0.1 / np.sqrt(np.maximum(x.std(0), 1e-4))).astype(np.float32)
+        self.scale[-1] = 1
+        x *= self.scale
         self.w = np.zeros(dims, np.float32)
         above = np.stack([(grade > k).astype(np.float32) for k in range(grades - 1)], axis=1)
         start = np.clip(above.mean(0), 0.01, 0.99)
@@ -73,7 +77,7 @@ class Model:
 
     def tails(self, x: np.ndarray) -> np.ndarray:
         """P(grade > k) for each text and threshold."""
-        f = (x @ self.w).astype(np.float64)
+        f = (x @ (self.w * self.scale)).astype(np.float64)
         return 1 / (1 + np.exp(-np.clip(f[:, None] - self.cuts, -30, 30)))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, ecoc, jaccard, packing, ppm, ring
+from . import ann, bm25, ecoc, jaccard, lines, mixing, ordinal, packing, ppm, ring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +51,35 @@ def op6_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_components(table(spark, sf_dir, "documents"), n=3, threshold=90)
 
 
+def op7_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where(F.col("doc_id") % 100 == 0), k=10)
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded ratings from labels: 0 poor, 1 sound but toxic, 2 sound."""
+    labels = table(spark, sf_dir, "labels")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    return labels.select("doc_id", grade.alias("grade"))
+
+
+def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = ordinal.grade_documents(table(spark, sf_dir, "documents"), ratings(spark, sf_dir), grades=3)
+    return graded.select("doc_id", "expected_grade", "tail", ordinal.accept().alias("selected"))
+
+
+def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "source", "block", "release", "deadline", "slot", "position")
+
+
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_groups(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "line_no", F.col("first_key").alias("first_doc_id"), "first_line_no", "keep")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_anisotropic_search, op2_ppm_score, op3_bounded_ring, op4_ecoc_language, op5_best_two_fit, op6_token_group_jaccard)
+    for f in (op1_anisotropic_search, op2_ppm_score, op3_bounded_ring, op4_ecoc_language, op5_best_two_fit, op6_token_group_jaccard, op7_block_max_wand, op8_ordinal_quality, op9_pfair_mix, op10_fuzzy_lines)
 }
 ORACLES: dict[str, str] = {}
