@@ -183,7 +183,7 @@ class Table:
     def add(self, keys: np.ndarray) -> None:
         """Put in further distinct keys, which get the next indices."""
         first, self.keys = len(self.keys), np.concatenate((self.keys, keys))
-        bits = max(4, int(np.ceil(np.log2(max(1, len(self.keys)) * 2.5))))
+        bits = max(4, int(np.ceil(np.log2(max(1, len(self.keys)) * 1.6))))
         if bits > self.bits:
             self.bits, first = bits, 0
             self.slots = np.full(1 << bits, self.EMPTY, U64)

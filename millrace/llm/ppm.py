@@ -84,13 +84,13 @@ class Level:
         context = self.grams >> U64(8)
         at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
         self.contexts = context[at]
-        self.node = np.repeat(np.arange(len(at)), np.diff(np.concatenate((at, [len(context)]))))
-        self.total = np.bincount(self.node, self.c, len(at))
-        self.kinds = np.bincount(self.node, minlength=len(at)).astype(float)
-        self.order, self.out = order, np.zeros(len(at))
-        if below is not None and len(self.grams):
+        self.kinds = np.diff(np.concatenate((at, [len(context)]))).astype(float)
+        self.order, self.out, self.total = order, np.zeros(len(at)), np.zeros(len(at))
+        if len(at):
+            self.total = np.add.reduceat(self.c, at).astype(float)
+        if below is not None and len(at):
             mass = below.c[np.searchsorted(below.grams, self.grams & U64((1 << (8 * order)) - 1))]
-            self.out = np.bincount(self.node, mass, len(at))
+            self.out = np.add.reduceat(mass, at).astype(float)
 
     def find(self, keys: np.ndarray, among: np.ndarray) -> np.ndarray:
         if not len(among):
@@ -109,7 +109,7 @@ class Model:
             self.levels.append(Level(grams, counts, order, self.levels[-1]))
         top = self.levels[-1]
         self.table = Table(top.grams)
-        self.seen = np.log10((top.c - 0.5) / top.total[top.node]) if len(top.grams) else np.zeros(0)
+        self.seen = np.log10((top.c - 0.5) / np.repeat(top.total, top.kinds.astype(np.int64))) if len(top.grams) else np.zeros(0)
 
     def score(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of the last symbol of each gram."""
@@ -141,6 +141,31 @@ class Model:
         return out
 
 
+class Part:
+    """What a model part is made of, as it is broadcast; a worker makes the model once and then drops the counts."""
+
+    def __init__(self, *counts: np.ndarray) -> None:
+        self.counts, self.made = counts, None
+
+    def model(self) -> Model:
+        if self.made is None:
+            self.made, self.counts = Model(*self.counts), None
+        return self.made
+
+
+class Unigrams:
+    """The most frequent words, as they are broadcast, with the table that a worker makes of them once."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, kinds: int) -> None:
+        self.keys, self.counts, self.total, self.kinds, self.made = keys, counts, total, kinds, None
+
+    def table(self) -> tuple[Table, np.ndarray]:
+        if self.made is None:
+            value = np.log10((self.counts + 0.1) / (self.total + 0.1 * (self.kinds + 1)))
+            self.made = Table(self.keys), np.concatenate((value, [0.0]))
+        return self.made
+
+
 def part_of(codes: np.ndarray, parts: int) -> np.ndarray:
     return (((codes >> U64(8)) & U64(0xFFFF)) * U64(SPREAD) >> U64(7)) % U64(parts)
 
@@ -167,11 +192,11 @@ def score_documents(docs: DataFrame, train: Column, hot_words: int = 1 << 18, pa
     gram_counts = counts.where("kind = 0").select("k", "c", part.alias("part"))
     low = gram_counts.groupBy(F.col("k").bitwiseAND(F.lit(0xFFFF)).alias("k")).agg(F.sum("c").alias("c")).toArrow()  # 65,536 rows at most
     floor = np.log10(0.1 / (total + 0.1 * (kinds + 1)))
-    base = spark.sparkContext.broadcast((hot[0].view(U64), hot[1], total, kinds))
+    base = spark.sparkContext.broadcast(Unigrams(hot[0].view(U64), hot[1], total, kinds))
 
     def part_model(part: int):
         mine = gram_counts.where(F.col("part") == part).select("k", "c").toArrow()
-        return spark.sparkContext.broadcast(tuple(f[c].to_numpy().view(kind) for f in (mine, low) for c, kind in (("k", U64), ("c", np.int64))))
+        return spark.sparkContext.broadcast(Part(*(f[c].to_numpy().view(kind) for f in (mine, low) for c, kind in (("k", U64), ("c", np.int64)))))
 
     def part_scores(model: Model, part: int, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         codes, by = grams(buf, bounds)
@@ -187,9 +212,7 @@ def score_documents(docs: DataFrame, train: Column, hot_words: int = 1 << 18, pa
     first = part_model(0)
 
     def main_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, c, total, kinds = base.value
-        table, model = Table(keys), Model(*first.value)
-        value = np.concatenate((np.log10((c + 0.1) / (total + 0.1 * (kinds + 1))), [0.0]))
+        (table, value), model = base.value.table(), first.value.model()
         end = table.find(np.array([END_WORD], U64))[0]
         for batch in batches:
             for lo, hi, buf, bounds in text_slices(batch.column(2)):
@@ -222,7 +245,7 @@ def score_documents(docs: DataFrame, train: Column, hot_words: int = 1 << 18, pa
         shared = part_model(number)
 
         def part_pass(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
-            model = Model(*shared.value)
+            model = shared.value.model()
             for batch in batches:
                 for lo, hi, buf, bounds in text_slices(batch.column(2)):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), digests(buf, bounds), pa.array(part_scores(model, number, buf, bounds))], ["_key", "sign", "more"])
