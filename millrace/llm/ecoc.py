@@ -115,11 +115,15 @@ def identify(docs: DataFrame, train: Column, dims: int = 2048, sample: int = 409
                     x = profiles(buf[cut[0] : cut[-1]], cut - cut[0], dims).astype(np.float16)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + a, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    fit = rows.mapInArrow(profile, "lang string, x binary").toPandas()
+    # the limit only cuts where docs repeat a chosen key
+    fit = rows.mapInArrow(profile, "lang string, x binary").limit(2 * sample).toArrow()
     model = None
     if len(fit):
-        fit = fit.sort_values(["lang", "x"]).head(4 * sample)
-        model = Model(np.stack([np.frombuffer(b, np.float16) for b in fit["x"]]).astype(np.float32), fit["lang"].tolist())
+        x = np.empty((len(fit), dims), np.float32)
+        for i, b in enumerate(fit.column(1)):
+            x[i] = np.frombuffer(b.as_buffer(), np.float16)
+        model = Model(x, fit.column(0).to_pylist())
+        del fit, x
     shared = spark.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,7 +52,8 @@ class Model:
     def __init__(self, x: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 1000, decay: float = 3e-6) -> None:
         n, dims = x.shape
         # rare features count for more: each is divided by the root of its deviation (the constant is left alone)
-        self.scale = (0.1 / np.sqrt(np.maximum(x.std(0), 1e-4))).astype(np.float32)
+        spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / n - x.mean(0) ** 2, 0))
+        self.scale = (0.1 / np.sqrt(np.maximum(spread, 1e-4))).astype(np.float32)
         self.scale[-1] = 1
         x *= self.scale
         self.w = np.zeros(dims, np.float32)
@@ -81,7 +82,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(f[:, None] - self.cuts, -30, 30)))
 
 
-def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = 6144, word_dims: int = 4096, byte_dims: int = 2048, key: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:
+def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = 4096, word_dims: int = 4096, byte_dims: int = 2048, key: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:
     """Add expected_grade and tail (the probability of the highest grade) to every row of docs.
 
     ratings has rows (key, grade) with grades 0..grades-1; nulls and others are left out, and a key rated more than once
@@ -105,14 +106,17 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, sample: in
             for at, n, x in cuts(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["_grade", "x"])
 
-    fit = known.mapInArrow(measure, "_grade int, x binary").toPandas()
+    # the limit only cuts where docs repeat a rated key
+    fit = known.mapInArrow(measure, "_grade int, x binary").limit(2 * sample).toArrow()
     model = None
     if len(fit):
-        fit = fit.sort_values(["_grade", "x"]).head(2 * sample)
         x = np.empty((len(fit), word_dims + byte_dims + 2), np.float32)
-        for i, b in enumerate(fit.pop("x")):
-            x[i] = np.frombuffer(b, np.float16)
-        model = Model(x, fit["_grade"].to_numpy(), grades)
+        grade_of = fit.column(0).to_numpy()
+        for i, b in enumerate(fit.column(1)):
+            x[i] = np.frombuffer(b.as_buffer(), np.float16)
+        del fit
+        model = Model(x, grade_of, grades)
+        del x
     shared = spark.sparkContext.broadcast(model)
     names = docs.columns
     place = names.index(text)
