@@ -147,7 +147,7 @@ def test_heading_chunks(spark):
     lines = spark.createDataFrame(rows, "page int, line_no int, text string, top double, x0 double, size double, col string, is_header boolean").withColumn("range_id", F.lit(1))
     got = L.heading_chunks(lines).collect()
     assert [(r["topic"], r["text"].split("\n")[0]) for r in got] == [("Long Title", "Long Title")]
-    assert [r["title"] for r in L.titled_chunks(lines.withColumn("size", F.col("size") + 6)).collect()] == ["Long Title"]
+    assert [r["title"] for r in L.titled_chunks(lines.withColumn("size", F.when(F.col("size") >= 12, 18.0).otherwise(9.0))).collect()] == ["Long Title"]
 
 
 def test_replacing_writes(spark, tmp_path):
