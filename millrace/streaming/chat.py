@@ -6,21 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def hourly(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
+def marked(events: DataFrame, late: str | None) -> DataFrame:
+    """Events with a watermark; None leaves one that is set already."""
+    return events.withWatermark("ts", late) if late else events
+
+
+def hourly(events: DataFrame, late: str | None = "10 minutes", width: str = "1 hour") -> DataFrame:
     """(start, event_type, n) of each window; rows later than `late` are left out when streaming."""
-    counted = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+    counted = marked(events, late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
     return counted.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "10 minutes") -> DataFrame:
     """(user_id, start, end, n) of each user's sessions."""
-    counted = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    counted = marked(events, late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return counted.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def once(events: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:
+def once(events: DataFrame, key: str = "event_id", late: str | None = "10 minutes") -> DataFrame:
     """Each event once, as far as repeats come within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    return marked(events, late).dropDuplicatesWithinWatermark([key])
 
 
 def append_log(answers: DataFrame, path: str, checkpoint: str):

@@ -179,7 +179,7 @@ def test_streams(spark, tmp_path):
     rows = [(i, datetime.datetime(2026, 1, 1, i // 4, 10 * (i % 4)), i % 2, "chat") for i in range(12)]
     events = spark.createDataFrame([*rows, rows[0]], "event_id long, ts timestamp, user_id int, event_type string")
     events.write.parquet(str(tmp_path / "in"))
-    stream = chat.hourly(chat.once(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))), "0 seconds")
+    stream = chat.hourly(chat.once(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))), None)
     q = stream.writeStream.format("memory").queryName("hours").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     got = {r["start"].hour: r["n"] for r in spark.table("hours").collect()}
