@@ -73,6 +73,9 @@ def components(edges: DataFrame) -> DataFrame:
     two sums a round. No edges give no rows.
     """
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    # few edges need few tasks: one for each 100,000, as many as there are partitions at most
+    tasks = min(partitions(edges.sparkSession), 1 + now.count() // 100_000)
+    now = now.coalesce(tasks)
     seen = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
@@ -84,7 +87,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = settle(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        now = settle(small.union(least.select("a", F.col("m").alias("b"))).distinct().coalesce(tasks))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 

@@ -82,4 +82,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_anisotropic_search, op2_ppm_score, op3_bounded_ring, op4_ecoc_language, op5_best_two_fit, op6_token_group_jaccard, op7_block_max_wand, op8_ordinal_quality, op9_pfair_mix, op10_fuzzy_lines)
 }
-ORACLES: dict[str, str] = {}
+#: Words as the contracts have them, in DuckDB.
+WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op6_token_group_jaccard": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS t FROM documents),
+ s AS (SELECT doc_id, list_distinct(CASE WHEN len(t) >= 3 THEN list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS g FROM w),
+ n AS (SELECT doc_id, len(g) AS n FROM s), u AS (SELECT doc_id, unnest(g) AS x FROM s),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+SELECT n.doc_id, n.n AS n_shingles, min(root) AS component_id FROM n JOIN r USING (doc_id) GROUP BY ALL""",
+    "op7_block_max_wand": f"""
+WITH w AS (SELECT doc_id, {WORDS} AS t FROM documents), stats AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM w),
+ tf AS (SELECT doc_id, size, word, count(*) AS tf FROM (SELECT doc_id, len(t) AS size, unnest(t) AS word FROM w) GROUP BY ALL),
+ q AS (SELECT doc_id AS query_id, unnest(list_distinct(t)) AS word FROM w WHERE doc_id % 100 = 0),
+ df AS (SELECT word, count(*) AS df FROM tf WHERE word IN (SELECT word FROM q) GROUP BY word),
+ s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM q JOIN tf USING (word) JOIN df USING (word) CROSS JOIN stats GROUP BY ALL)
+SELECT query_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
+}

@@ -319,7 +319,7 @@ def test_line_groups(spark):
 
     for x, y in combinations(sorted(kinds), 2):
         near = agree(kinds[x]["simhash"], kinds[y]["simhash"]) and min(kinds[x]["n_features"], kinds[y]["n_features"]) >= lines.LEAST
-        if text[x] == text[y] or near and edit_distance(text[x], text[y]) <= math.floor(max(len(text[x]), len(text[y])) * 0.1 + 1e-9):
+        if text[x] == text[y] or near and edit_distance(text[x].split(), text[y].split()) <= math.floor(max(len(text[x].split()), len(text[y].split())) * 0.1 + 1e-9):
             a, b = find(x), find(y)
             root[max(a, b)] = min(a, b)
     assert {k: v[:2] for k, v in got.items() if k in kinds} == {k: find(k) for k in kinds}
