@@ -453,7 +453,7 @@ def course_by_code(spark, sf_dir):
 
 @query()
 def course_by_title(spark, sf_dir):
-    return U.by_title(courses(spark, sf_dir), F.lit("part 12")).select("course_code", "course_title", "rank")
+    return U.by_title(courses(spark, sf_dir), F.lit("small widgets")).select("course_code", "course_title", "rank")
 
 
 @query("""WITH r AS (SELECT user_id AS q, event_id, exp(value) AS rank, row_number() OVER (PARTITION BY user_id ORDER BY exp(value) DESC, event_id) AS n, lead(exp(value)) OVER (PARTITION BY user_id ORDER BY exp(value) DESC, event_id) AS second FROM events)
