@@ -46,34 +46,49 @@ def features(buf: np.ndarray, bounds: np.ndarray, word_dims: int, byte_dims: int
     return out
 
 
+class Sparse:
+    """Rows of few features: values and columns end to end, and where each row begins."""
+
+    def __init__(self, columns: list[np.ndarray], values: list[np.ndarray], width: int) -> None:
+        sizes = [len(c) for c in columns]  # at least one, the constant
+        self.begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.column, self.value, self.width = np.concatenate(columns).astype(np.int32), np.concatenate(values).astype(np.float32), width
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.value * w[self.column], self.begin, dtype=np.float64)
+
+    def turned(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value * g[self.row], self.width)
+
+
 class Model:
-    """Weights and ordered thresholds, fitted by Adam on the likelihood of the grades. x is scaled in place."""
+    """Weights and ordered thresholds, fitted by Adam on the likelihood of the grades."""
 
-    def __init__(self, x: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 1000, decay: float = 3e-6) -> None:
-        n, dims = x.shape
+    def __init__(self, x: Sparse, grade: np.ndarray, grades: int, rounds: int = 500, decay: float = 3e-6) -> None:
+        n = len(grade)
         # rare features count for more: each is divided by the root of its deviation (the constant is left alone)
-        spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / n - x.mean(0) ** 2, 0))
+        one = np.ones(n, np.float32)
+        mean = x.turned(one) / n
+        spread = np.sqrt(np.maximum(np.bincount(x.column, x.value**2, x.width) / n - mean**2, 0))
         self.scale = (0.1 / np.sqrt(np.maximum(spread, 1e-4))).astype(np.float32)
         self.scale[-1] = 1
-        x *= self.scale
-        self.w = np.zeros(dims, np.float32)
+        x.value *= self.scale[x.column]
+        self.w = np.zeros(x.width, np.float32)
         above = np.stack([(grade > k).astype(np.float32) for k in range(grades - 1)], axis=1)
         start = np.clip(above.mean(0), 0.01, 0.99)
         self.cuts = np.sort(-np.log(start / (1 - start))).astype(np.float64)
-        m, v = np.zeros_like(self.w), np.zeros_like(self.w)
+        m, v = np.zeros(x.width), np.zeros(x.width)
         for t in range(1, rounds + 1):
-            f = (x @ self.w).astype(np.float64)
-            tail = 1 / (1 + np.exp(-np.clip(f[:, None] - self.cuts, -30, 30)))
+            tail = 1 / (1 + np.exp(-np.clip(x.times(self.w)[:, None] - self.cuts, -30, 30)))
             padded = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], axis=1)
             p = np.maximum(padded[np.arange(n), grade] - padded[np.arange(n), grade + 1], 1e-9)
             slope = padded * (1 - padded)
             up, down = slope[np.arange(n), grade], slope[np.arange(n), grade + 1]
-            g = (x.T @ (-(up - down) / p / n).astype(np.float32)) + decay * self.w
-            step = np.zeros(grades + 1)
-            np.add.at(step, grade, up / p / n)
-            np.add.at(step, grade + 1, -down / p / n)
+            g = x.turned((-(up - down) / p / n).astype(np.float32)) + decay * self.w
+            step = np.bincount(grade, up / p / n, grades + 1) - np.bincount(grade + 1, down / p / n, grades + 1)
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            self.w -= np.float32(0.3) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            self.w -= (0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
             self.cuts = np.maximum.accumulate(self.cuts - 2.0 * step[1:-1])
 
     def tails(self, x: np.ndarray) -> np.ndarray:
@@ -82,7 +97,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(f[:, None] - self.cuts, -30, 30)))
 
 
-def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = 4096, word_dims: int = 4096, byte_dims: int = 2048, key: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:
+def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = 6144, word_dims: int = 4096, byte_dims: int = 2048, key: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:
     """Add expected_grade and tail (the probability of the highest grade) to every row of docs.
 
     ratings has rows (key, grade) with grades 0..grades-1; nulls and others are left out, and a key rated more than once
@@ -104,19 +119,17 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, sample: in
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n, x in cuts(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["_grade", "x"])
+                where = [np.flatnonzero(r) for r in x]
+                columns = pa.array([w.astype(np.uint16).tobytes() for w in where], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), columns, pa.array([r[w].astype(np.float16).tobytes() for r, w in zip(x, where)], pa.binary())], ["_grade", "at", "x"])
 
     # the limit only cuts where docs repeat a rated key
-    fit = known.mapInArrow(measure, "_grade int, x binary").limit(2 * sample).toArrow()
+    fit = known.mapInArrow(measure, "_grade int, at binary, x binary").limit(2 * sample).toArrow()
     model = None
     if len(fit):
-        x = np.empty((len(fit), word_dims + byte_dims + 2), np.float32)
-        grade_of = fit.column(0).to_numpy()
-        for i, b in enumerate(fit.column(1)):
-            x[i] = np.frombuffer(b.as_buffer(), np.float16)
-        del fit
-        model = Model(x, grade_of, grades)
-        del x
+        columns, values = ([np.frombuffer(b.as_buffer(), kind) for b in fit.column(c)] for c, kind in ((1, np.uint16), (2, np.float16)))
+        model = Model(Sparse(columns, values, word_dims + byte_dims + 2), fit.column(0).to_numpy(), grades)
+        del fit, columns, values
     shared = spark.sparkContext.broadcast(model)
     names = docs.columns
     place = names.index(text)
