@@ -4,15 +4,21 @@ Every source is cut into blocks of rows. With weight w, the i-th block of a sour
 due by slot ceil(i/w); at each slot the released block with the earliest deadline goes next. That is feasible whenever
 weights add up to one, so at every slot a source is less than one block ahead of or behind its weight.
 
-Weights are whole shares of a period, so the schedule repeats with the period and one period is all that is simulated.
+Weights are exact fractions, so rounding never adds up. Where they are whole shares of a period the schedule repeats
+with it, and one period is all that is simulated; else all blocks of the phase are (a heap of one entry a source).
 When a source is used up, the weights of the others are scaled up and a new phase begins; a plan has at most as many
-phases as there are sources. Rows find their slot from their rank in their source. All of it is DataFrame code; the
-driver sees one count for each source.
+phases as there are sources. Rows find their block from their rank in their source. The driver sees one count for each
+source and holds the plan, a row for each block; all else is DataFrame code.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import heapq
+import math
+from fractions import Fraction
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import gapless_rank
@@ -47,25 +53,74 @@ def period_slots(share: dict[str, int]) -> dict[str, list[int]]:
     return slots
 
 
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * unit) for s, w in exact.items()}
+
+
+def until_used_up(left: dict[str, int], share: dict[str, int]) -> dict[str, list[int]]:
+    """The slots of each source's blocks, as in `period_slots`, until the first source has had its last block."""
+    total, slots, t = sum(share.values()), {s: [] for s in share}, 0
+    waiting, ready = [(0, s) for s in sorted(share)], []
+    while True:
+        while waiting and waiting[0][0] <= t:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * total // share[s]), s))
+        s = heapq.heappop(ready)[1]
+        slots[s].append(t)
+        t += 1
+        if len(slots[s]) == left[s]:
+            return slots
+        heapq.heappush(waiting, (len(slots[s]) * total // share[s], s))
+
+
 def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> dict[str, list[tuple[int, int, int, list[int]]]]:
     """For each source its phases: (first block, first slot, period, slots of its blocks in a period)."""
     left, used, base = dict(blocks), dict.fromkeys(blocks, 0), 0
     out: dict[str, list] = {s: [] for s in blocks}
     while any(left.values()):
-        share = shares({s: weights[s] for s, n in left.items() if n}, period)
-        slots, size = period_slots(share), sum(share.values())
-        for s in share:
+        live = {s: weights[s] for s, n in left.items() if n}
+        exact, share = whole(live), shares(live, period)
+        size, total = sum(share.values()), sum(exact.values())
+        if all(share[s] * total == exact[s] * size for s in live):
+            slots = period_slots(share)
+            # the phase lasts until the first source has had its last block
+            end = min(size * ((left[s] - 1) // q) + slots[s][(left[s] - 1) % q] + 1 for s, q in share.items())
+        else:
+            slots = until_used_up(left, exact)
+            end = size = sum(map(len, slots.values()))
+        for s in live:
             out[s].append((used[s], base, size, slots[s]))
-        # the phase lasts until the first source has had its last block
-        end = min(size * ((left[s] - 1) // q) + slots[s][(left[s] - 1) % q] + 1 for s, q in share.items())
-        for s in share:
-            n = end // size * share[s] + sum(x < end % size for x in slots[s])
+            n = end // size * len(slots[s]) + sum(x < end % size for x in slots[s])
             used[s] += n
             left[s] -= n
         base += end
     return out
 
 
+def plan_rows(plan: dict[str, list[tuple[int, int, int, list[int]]]], blocks: dict[str, int], weights: dict[str, float]) -> pa.Table:
+    """(_name, _of (its number), _release, _deadline, _slot) of every block of a plan."""
+    columns: tuple[list, ...] = ([], [], [], [], [])
+    live: dict[int, list[str]] = {}
+    for s, own in plan.items():
+        for p in own:
+            live.setdefault(p[1], []).append(s)
+    exact = {base: whole({s: weights[s] for s in names}) for base, names in live.items()}
+    total = {base: sum(e.values()) for base, e in exact.items()}
+    for s, own in plan.items():
+        ends = [*(p[0] for p in own[1:]), blocks[s]]
+        for (start, base, size, slots), end in zip(own, ends):
+            q, all_ = exact[base][s], total[base]
+            for i in range(end - start):
+                row = (s, start + i, i * all_ // q, -(-(i + 1) * all_ // q), base + i // len(slots) * size + slots[i % len(slots)])
+                for column, x in zip(columns, row):
+                    column.append(x)
+    kinds = [pa.string(), *[pa.int64()] * 4]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["_name", "_of", "_release", "_deadline", "_slot"])
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 16, temper: float = 0.5, period: int = 1000, buckets: int = 64, key: str = "doc_id", source: str = "source") -> DataFrame:
     """Add block, release, deadline, slot and position to every row; ordered by position, sources are mixed by weight.
 
@@ -83,15 +138,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 1
     named = [s for s in counts if s in weights]
     scale = sum(weights[s] for s in named) / sum(counts[s] ** temper for s in named) if named else 1.0
     target = {s: weights.get(s, n**temper * scale) for s, n in counts.items()}
-    plan = phases({s: -(-n // block) for s, n in counts.items()}, target, period)
-    kind = "_name string, _phases array<struct<start:long,base:long,period:long,slots:array<int>>>"
-    table = spark.createDataFrame([(s, p) for s, p in plan.items()], kind)
+    blocks = {s: -(-n // block) for s, n in counts.items()}
+    table = spark.createDataFrame(plan_rows(phases(blocks, target, period), blocks, target))
     ranked = gapless_rank(own, ["_source"], ["_hash", key], buckets, "_rank").withColumn("block", F.floor(F.col("_rank") / block))
-    both = ranked.join(F.broadcast(table), F.col("_source") == F.col("_name"))
-    phase = F.element_at(F.filter("_phases", lambda p: p["start"] <= F.col("block")), -1)
-    placed = both.withColumn("_phase", phase).withColumn("_i", F.col("block") - F.col("_phase.start")).withColumn("_share", F.size("_phase.slots"))
-    slot = F.col("_phase.base") + F.floor(F.col("_i") / F.col("_share")) * F.col("_phase.period") + F.get(F.col("_phase.slots"), (F.col("_i") % F.col("_share")).cast("int"))
-    release: Column = F.floor(F.col("_i") * F.col("_phase.period") / F.col("_share"))
-    deadline: Column = F.ceil((F.col("_i") + 1) * F.col("_phase.period") / F.col("_share"))
-    out = placed.withColumn("slot", slot.cast("long"))
-    return out.select(*[F.col(c) for c in docs.columns], "block", release.alias("release"), deadline.alias("deadline"), "slot", (F.col("slot") * block + F.col("_rank") % block).alias("position"))
+    out = ranked.join(table, (F.col("_source") == F.col("_name")) & (F.col("block") == F.col("_of")))
+    return out.select(*[F.col(c) for c in docs.columns], "block", F.col("_release").alias("release"), F.col("_deadline").alias("deadline"), F.col("_slot").alias("slot"), (F.col("_slot") * block + F.col("_rank") % block).alias("position"))
