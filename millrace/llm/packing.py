@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import bucket, only, settle
@@ -182,8 +182,8 @@ def encoder_of(path: str) -> Encoder:
     return _encoders[path]
 
 
-def tokenised(docs: DataFrame, tokenizer: str, capacity: int, end: int, key: str, text: str) -> DataFrame:
-    """(key, piece, start, length, ids_crc32) of every document; the ids of a document end with `end`."""
+def tokenised(docs: DataFrame, tokenizer: str, capacity: int, end: int, key: str, text: str, position: Column) -> DataFrame:
+    """(key, piece, start, length, ids_crc32, position) of every document; the ids of a document end with `end`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tail = encoder_of(tokenizer), np.array([end], "<u4").tobytes()
@@ -194,59 +194,70 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int, end: int, key: str
                     own = data[a:b] + tail
                     rows += [(i, p, s // 4, min(len(own) - s, 4 * capacity) // 4, zlib.crc32(own[s : s + 4 * capacity])) for p, s in enumerate(range(0, len(own), 4 * capacity))]
                 at, *rest = (np.array(c, np.int64) for c in zip(*rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(rest[0].astype(np.int32)), *map(pa.array, rest[1:])], ["_key", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(rest[0].astype(np.int32)), *map(pa.array, rest[1:]), batch.column(2).take(pa.array(at))], ["_key", "piece", "start", "length", "ids_crc32", "_position"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("_key"), text).mapInArrow(run, f"_key {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(key).alias("_key"), text, position.cast("long").alias("_position")).mapInArrow(run, f"_key {kind}, piece int, start long, length long, ids_crc32 long, _position long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, buckets: int = 32, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, buckets: int = 32, key: str = "doc_id", text: str = "text", position: str | None = None, window: int = 65_536) -> DataFrame:
     """Place every document: (key, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece.
 
     A document is its token ids and then the id `end`; a null or empty text is that id alone. Documents longer than
     `capacity` are cut into pieces of `capacity` tokens and a rest, all others stay whole. Pieces of a sequence lie end
     to end from offset 0. Repeated rows are packed as often as they occur; a null key is kept. Other columns are
-    ignored. An empty table gives no rows. `tokenizer` is the path of a tokenizer file on every executor.
+    ignored. An empty table gives no rows. If a column `position` is named, documents of each `window` positions are packed
+    by themselves, and sequences are numbered by window and in it by their least position. `tokenizer` is the path of a tokenizer file on every executor.
     """
     spark = docs.sparkSession
-    pieces = settle(tokenised(only(docs, key, text), tokenizer, capacity, end, key, text))
-    dealt = pieces.withColumn("_bucket", bucket("_key", "piece", buckets=buckets))
-    sizes = [tuple(r) for r in dealt.groupBy("length", "_bucket").agg(F.count("*")).collect()]  # capacity x buckets rows at most
-    counts: dict[int, int] = {}
-    starts: dict[tuple[int, int], int] = {}
-    for n, b, c in sorted(sizes):
-        starts[n, b] = counts.get(n, 0)
-        counts[n] = starts[n, b] + c
-    runs: dict[int, list[tuple[int, int, int]]] = {}
-    taken: dict[int, int] = {}
-    sequence = counts.get(capacity, 0)
-    for lengths, times in plan({n: c for n, c in counts.items() if n < capacity}, capacity):
-        offset = 0
-        for n in lengths:
-            runs.setdefault(n, []).append((taken.get(n, 0), sequence, offset))
-            taken[n] = taken.get(n, 0) + times
-            offset += n
-        sequence += times
-    if capacity in counts:
-        runs[capacity] = [(0, 0, 0)]
+    pieces = settle(tokenised(only(docs, key, text, *([position] if position else [])), tokenizer, capacity, end, key, text, F.col(position) if position else F.lit(0)))
+    # equal lengths of a window are few enough for one task
+    dealt = pieces.withColumn("_window", F.floor(F.col("_position") / window)).withColumn("_bucket", F.lit(0) if position else bucket("_key", "piece", buckets=buckets))
+    sizes = [tuple(r) for r in dealt.groupBy("_window", "length", "_bucket").agg(F.count("*")).collect()]  # capacity x buckets rows a window at most
+    counts: dict[int, dict[int, int]] = {}
+    starts: dict[tuple[int, int, int], int] = {}
+    for w, n, b, c in sorted(sizes):
+        own = counts.setdefault(w, {})
+        starts[w, n, b] = own.get(n, 0)
+        own[n] = starts[w, n, b] + c
+    runs: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    sequence = 0
+    for w, own in counts.items():
+        taken: dict[int, int] = {}
+        if capacity in own:
+            runs[w, capacity] = [(0, sequence, 0)]
+        sequence += own.get(capacity, 0)
+        for lengths, times in plan({n: c for n, c in own.items() if n < capacity}, capacity):
+            offset = 0
+            for n in lengths:
+                runs.setdefault((w, n), []).append((taken.get(n, 0), sequence, offset))
+                taken[n] = taken.get(n, 0) + times
+                offset += n
+            sequence += times
     places = spark.sparkContext.broadcast((starts, {n: tuple(map(np.array, zip(*r))) for n, r in runs.items()}))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, runs = places.value
         for batch in batches:
-            n, b, own = (batch.column(c).to_numpy() for c in ("length", "_bucket", "_own"))
+            w, n, b, own = (batch.column(c).to_numpy() for c in ("_window", "length", "_bucket", "_own"))
             seq, off = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-            for length in np.unique(n).tolist():
-                at = np.flatnonzero(n == length)
-                rank = own[at] + np.array([starts[length, x] for x in b[at].tolist()], np.int64)
-                first, base, offset = runs[length]
+            for part, length in np.unique(np.stack([w, n]), axis=1).T.tolist():
+                at = np.flatnonzero((w == part) & (n == length))
+                rank = own[at] + np.array([starts[part, length, x] for x in b[at].tolist()], np.int64)
+                first, base, offset = runs[part, length]
                 k = np.searchsorted(first, rank, "right") - 1
                 seq[at], off[at] = base[k] + rank - first[k], offset[k]
-            kept = [batch.column(c) for c in ("_key", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(seq), pa.array(off)], ["_key", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            names = ["_key", "piece", "start", "length", "ids_crc32", "_window", "_position"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
-    own = Window.partitionBy("length", "_bucket").orderBy("_key", "piece", "ids_crc32")
+    own = Window.partitionBy("_window", "length", "_bucket").orderBy("_position", "_key", "piece", "ids_crc32")
     ranked = dealt.withColumn("_own", (F.row_number().over(own) - 1).cast("long"))
     kind = dict(docs.dtypes)[key]
-    out = ranked.mapInArrow(place, f"_key {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return out.withColumnRenamed("_key", key)
+    out = ranked.mapInArrow(place, f"_key {kind}, piece int, start long, length long, ids_crc32 long, _window long, _position long, sequence_id long, offset long")
+    if position:
+        least = out.groupBy("_window", F.col("sequence_id").alias("_old")).agg(F.min("_position").alias("_least"))
+        whole = Window.partitionBy("_window")
+        fresh = F.min("_old").over(whole) + F.row_number().over(whole.orderBy("_least", "_old")) - 1
+        new = least.select("_old", fresh.cast("long").alias("_new"))
+        out = out.join(new, F.col("sequence_id") == F.col("_old")).withColumn("sequence_id", F.col("_new"))
+    return out.select(F.col("_key").alias(key), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
