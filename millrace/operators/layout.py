@@ -97,13 +97,18 @@ def section_type(title: Column) -> Column:
 def page_ranges(entries: DataFrame) -> DataFrame:
     """Add end_page: the page before the next entry that is indented no deeper, else the last page of all.
 
-    One pass: entries are few (a table of contents), so they are gathered in one array and searched forward.
+    Entries go by (page, title, indent). An entry counts at its own level and at all deeper ones, so the next entry of
+    its level is the one looked for: a window for each level, over entries x levels rows. Levels should be few.
     """
-    everything = entries.agg(F.array_sort(F.collect_list(F.struct("catalog_page", "title", "indent"))).alias("all"))
-    each = everything.select("all", F.posexplode("all").alias("i", "e"))
-    later = F.filter(F.slice("all", F.col("i") + 2, F.size("all")), lambda x: x["indent"] <= F.col("e.indent"))
-    end = F.coalesce(F.get(later, F.lit(0))["catalog_page"] - 1, F.element_at("all", -1)["catalog_page"])
-    return each.select("e.*", F.greatest(end, F.col("e.catalog_page")).alias("end_page"))
+    own = entries.select("catalog_page", "title", "indent")
+    levels = own.where("indent is not null").select(F.col("indent").alias("_level")).distinct()
+    at = Window.partitionBy("_level").orderBy("catalog_page", "title", "indent")
+    seen = own.join(F.broadcast(levels), F.col("_level") >= F.col("indent")).withColumn("_next", F.lead("catalog_page").over(at))
+    found = seen.where("_level = indent").select("catalog_page", "title", "indent", "_next")
+    bare = own.where("indent is null").withColumn("_next", F.lit(None).cast(dict(own.dtypes)["catalog_page"]))
+    last = own.agg(F.max("catalog_page").alias("_last"))
+    both = found.union(bare).crossJoin(F.broadcast(last))
+    return both.select("catalog_page", "title", "indent", F.greatest(F.coalesce(F.col("_next") - 1, "_last"), F.col("catalog_page")).alias("end_page"))
 
 
 def islands(df: DataFrame, flag: str, by: str, order: str, name: str = "island") -> DataFrame:

@@ -238,6 +238,7 @@ def temporal_expand(spark, sf_dir):
     return questions(spark).where(F.col("question_id").isin(2, 9, 11)).select("question_id", T.expand_dates(F.col("text"), T.as_date("2026-04-24")).alias("expanded"))
 
 
+
 @query("WITH " + ASKED + f""" SELECT question_id, CASE WHEN {' OR '.join(f"contains(lower(text), '{p}')" for p in V.GENERAL_EDUCATION_PHRASES)} THEN CASE WHEN l THEN 'list_general_education' ELSE 'general_education' END
   WHEN {' OR '.join(f"contains(lower(text), '{p}')" for p in V.WIDER_WORLD_PHRASES)} THEN CASE WHEN l THEN 'list_wider_world' ELSE 'wider_world' END WHEN {' OR '.join(f"contains(lower(text), '{p}')" for p in V.CREDIT_PHRASES)} THEN 'credits' END AS kind
   FROM (SELECT *, (contains(lower(text), 'what ') OR contains(lower(text), 'which ')) AND contains(lower(text), 'courses') AS l FROM questions)""")
@@ -381,6 +382,13 @@ def toc_ranges(spark, sf_dir):
     return L.page_ranges(toc(spark, sf_dir))
 
 
+@query("""WITH e AS (SELECT CAST(p_partkey AS INT) AS catalog_page, p_name AS title, CAST(p_size % 3 AS DOUBLE) AS indent FROM part)
+ SELECT a.catalog_page, a.title, a.indent, greatest(coalesce(min(b.catalog_page) - 1, max(m.last)), a.catalog_page) AS end_page FROM e a CROSS JOIN (SELECT max(catalog_page) AS last FROM e) m LEFT JOIN e b ON b.catalog_page > a.catalog_page AND b.indent <= a.indent GROUP BY a.catalog_page, a.title, a.indent""")
+def toc_ranges_all(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return L.page_ranges(p.select(F.col("p_partkey").cast("int").alias("catalog_page"), F.col("p_name").alias("title"), (F.col("p_size") % 3).cast("double").alias("indent")))
+
+
 def characters(spark: SparkSession) -> DataFrame:
     rows = []
     for page, y, x, size, font, text in ((1, 30, 50, 9, "Roman", "567  Computer Science"), (1, 60, 50, 12, "Bold", "CSCI 1110. Intro to Programs"), (1, 75, 50, 9, "Roman", "Basics and loops. 3-4 Credits"), (1, 60, 320, 12, "Bold", "CSCI 2220. Data Structures"), (1, 75, 320, 9, "Roman", "Lists. Prerequisite: CSCI 1110."), (2, 60, 50, 9, "Roman", "Trees and more and"), (2, 72, 50, 12, "Bold", "MATH 1511. May be repeated")):
