@@ -7,9 +7,13 @@ costs a recomputation of its tasks and never the result.
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +21,35 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where none is set (as in tests, where driver and executors are one process) a temporary one is made.
+    Only where none is set and driver and executors are one process (a local master, as in tests) a temporary one is made.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whichever store it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """df as a Parquet table in the shared folder, which is deleted at the end; smaller than a checkpoint of many rows."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(folder)
+        yield spark.read.schema(df.schema).parquet(folder)
+    finally:
+        remove(spark, folder)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there."""
     shared_folder(df.sparkSession)
@@ -41,6 +66,38 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores behind it as make it differ (without regard to case) from those taken."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether df is columns and rows of one table of files and nothing more, so that files and places in them name its rows."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName().startswith(("LogicalRelation", "Relation"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc) of every row: a number that the row has whenever it is read, and its columns as one struct.
+
+    Rows of files are named by file and place in it. Rows of anything else may come in another order when they are made
+    again, so they are written to the checkpoint folder with their numbers.
+    """
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    if is_scan(docs):
+        try:
+            place = docs.metadataColumn("_metadata")
+            return docs.select(F.xxhash64(place["file_path"], place["row_index"]).alias("row"), doc)
+        except AnalysisException:  # a format without places
+            pass
+    return settle(docs.select(F.monotonically_increasing_id().alias("row"), doc))
+
+
 def bucket(*columns: Column | str, buckets: int) -> Column:
     """A hash bucket in 0..buckets-1."""
     return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
