@@ -6,6 +6,7 @@ costs a recomputation of its tasks and never the result.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,6 +57,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and broadcasts of what is done with, which it does when the driver drops its handles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -98,27 +105,44 @@ def numbered(docs: DataFrame) -> DataFrame:
     return settle(docs.select(F.monotonically_increasing_id().alias("row"), doc))
 
 
+def in_file_order(docs: DataFrame, *columns: str) -> DataFrame:
+    """(position, columns): the place of every row in the order of its files, from 0 without gaps.
+
+    What isn't a table of files is numbered by its partitions, with gaps between them, and written to the checkpoint folder.
+    """
+    if is_scan(docs):
+        try:
+            place = docs.metadataColumn("_metadata")
+            rows = docs.select(*[F.col(f"`{c}`") for c in columns], place["file_path"].alias("_file"), place["row_index"].alias("_place"))
+            sizes = rows.groupBy("_file").agg((F.max("_place") + 1).alias("_rows"))  # a row for each file
+            before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+            starts = sizes.select(F.col("_file").alias("_own"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+            joined = rows.join(F.broadcast(starts), F.col("_file") == F.col("_own"))
+            return joined.select((F.col("_start") + F.col("_place")).alias("position"), *[F.col(f"`{c}`") for c in columns])
+        except AnalysisException:
+            pass
+    return settle(docs.select(F.monotonically_increasing_id().alias("position"), *[F.col(f"`{c}`") for c in columns]))
+
+
 def bucket(*columns: Column | str, buckets: int) -> Column:
     """A hash bucket in 0..buckets-1."""
     return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
 
 
 def gapless_rank(df: DataFrame, keys: list[str], order: list[str], buckets: int, name: str) -> DataFrame:
-    """Add a rank from 0 without gaps within each key, though one key may hold most rows.
+    """Add a rank from 0 without gaps within each key, though one key may hold most rows. Keys are never null.
 
     Rows of a key are dealt into hash buckets of `order` and ranked there; a key's buckets are laid end to end by a
     running sum over counts (one row for a key and bucket). The rank is by (bucket, order). Where `order` has ties the
-    rows in question are equal in `order`, and either may come first.
+    rows in question are equal in `order`, and either may come first. df must have no columns of the names used here.
     """
     dealt = df.withColumn("_bucket", bucket(*order, buckets=buckets))
     sizes = dealt.groupBy(*keys, "_bucket").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     own = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    ranked = dealt.withColumn("_own", F.row_number().over(own) - 1)
-    same = [ranked[k].eqNullSafe(starts[k]) for k in [*keys, "_bucket"]]
-    joined = ranked.join(starts, same, "inner")
-    return joined.select(*[ranked[c] for c in df.columns], (ranked["_own"] + starts["_start"]).alias(name))
+    joined = dealt.withColumn("_own", F.row_number().over(own) - 1).join(starts, [*keys, "_bucket"])
+    return joined.select(*df.columns, (F.col("_own") + F.col("_start")).cast("long").alias(name))
 
 
 def components(edges: DataFrame) -> DataFrame:
