@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import gapless_rank
+from .frames import fresh, gapless_rank, partitions
 
 NONE = "\u0000none"
 
@@ -121,25 +121,35 @@ def plan_rows(plan: dict[str, list[tuple[int, int, int, list[int]]]], blocks: di
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["_name", "_of", "_release", "_deadline", "_slot"])
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 16, temper: float = 0.5, period: int = 1000, buckets: int = 64, key: str = "doc_id", source: str = "source") -> DataFrame:
+#: Columns that `mix` adds.
+ADDED = ["block", "release", "deadline", "slot", "position"]
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 16, temper: float = 0.5, period: int = 1000, most_blocks: int = 1 << 20, key: str = "doc_id", source: str = "source") -> DataFrame:
     """Add block, release, deadline, slot and position to every row; ordered by position, sources are mixed by weight.
 
     weights maps sources to target weights; sources that it doesn't name, and all sources if it is None, get the number
     of their rows to the power `temper`, on the scale of the named ones' rows. Every row is in the result once. Where
     sources run out, those left keep their proportions. Within a source rows come in order of their hashed key. release
-    and deadline are slots counted from the start of the phase. A null source is a source of its own; repeated rows are
-    rows; an empty table gives no rows. docs must have none of the added columns. Sources should be few (thousands).
+    and deadline are slots counted from the start of the phase. A block has `block` rows, or as many more as make about
+    `most_blocks` blocks of the table, so that the plan on the driver is bounded. A null source is a source of its own;
+    a null key has a hash like any other; repeated rows are rows; an empty table gives no rows. Columns of docs keep
+    their values; an added column whose name docs has gets underscores behind its name. Sources should be few (thousands).
     """
     spark = docs.sparkSession
-    name = F.coalesce(F.col(source).cast("string"), F.lit(NONE))
-    own = docs.withColumn("_source", name).withColumn("_hash", F.xxhash64(F.col(key)))
+    name = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(NONE))
     counts = {r[0]: r[1] for r in docs.groupBy(name).count().collect()}
+    block = max(block, -(-sum(counts.values()) // most_blocks))
     weights = weights or {}
     named = [s for s in counts if s in weights]
     scale = sum(weights[s] for s in named) / sum(counts[s] ** temper for s in named) if named else 1.0
     target = {s: weights.get(s, n**temper * scale) for s, n in counts.items()}
     blocks = {s: -(-n // block) for s, n in counts.items()}
     table = spark.createDataFrame(plan_rows(phases(blocks, target, period), blocks, target))
-    ranked = gapless_rank(own, ["_source"], ["_hash", key], buckets, "_rank").withColumn("block", F.floor(F.col("_rank") / block))
-    out = ranked.join(table, (F.col("_source") == F.col("_name")) & (F.col("block") == F.col("_of")))
-    return out.select(*[F.col(c) for c in docs.columns], "block", F.col("_release").alias("release"), F.col("_deadline").alias("deadline"), F.col("_slot").alias("slot"), (F.col("_slot") * block + F.col("_rank") % block).alias("position"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), name.alias("source"), F.xxhash64(F.col(f"`{key}`")).alias("hash"), F.col(f"`{key}`").alias("key"))
+    # a bucket is a shuffle partition's share of the rows, also where one source has most of them
+    ranked = gapless_rank(own, ["source"], ["hash", "key"], partitions(spark), "rank").withColumn("block", F.floor(F.col("rank") / block))
+    out = ranked.join(F.broadcast(table), (F.col("source") == F.col("_name")) & (F.col("block") == F.col("_of")))
+    added = dict(zip(ADDED, ("block", "_release", "_deadline", "_slot", F.col("_slot") * block + F.col("rank") % block), strict=True))
+    own_columns = [F.col("doc").getField(c).alias(c) for c in docs.columns]
+    return out.select(*own_columns, *[(F.col(v) if isinstance(v, str) else v).alias(fresh(c, docs.columns)) for c, v in added.items()])
