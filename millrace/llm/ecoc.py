@@ -7,7 +7,6 @@ classifier does on the training rows. Where the two best codewords lose nearly t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import product
 
@@ -18,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .kernel import LOWER, text_slices
 
-LETTER = re.compile(r"[^\W\d_]")
+#: A text without a letter has no language.
+LETTER = r"\p{L}"
 
 
 def codewords(n: int, seed: int = 5, most: int = 63) -> np.ndarray:
@@ -103,7 +103,7 @@ def identify(docs: DataFrame, train: Column, dims: int = 2048, sample: int = 409
     ones too. held_out is the opposite of `train` (a null key counts as held out).
     """
     spark = docs.sparkSession
-    known = docs.where(train & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.xxhash64(F.col(key).cast("string")).alias("_order"))
+    known = docs.where(train & F.col(lang).isNotNull() & F.col(text).rlike(LETTER)).select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.xxhash64(F.col(key).cast("string")).alias("_order"))
     chosen = known.orderBy("_order", "_key").limit(sample).select("_key").distinct()
     rows = docs.where(train & F.col(lang).isNotNull()).join(F.broadcast(chosen), docs[key] == chosen["_key"], "left_semi").select(lang, text)
 
@@ -129,12 +129,12 @@ def identify(docs: DataFrame, train: Column, dims: int = 2048, sample: int = 409
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column(2)
-            for lo, hi, buf, bounds in text_slices(texts, 1 << 20):
+            has = batch.column(3).to_numpy(zero_copy_only=False)
+            for lo, hi, buf, bounds in text_slices(batch.column(2), 1 << 20):
                 for a in range(0, hi - lo, 512):
                     cut = bounds[a : min(a + 512, hi - lo) + 1]
                     n = len(cut) - 1
-                    letters = np.array([bool(t and LETTER.search(t)) for t in texts.slice(lo + a, n).to_pylist()])
+                    letters = has[lo + a : lo + a + n]
                     name, score, lead = np.full(n, "und", object), np.zeros(n), np.zeros(n)
                     if model is not None:
                         at, s, d = model.decode(profiles(buf[cut[0] : cut[-1]], cut - cut[0], dims))
@@ -143,5 +143,5 @@ def identify(docs: DataFrame, train: Column, dims: int = 2048, sample: int = 409
                     yield pa.RecordBatch.from_arrays([*keep, pa.array(name, pa.string()), pa.array(score), pa.array(lead < ambiguous)], ["_key", "held_out", "lang_pred", "score", "ambiguous"])
 
     kind = dict(docs.dtypes)[key]
-    out = docs.select(F.col(key).alias("_key"), F.coalesce(~train, F.lit(True)).alias("held_out"), F.col(text).alias("_text"))
+    out = docs.select(F.col(key).alias("_key"), F.coalesce(~train, F.lit(True)).alias("held_out"), F.col(text).alias("_text"), F.coalesce(F.col(text).rlike(LETTER), F.lit(False)).alias("_letters"))
     return out.mapInArrow(predict, f"_key {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean").withColumnRenamed("_key", key)
