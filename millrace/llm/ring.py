@@ -23,6 +23,8 @@ from .frames import only
 
 #: The ring has 2**16 cells. A virtual node stands at a cell, so that a table of cells (fixed size) maps keys to arcs.
 CELLS = 1 << 16
+#: Copies of a row that one task makes at once.
+RUN = 1 << 16
 
 
 def ring(shards: int, replicas: int) -> list[tuple[int, int]]:
@@ -92,7 +94,9 @@ def shard_rows(docs: DataFrame, shards: int, replicas: int = 128, load_factor: f
     table = spark.createDataFrame([(a, sorted(s)) for a, s in steps.items()], "_arc int, _steps array<struct<start:long,shard:int,slot:long>>")
     order = Window.partitionBy("_arc").orderBy(F.xxhash64("_key"), "_key", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     ranked = only(on_arc, "_key", "size", "text_crc32", "_arc", "_n").withColumn("_first", F.coalesce(F.sum("_n").over(order), F.lit(0)))
-    single = ranked.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).withColumn("_rank", F.col("_first") + F.col("_copy"))
+    # copies are made again in runs of at most RUN, which are dealt to all tasks
+    runs = ranked.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN)))).repartition("_key", "_run")
+    single = runs.withColumn("_copy", F.explode(F.sequence(F.col("_run") * RUN, F.least(F.col("_n"), (F.col("_run") + 1) * RUN) - 1))).withColumn("_rank", F.col("_first") + F.col("_copy"))
     placed = single.join(F.broadcast(table), "_arc").withColumn("_step", F.element_at(F.filter("_steps", lambda s: s["start"] <= F.col("_rank")), -1))
     slot = F.col("_step.slot") + F.col("_rank") - F.col("_step.start")
     return placed.select(F.col("_key").alias(key), "size", "text_crc32", F.col("_step.shard").alias("shard"), slot.alias("slot"))
