@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .frames import fresh
 from .kernel import U64, text_slices, words
 
 
@@ -103,7 +104,8 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, sample: in
     ratings has rows (key, grade) with grades 0..grades-1; nulls and others are left out, and a key rated more than once
     counts with each rating. The model is fitted on at most `sample` ratings, those of smallest hashed key; it reads
     whole texts, and only their features go to the driver. Without ratings all rows get the highest grade. A null text
-    is an empty one. Rows and columns of docs are kept as they are; docs must have no column expected_grade or tail.
+    is an empty one; an empty table gives no rows. Rows and columns of docs are kept as they are; an added column whose
+    name docs has gets underscores behind its name (see `added`).
     """
     spark = docs.sparkSession
     rated = ratings.where(F.col(grade).between(0, grades - 1) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(grade).cast("int").alias("_grade"))
@@ -131,7 +133,7 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, sample: in
         model = Model(Sparse(columns, values, word_dims + byte_dims + 2), fit.column(0).to_numpy(), grades)
         del fit, columns, values
     shared = spark.sparkContext.broadcast(model)
-    names = docs.columns
+    names, new = docs.columns, added(docs)
     place = names.index(text)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,12 +141,17 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, sample: in
         for batch in batches:
             for at, n, x in cuts(batch.column(place)):
                 tails = model.tails(x) if model is not None else np.ones((n, grades - 1))
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in batch.columns), pa.array(tails.sum(1)), pa.array(tails[:, -1])], [*names, "expected_grade", "tail"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in batch.columns), pa.array(tails.sum(1)), pa.array(tails[:, -1])], [*names, *new])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("tail", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in new]])
     return docs.mapInArrow(rate, schema)
 
 
-def accept(least: float = 0.5) -> Column:
+def added(docs: DataFrame) -> list[str]:
+    """The names of the two columns that `grade_documents` adds to docs: the expected grade and the tail probability."""
+    return [fresh(c, docs.columns) for c in ("expected_grade", "tail")]
+
+
+def accept(tail: str = "tail", least: float = 0.5) -> Column:
     """Whether a row is selected: the probability of the highest grade is at least `least`."""
-    return F.col("tail") >= least
+    return F.col(f"`{tail}`") >= least
