@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import bucket, only, settle
+from .frames import gapless_rank, in_file_order, only, partitions, settle
 from .kernel import Table, text_slices, words
 
 
@@ -97,12 +97,13 @@ class Encoder:
 
     The tokenizer never looks across white space, nor across the pieces of its pre-tokenizer. So the ids of a text are
     those of its white-space runs, and those of a run are those of its pieces. Runs repeat: a process keeps the ids of
-    at most `keep` runs in one array behind a hash table (keys are 64-bit hashes), and looks up whole batches. New
+    at most `keep` runs, and of a quarter as many pieces, in arrays behind hash tables (keys are 64-bit hashes; some 40 MB
+    at 400,000 runs), and begins anew when they are full. Whole batches are looked up. New
     pieces go to the tokenizer together, as one text; in its vocabulary a token that ends a piece is marked as such, so
     the ids can be told apart again.
     """
 
-    def __init__(self, path: str, keep: int = 1_500_000) -> None:
+    def __init__(self, path: str, keep: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -123,7 +124,7 @@ class Encoder:
         split = [_PIECE.findall(r) for r in runs]
         pieces = self.pieces
         new = list({x for r in split for x in r if x not in pieces})
-        if len(pieces) + len(new) > 300_000:
+        if len(pieces) + len(new) > self.keep // 4:
             pieces.clear()
             new = list({x for r in split for x in r})
         if new:
@@ -142,8 +143,13 @@ class Encoder:
         self.pool[used : used + len(flat)] = flat
         self.edges[n + 1 : n + len(runs) + 1] = used + np.cumsum([len(f) // 4 for f in found])
 
-    def encode(self, texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def encode(self, texts: pa.Array, limit: int = 1 << 20, rows: int = 512) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, bounds of the rows in them), for runs of rows."""
+        for start in range(0, len(texts), rows):  # so that copies of few texts are held at once
+            for lo, hi, ids, cut in self.encode_rows(texts.slice(start, rows), limit):
+                yield start + lo, start + hi, ids, cut
+
+    def encode_rows(self, texts: pa.Array, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         texts = texts.cast(pa.large_string()).fill_null("")
         odd = pc.match_substring_regex(texts, _OTHER).to_numpy(zero_copy_only=False)  # no other text changes by NFC
         low = pc.utf8_lower(pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts))
@@ -182,82 +188,104 @@ def encoder_of(path: str) -> Encoder:
     return _encoders[path]
 
 
-def tokenised(docs: DataFrame, tokenizer: str, capacity: int, end: int, key: str, text: str, position: Column) -> DataFrame:
-    """(key, piece, start, length, ids_crc32, position) of every document; the ids of a document end with `end`."""
+PIECE = "piece int, start long, length long, ids_crc32 long"
+
+
+def tokenised(docs: DataFrame, tokenizer: str, capacity: int, end: int, key: str, text: str, position: str | None) -> DataFrame:
+    """(key, position, piece, start, length, ids_crc32) of every document; the ids of a document end with `end`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tail = encoder_of(tokenizer), np.array([end], "<u4").tobytes()
         for batch in batches:
-            for lo, hi, ids, cut in encoder.encode(batch.column(1)):
+            for lo, hi, ids, cut in encoder.encode(batch.column(2)):
                 data, rows = ids.tobytes(), []
                 for i, (a, b) in enumerate(zip((4 * cut[:-1]).tolist(), (4 * cut[1:]).tolist()), lo):
                     own = data[a:b] + tail
                     rows += [(i, p, s // 4, min(len(own) - s, 4 * capacity) // 4, zlib.crc32(own[s : s + 4 * capacity])) for p, s in enumerate(range(0, len(own), 4 * capacity))]
-                at, *rest = (np.array(c, np.int64) for c in zip(*rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(rest[0].astype(np.int32)), *map(pa.array, rest[1:]), batch.column(2).take(pa.array(at))], ["_key", "piece", "start", "length", "ids_crc32", "_position"])
+                at, piece, *rest = (np.array(c, np.int64) for c in zip(*rows))
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(piece.astype(np.int32)), *map(pa.array, rest)], ["_key", "_position", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("_key"), text, position.cast("long").alias("_position")).mapInArrow(run, f"_key {kind}, piece int, start long, length long, ids_crc32 long, _position long")
-
-
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, buckets: int = 32, key: str = "doc_id", text: str = "text", position: str | None = None, window: int = 65_536) -> DataFrame:
+    place = F.col(position) if position else F.lit(0)
+    return docs.select(F.col(f"`{key}`").alias("_key"), place.cast("long").alias("_position"), f"`{text}`").mapInArrow(run, f"_key {kind}, _position long, {PIECE}")
+
+
+def laid(counts: dict[int, int], capacity: int) -> tuple[dict[int, tuple[np.ndarray, ...]], int]:
+    """For each length its runs of ranks: (first rank, sequence of that rank, offset); and the number of sequences."""
+    runs: dict[int, list[tuple[int, int, int]]] = {}
+    sequence, taken = 0, dict.fromkeys(counts, 0)
+    patterns = [([capacity], counts[capacity])] if capacity in counts else []
+    for lengths, times in patterns + plan({n: c for n, c in counts.items() if n < capacity}, capacity):
+        offset = 0
+        for n in lengths:
+            runs.setdefault(n, []).append((taken[n], sequence, offset))
+            taken[n] += times
+            offset += n
+        sequence += times
+    return {n: tuple(map(np.array, zip(*r))) for n, r in runs.items()}, sequence
+
+
+def placed(runs: dict[int, tuple[np.ndarray, ...]], length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of items by their lengths and their ranks among items of that length."""
+    sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+    for n in np.unique(length).tolist():
+        at = np.flatnonzero(length == n)
+        first, base, own = runs[n]
+        k = np.searchsorted(first, rank[at], "right") - 1
+        sequence[at], offset[at] = base[k] + rank[at] - first[k], own[k]
+    return sequence, offset
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Place every document: (key, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece.
 
     A document is its token ids and then the id `end`; a null or empty text is that id alone. Documents longer than
     `capacity` are cut into pieces of `capacity` tokens and a rest, all others stay whole. Pieces of a sequence lie end
     to end from offset 0. Repeated rows are packed as often as they occur; a null key is kept. Other columns are
-    ignored. An empty table gives no rows. If a column `position` is named, documents of each `window` positions are packed
-    by themselves, and sequences are numbered by window and in it by their least position. `tokenizer` is the path of a tokenizer file on every executor.
+    ignored. An empty table gives no rows. `tokenizer` is the path of a tokenizer file on every executor.
     """
     spark = docs.sparkSession
-    pieces = settle(tokenised(only(docs, key, text, *([position] if position else [])), tokenizer, capacity, end, key, text, F.col(position) if position else F.lit(0)))
-    # equal lengths of a window are few enough for one task
-    dealt = pieces.withColumn("_window", F.floor(F.col("_position") / window)).withColumn("_bucket", F.lit(0) if position else bucket("_key", "piece", buckets=buckets))
-    sizes = [tuple(r) for r in dealt.groupBy("_window", "length", "_bucket").agg(F.count("*")).collect()]  # capacity x buckets rows a window at most
-    counts: dict[int, dict[int, int]] = {}
-    starts: dict[tuple[int, int, int], int] = {}
-    for w, n, b, c in sorted(sizes):
-        own = counts.setdefault(w, {})
-        starts[w, n, b] = own.get(n, 0)
-        own[n] = starts[w, n, b] + c
-    runs: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    sequence = 0
-    for w, own in counts.items():
-        taken: dict[int, int] = {}
-        if capacity in own:
-            runs[w, capacity] = [(0, sequence, 0)]
-        sequence += own.get(capacity, 0)
-        for lengths, times in plan({n: c for n, c in own.items() if n < capacity}, capacity):
-            offset = 0
-            for n in lengths:
-                runs.setdefault((w, n), []).append((taken.get(n, 0), sequence, offset))
-                taken[n] = taken.get(n, 0) + times
-                offset += n
-            sequence += times
-    places = spark.sparkContext.broadcast((starts, {n: tuple(map(np.array, zip(*r))) for n, r in runs.items()}))
+    pieces = settle(tokenised(only(docs, f"`{key}`", f"`{text}`"), tokenizer, capacity, end, key, text, None))
+    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
+    places = spark.sparkContext.broadcast(laid(counts, capacity)[0])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, runs = places.value
         for batch in batches:
-            w, n, b, own = (batch.column(c).to_numpy() for c in ("_window", "length", "_bucket", "_own"))
-            seq, off = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-            for part, length in np.unique(np.stack([w, n]), axis=1).T.tolist():
-                at = np.flatnonzero((w == part) & (n == length))
-                rank = own[at] + np.array([starts[part, length, x] for x in b[at].tolist()], np.int64)
-                first, base, offset = runs[part, length]
-                k = np.searchsorted(first, rank, "right") - 1
-                seq[at], off[at] = base[k] + rank - first[k], offset[k]
-            names = ["_key", "piece", "start", "length", "ids_crc32", "_window", "_position"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
-
-    own = Window.partitionBy("_window", "length", "_bucket").orderBy("_position", "_key", "piece", "ids_crc32")
-    ranked = dealt.withColumn("_own", (F.row_number().over(own) - 1).cast("long"))
+            found = placed(places.value, batch.column(4).to_numpy(), batch.column(6).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:6], *map(pa.array, found)], [key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    ranked = gapless_rank(pieces, ["length"], ["_key", "piece", "ids_crc32"], partitions(spark), "_rank")
+    return ranked.mapInArrow(place, f"`{key}` {dict(docs.dtypes)[key]}, {PIECE}, sequence_id long, offset long")
+
+
+def pack_in_order(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, window: int = 65_536, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As `pack`, for documents whose order in their files counts: each `window` of them is packed by itself.
+
+    Sequences are numbered by window, and in a window by the first document that they hold; so reading them in order
+    reads the documents in order, but for moves within a window. A window is one task's work, whatever the table's size.
+    """
+    pieces = settle(tokenised(in_file_order(docs, key, text), tokenizer, capacity, end, key, text, "position"))
     kind = dict(docs.dtypes)[key]
-    out = ranked.mapInArrow(place, f"_key {kind}, piece int, start long, length long, ids_crc32 long, _window long, _position long, sequence_id long, offset long")
-    if position:
-        least = out.groupBy("_window", F.col("sequence_id").alias("_old")).agg(F.min("_position").alias("_least"))
-        whole = Window.partitionBy("_window")
-        fresh = F.min("_old").over(whole) + F.row_number().over(whole.orderBy("_least", "_old")) - 1
-        new = least.select("_old", fresh.cast("long").alias("_new"))
-        out = out.join(new, F.col("sequence_id") == F.col("_old")).withColumn("sequence_id", F.col("_new"))
-    return out.select(F.col("_key").alias(key), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    names = ["_key", "piece", "start", "length", "ids_crc32"]
+
+    def arrange(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("_position", "ascending"), ("piece", "ascending")])
+        length, position = rows.column("length").to_numpy(), rows.column("_position").to_numpy()
+        by = np.argsort(length, kind="stable")
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by)) - np.searchsorted(length[by], length[by])
+        sizes, counts = np.unique(length, return_counts=True)
+        sequence, offset = placed(laid(dict(zip(sizes.tolist(), counts.tolist())), capacity)[0], length, rank)
+        # rows are in order, so the first row of each sequence is its first document
+        _, first, back = np.unique(sequence, return_index=True, return_inverse=True)
+        order = np.empty(len(first), np.int64)
+        order[np.argsort(first, kind="stable")] = np.arange(len(first))
+        return pa.table([*(rows.column(c) for c in names), pa.array(position // window), pa.array(order[back]), pa.array(offset)], [*names, "_window", "_sequence", "offset"])
+
+    own = pieces.groupBy(F.floor(F.col("_position") / window)).applyInArrow(arrange, f"_key {kind}, {PIECE}, _window long, _sequence long, offset long")
+    own = settle(own)
+    sizes = own.groupBy("_window").agg((F.max("_sequence") + 1).alias("n"))  # a row for each window
+    before = Window.orderBy("_window").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_window", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    return own.join(starts, "_window").select(F.col("_key").alias(key), *names[1:], (F.col("_start") + F.col("_sequence")).alias("sequence_id"), "offset")
