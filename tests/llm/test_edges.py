@@ -72,6 +72,8 @@ def test_values_of_odd_rows(odd):
     assert got[2]["component_id"] == 2 and got[7]["component_id"] == 1 and got[None]["component_id"] is None
     langs = {r["doc_id"]: r["lang_pred"] for r in CASES["ecoc"](odd).collect()}
     assert langs[2] == langs[3] == langs[4] == langs[8] == "und" and langs[6] == "fr"
+    marks = odd.limit(1).withColumn("text", F.explode(F.array(F.lit("½ ②"), F.lit("Ⅷ"), F.lit("_ 7"), F.lit("ñ"))))
+    assert sorted(r["lang_pred"] == "und" for r in ecoc.identify(marks.union(odd.where("doc_id = 6")), train()).collect()) == [False, False, True, True, True]
     sizes = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in CASES["ring"](odd).collect()}
     assert sizes[2] == (8, 0) and sizes[6] == (len(ROWS[6][1].encode()) + 8, zlib.crc32(ROWS[6][1].encode()))
 
@@ -83,14 +85,20 @@ def test_classifier_keeps_rows_and_columns(odd, spark):
     bare = ordinal.grade_documents(odd, ratings.limit(0), 3).collect()
     assert all(r["tail"] == 1 and r["expected_grade"] == 2 for r in bare)
     assert ordinal.grade_documents(odd.limit(0), ratings, 3).count() == 0
+    clashing = odd.withColumns({"tail": F.lit("own"), "expected_grade": F.lit(7)})
+    out = ordinal.grade_documents(clashing, ratings, 3).collect()
+    assert all(r["tail"] == "own" and r["expected_grade"] == 7 and 0 <= r["tail_"] <= 1 and 0 <= r["expected_grade_"] <= 2 for r in out)
 
 
 def test_mixing_keeps_every_row(odd, empty):
-    plain = odd.drop("block")
-    out = mixing.mix(plain, {"a": 3.0, "b": 1.0}, block=1)
-    rows = out.collect()
-    assert len(rows) == len(ROWS) and sorted(r["slot"] for r in rows) == list(range(len(ROWS)))
+    names = [*mixing.ADDED, "hash", "doc", "key", "_own", "_bucket", "_rank", "rank", "_slot", "_of", "_name", "_start", "_rows"]
+    clashing = odd.select(*SCHEMA.replace(",", "").split()[::2]).withColumns({c: F.lit(f"own {c}") for c in names})
+    rows = mixing.mix(clashing, {"a": 3.0, "b": 1.0}, block=1).collect()
+    assert len(rows) == len(ROWS) and sorted(r["slot_"] for r in rows) == sorted(r["position_"] for r in rows) == list(range(len(ROWS)))
+    assert all(r[c] == f"own {c}" for r in rows for c in names)
+    assert sorted((r["doc_id"] or -1, r["source"] or "") for r in rows) == sorted((r[0] or -1, r[3] or "") for r in ROWS)
     assert mixing.mix(empty).count() == 0
+    assert len(mixing.mix(odd, block=1, most_blocks=4).select("block_").distinct().collect()) <= 4
 
 
 def test_search_with_odd_rows(odd, empty):

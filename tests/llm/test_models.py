@@ -2,7 +2,7 @@
 
 import zlib
 
-from millrace.llm import queries
+from millrace.llm import ordinal, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -25,6 +25,19 @@ def test_quality_selection(spark):
     assert sum(rows[d]["selected"] for d in poor) / len(poor) < 0.05
 
 
+def test_quality_of_unseen_labels(spark):
+    """Labels that the fit has not seen: sound documents stay, poor ones go."""
+    sf = "/root/testdata/sf0.1"
+    held = queries.remainder("doc_id", 3) == 1
+    docs = queries.table(spark, sf, "documents")
+    ratings = queries.ratings(spark, sf)
+    graded = ordinal.grade_documents(docs, ratings.where(~held), 3).where(held)
+    rows = graded.select("doc_id", ordinal.accept().alias("selected")).join(queries.table(spark, sf, "labels"), "doc_id").collect()
+    rate = lambda some: sum(r["selected"] for r in some) / len(some)
+    assert rate([r for r in rows if r["quality"] == 1 and r["toxic"] == 0]) > 0.97
+    assert rate([r for r in rows if r["quality"] == 0]) < 0.05
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
