@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,7 @@ def hard_filter(question: Column, tokens: Column, level: Column, chunk_type: Col
 
 def dynamic_k(question: Column, tokens: Column, k: int = V.TOP_K) -> Column:
     """How many chunks a question gets."""
+    # The widths, and the words that ask for them.
     width = (
         F.when(any_of(tokens, V.COMPARISON), k)
         .when(has(tokens, "concentration", "concentrations", "track", "tracks", "specialization"), 15)
@@ -63,6 +67,7 @@ def metadata_boost(question: Column, tokens: Column, chunk: dict[str, Column], s
     concentration, title = tokenize(c("concentration")), tokenize(c("degree_full_title"))
     younger, older = any_of(tokens, V.UNDERGRADUATE), any_of(tokens, V.GRADUATE)
     under, over = level == "undergraduate", level == "graduate"
+    # What each rule adds.
     rules: list[tuple[Column, float]] = [
         (_met(asked, c("heading")), 0.08),
         (F.arrays_overlap(asked, tokenize(F.concat_ws(" ", c("course_code"), referenced))), 0.10),
@@ -102,12 +107,14 @@ def bm25_scores(chunks: DataFrame, questions: DataFrame, k1: float = 1.2, b: flo
     Tokens of questions are joined first with document frequencies and then with postings, so that only the postings of
     asked tokens are shuffled with a weight; nothing is collected.
     """
-    words = chunks.select(F.col(chunk).alias("_c"), tokenize(F.col(text)).alias("_t"))
+    # a generator's output is made once: what follows doesn't tokenise again for each use of the tokens
+    words = chunks.select(F.col(chunk).alias("_c"), F.explode(F.array(tokenize(F.col(text)))).alias("_t"))
     stats = words.agg(F.count("*").alias("_n"), F.avg(F.size("_t")).alias("_mean"))
-    tf = words.select("_c", F.size("_t").alias("_len"), F.explode("_t").alias("_token")).groupBy("_c", "_len", "_token").agg(F.count("*").alias("_tf"))
     asked = questions.select(F.col(question).alias("_q"), F.explode(F.array_distinct(tokenize(F.col(text)))).alias("_token"))
-    wanted = tf.join(asked.select("_token").distinct(), "_token", "left_semi")
-    df = wanted.groupBy("_token").agg(F.count("*").alias("_df"))
+    single = words.select("_c", F.size("_t").alias("_len"), F.explode("_t").alias("_token"))
+    wanted = single.join(asked.select("_token").distinct(), "_token", "left_semi").groupBy("_c", "_len", "_token").agg(F.count("*").alias("_tf"))
+    # it reads the counts as well, so both sides of the join below have one exchange in common and postings are made once
+    df = wanted.groupBy("_token").agg(F.sum(F.least("_tf", F.lit(1))).alias("_df"))
     hit = wanted.join(df, "_token").join(asked, "_token").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     part = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_mean")))
@@ -135,3 +142,40 @@ def relative_scores(lists: list[tuple[DataFrame, float]], keys: list[str], by: s
         low, high = F.min("score").over(w), F.max("score").over(w)
         parts.append(df.withColumn("_part", F.lit(weight) * F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0)).select(*keys, "_part"))
     return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.round(F.sum("_part"), 8).alias("score"))
+
+
+def nearest(vectors: DataFrame, questions: DataFrame, k: int, item: str = "doc_id", question: str = "item_id", vector: str = "embedding", most: int = 4096) -> DataFrame:
+    """(question, item, score, rank): the k items of largest cosine for each question, 6 places, ties to the smaller item.
+
+    Questions are broadcast as one matrix, at most `most` at a time (more take more passes); items stay where they are, a
+    batch is one matrix product, and of each batch only the k best for each question go on.
+    """
+    spark, kinds = vectors.sparkSession, (dict(questions.dtypes)[question], dict(vectors.dtypes)[item])
+    asked = questions.select(F.col(question).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    passes, out = max(1, -(-asked.count() // most)), None
+    for number in range(passes):
+        rows = asked.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == number).toArrow()
+        shared = spark.sparkContext.broadcast((rows.column("q").combine_chunks(), unit(rows.column("v").combine_chunks())))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            for batch in batches:
+                batch = batch.filter(batch.column(1).is_valid())
+                if not len(batch) or not len(names):
+                    continue
+                ids, score = batch.column(0), np.round(unit(batch.column(1)) @ q.T, 6)
+                order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
+                rank = order[np.argsort(-score[order], axis=0, kind="stable")[:k]]
+                of, at = np.broadcast_to(np.arange(len(names)), rank.shape).ravel(), rank.ravel()
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), ids.take(pa.array(at)), pa.array(score[at, of])], [question, item, "score"])
+
+        one = vectors.select(item, F.col(vector).cast("array<double>")).mapInArrow(best, f"{question} {kinds[0]}, {item} {kinds[1]}, score double")
+        out = one if out is None else out.unionByName(one)
+    return top(out, question, [F.desc("score"), F.col(item)], k)
+
+
+def unit(vectors: pa.ListArray) -> np.ndarray:
+    """Rows of equal length as a matrix of unit vectors; zero vectors stay zero."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 1))
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(norm > 0, norm, 1)
