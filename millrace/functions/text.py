@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import vocabulary as V
 
@@ -34,6 +36,12 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """Compatibility forms unified (NFKC), an Arrow batch at a time: no built-in function does this."""
+    return text.str.normalize("NFKC")
+
+
 def tokenize(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits without stop words, repeats kept."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))

@@ -64,10 +64,14 @@ def reading_order(lines: DataFrame, skip_headers: bool = True) -> DataFrame:
 
 
 def toc_entries(lines: DataFrame) -> DataFrame:
-    """(catalog_page, title, indent, section_type) of the dotted lines of a table of contents, by page."""
-    found = lines.where(F.col("text").rlike(V.TOC_LINE))
-    title = F.regexp_extract("text", V.TOC_LINE, 1)
-    return found.select(F.regexp_extract("text", V.TOC_LINE, 2).cast("int").alias("catalog_page"), title.alias("title"), F.col("x0").alias("indent"), section_type(title).alias("section_type")).orderBy("catalog_page")
+    """(catalog_page, title, indent, section_type) of the dotted lines of a table of contents, by page.
+
+    Running headers, entries without a title and pages below 1 are left out.
+    """
+    title = strip(F.regexp_extract("text", V.TOC_LINE, 1))
+    page = F.regexp_extract("text", V.TOC_LINE, 2).try_cast("int")
+    found = lines.where(~F.col("is_header") & F.col("text").rlike(V.TOC_LINE))
+    return found.select(page.alias("catalog_page"), title.alias("title"), F.col("x0").alias("indent"), section_type(title).alias("section_type")).where("title <> '' and catalog_page >= 1").orderBy("catalog_page")
 
 
 def section_type(title: Column) -> Column:
@@ -130,19 +134,22 @@ def _sections(lines: DataFrame, by: str) -> DataFrame:
     return lines.groupBy(by, "section").agg(ordered("text").alias("body"), F.min(at)["page"].alias("catalog_page"))
 
 
-def heading_chunks(lines: DataFrame, by: str = "range_id", size: float = HEADING_SIZE, least: int = 120) -> DataFrame:
+def heading_chunks(lines: DataFrame, by: str = "range_id", size: float = HEADING_SIZE, least: int = 120, preset: str | None = None, keep: Column | None = None) -> DataFrame:
     """(by, catalog_page, topic, text): a chunk for each heading of the lines of a page range, at least 120 characters.
 
     Headings that follow each other are one, joined by blanks, and lead the chunk's text. What stands before the first
-    heading has no topic and goes.
+    heading has the topic that the column `preset` gives, and goes if that is empty, unless `keep` holds.
     """
-    own = lines.where("not is_header").withColumn("_at", F.struct("page", "line_no")).withColumn("_heads", F.col("size") >= size)
+    before, stays = (F.coalesce(F.col(preset), F.lit("")) if preset else F.lit("")), (keep if keep is not None else F.lit(False))
+    own = lines.where("not is_header").withColumn("_at", F.struct("page", "line_no")).withColumn("_heads", F.col("size") >= size).withColumn("_before", before).withColumn("_stays", stays)
     cut = islands(own, "_heads", by, "_at", "section")
     order = F.array_sort(F.collect_list(F.when(F.col("_heads"), F.struct("page", "line_no", "text"))))
-    topics = cut.groupBy(by, "section").agg(F.array_join(F.transform(order, lambda x: x["text"]), " ").alias("topic"), F.min("page").alias("catalog_page"))
+    head = F.array_join(F.transform(order, lambda x: x["text"]), " ")
+    topics = cut.groupBy(by, "section").agg(head.alias("head"), F.min("page").alias("catalog_page"), F.first("_before").alias("_before"), F.first("_stays").alias("_stays"))
     bodies = _sections(cut.where("not _heads"), by).select(by, "section", "body")
-    whole = topics.join(bodies, [by, "section"], "left").withColumn("text", strip(F.concat_ws("\n", F.nullif("topic", F.lit("")), "body")))
-    return whole.where((F.col("topic") != "") & (F.length("text") >= least)).select(by, "catalog_page", "topic", "text", codes(F.col("text"), V.CATALOG_CODE).alias("referenced_courses"))
+    whole = topics.join(bodies, [by, "section"], "left").withColumn("text", strip(F.concat_ws("\n", F.nullif("head", F.lit("")), "body")))
+    named = whole.withColumn("topic", F.when(F.col("head") != "", F.col("head")).otherwise(F.col("_before")))
+    return named.where(((F.col("topic") != "") | F.col("_stays")) & (F.length("text") >= least)).select(by, "catalog_page", "topic", "text", codes(F.col("text"), V.CATALOG_CODE).alias("referenced_courses"))
 
 
 def course_chunks(lines: DataFrame, by: str = "range_id", bold: bool = False, least: int = 30, most: int = 32_000) -> DataFrame:

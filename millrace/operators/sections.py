@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import codes, collapse, strip
+from ..functions.text import codes, collapse, nfkc, strip
 from .chunks import degree_facts
 from .layout import HEADING_SIZE, TITLE_SIZE, islands
 
@@ -38,8 +38,8 @@ DEPARTMENT_HEADINGS = {
 
 
 def same_heading(a: Column, b: Column) -> Column:
-    """Equal but for case and white space. Compatibility forms are unified when lines are read."""
-    return F.lower(collapse(a)) == F.lower(collapse(b))
+    """Equal but for case, white space and compatibility forms."""
+    return F.lower(collapse(nfkc(a))) == F.lower(collapse(nfkc(b)))
 
 
 def headed(lines: DataFrame, size: float) -> DataFrame:
@@ -121,7 +121,7 @@ def degree_chunks(lines: DataFrame, title: str, start_heading: str = "", concent
     changed = F.col("chunk_type") != F.coalesce(F.lag("chunk_type").over(Window.partitionBy("range_id").orderBy("at")), F.lit("degree_requirement"))
     cut = typed.withColumn("_changed", changed).withColumn("section", so_far(F.col("_changed")))
     if concentration:
-        announced, totals = so_far(collapse(text).rlike(CONCENTRATION)), so_far(text.rlike(TOTAL), upto=-1)
+        announced, totals = so_far(collapse(nfkc(text)).rlike(CONCENTRATION)), so_far(text.rlike(TOTAL), upto=-1)
         inside = (F.col("chunk_type") == "degree_requirement") & (announced > 0) & (totals == 0)
         cut = cut.withColumn("_inside", inside).where("_inside or chunk_type <> 'degree_requirement'")
         cut = cut.withColumn("chunk_type", F.when(F.col("_inside"), "concentration_requirement").otherwise(F.col("chunk_type")))

@@ -16,14 +16,23 @@ from ..operators import lookup as U
 from .retrieve import search
 
 
-def embed(df: DataFrame, key: str, text: str, function: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
-    """(key, vector) by an injected function over lists of texts, at most `batch` at a time."""
+def embed(df: DataFrame, key: str, text: str, function: Callable[[list[str]], list[list[float]]], batch: int = 64, most_tokens: int = 240_000) -> DataFrame:
+    """(key, vector) by an injected function over lists of texts, at most `batch` and about so many tokens at a time.
+
+    A text of more tokens than that goes by itself. Tokens are estimated as in `chunks.embedding_batches`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for a in range(0, len(rows), batch):
-                part = rows.slice(a, batch)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(function([t or "" for t in part.column(1).to_pylist()]), pa.list_(pa.float32()))], [key, "vector"])
+            texts = [t or "" for t in rows.column(1).to_pylist()]
+            start, total = 0, 0
+            for i in range(len(texts) + 1):
+                n = max(1, (len(texts[i]) + 3) // 4) if i < len(texts) else 0
+                if i > start and (i == len(texts) or i - start == batch or total + n > most_tokens):
+                    vectors = function(texts[start:i])
+                    yield pa.RecordBatch.from_arrays([rows.column(0).slice(start, i - start), pa.array(vectors, pa.list_(pa.float32()))], [key, "vector"])
+                    start, total = i, 0
+                total += n
 
     return df.select(key, text).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, vector array<float>")
 
@@ -58,22 +67,20 @@ def judge_prompt(question: Column, answer: Column, facts: Column, note: Column,
 def lookups(questions: DataFrame, courses: DataFrame) -> DataFrame:
     """(question_id, answer) of the questions that the course dimension answers, by list, code or title.
 
-    Lists need the suffix and, if the question has one, the department; codes take the latest year of the first code
-    that is known; titles count only where one row is the sole hit or ranks more than twice as high as the next.
+    Lists need the suffix and, if the question has one, the department, and answer also that there is no such course;
+    codes take the latest year of the first code that is known; titles are looked for in all years, and count only
+    where one row is the sole hit or ranks more than twice as high as the next.
     """
     t = F.col("text")
     kinds = questions.withColumn("kind", question_type(t)).where("kind is not null")
-    current = U.latest(courses)
     listing = kinds.where(F.col("kind").startswith("list_")).withColumn("suffix", F.when(F.col("kind") == "list_general_education", "G").otherwise("V")).withColumn("prefix", F.coalesce(department_prefix(t), F.lit("")))
-    held = courses.select("suffix", "course_code", "course_title", "credits").distinct()
-    found = listing.join(held, "suffix").where(F.upper("course_code").startswith(F.col("prefix")))
-    lists = U.course_list(found.drop("suffix").withColumnRenamed("question_id", "suffix")).select(F.col("suffix").alias("question_id"), F.col("listing").alias("answer"))
+    lists = U.course_list(courses, listing.select("question_id", "suffix", "prefix")).select("question_id", F.col("listing").alias("answer"))
     single = kinds.where(~F.col("kind").startswith("list_"))
     asked = single.select("question_id", "kind", F.posexplode(codes(F.upper(t), V.QUESTION_CODE)).alias("i", "asked"))
     by_code = U.by_code(courses, asked.select("asked").distinct()).join(asked, "asked")
     first = by_code.groupBy("question_id").agg(F.min_by(F.struct("kind", "course_code", "course_title", "credits", "suffix", "catalog_year"), "i").alias("c"))
     rest = single.join(first, "question_id", "left_anti").withColumn("want", F.array_distinct(U.terms(title_words(t)))).where("size(want) > 0")
-    titled = current.withColumn("held", U.terms(F.col("course_title")))
+    titled = courses.withColumn("held", U.terms(F.col("course_title")))
     hits = rest.select("question_id", "kind", "want", F.explode("want").alias("term")).join(titled.select("*", F.explode(F.array_distinct("held")).alias("term")), "term")
     full = hits.groupBy("question_id", "kind", "course_code", "course_title", "credits", "suffix", "catalog_year", "held", "want").agg(F.count("*").alias("n")).where("n = size(want)")
     ranked = full.withColumn("rank", F.round(F.size(F.filter("held", lambda x: F.array_contains("want", x))) / (1 + F.log(F.size("held"))), 6))
@@ -100,3 +107,24 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, courses: DataFrame
     told = generate(ready.withColumn("prompt", prompt(F.col("text"), F.col("prompt_context"), day, rules)), function)
     out = told.select("question_id", "answer", F.coalesce("sources", empty).alias("sources"), "prompt_context")
     return away.unionByName(looked).unionByName(out)
+
+
+def evaluate(golden: DataFrame, results: DataFrame, known: list[str] | None = None) -> DataFrame:
+    """Row metrics of results (question_id, answer, chunks, latency, error) against golden questions, joined by id.
+
+    golden has question_id, category, key_facts, expected_chunk_ids, expected_source_type and banner_redirect_expected;
+    chunks is an array of structs with chunk_id, content_source and source. A question without a result has null metrics
+    and isn't passed. Judges are left to `evaluate.parse_judge` and `evaluate.judge_total`.
+    """
+    both = golden.join(results, "question_id", "left")
+    c = F.col
+    ids, kinds, sources = c("chunks.chunk_id"), c("chunks.content_source"), c("chunks.source")
+    found, first, right = E.hit(ids, c("expected_chunk_ids")), E.top_hit(ids, c("expected_chunk_ids")), E.source_right(kinds, c("expected_source_type"))
+    scored = both.withColumns({
+        "recall_at_k": found, "precision_at_1": first, "source_type_correct": right, "retrieval_score": E.retrieval_score(found, first, right), "context_recall": E.fact_coverage(c("answer"), c("key_facts")),
+        "filler_detected": E.has_filler(c("answer")), "leads_with_answer": E.leads_with_answer(c("answer")), "course_entity_valid": E.codes_valid(c("answer"), c("key_facts")),
+        "links_traced": E.links_traced(c("answer"), sources, known or []), "citation_format": E.cites_well(kinds, c("answer")), "response_length": E.word_count(c("answer")), "readability": E.reading_ease(c("answer")),
+    })
+    redirect = F.coalesce(c("banner_redirect_expected"), F.lit(False))
+    done = E.passed(redirect, E.redirected(c("answer"), "banner"), c("expected_chunk_ids"), c("retrieval_score"))
+    return scored.withColumn("passed", F.coalesce(done & c("answer").isNotNull(), F.lit(False)))

@@ -1,4 +1,4 @@
-"""Whole plans: answering batches of questions, and ingesting pages and catalog lines."""
+"""The search plan: ranked chunks for a batch of questions."""
 
 from __future__ import annotations
 
@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rank as R
 from ..functions import vocabulary as V
-from ..functions.text import content_id, expand_acronyms, expand_dates, first_code, question_sections, tokenize
-from ..operators import chunks as C
-from ..operators import layout as L
-from ..sources import pages as P
-from ..sources.files import with_settings
+from ..functions.text import expand_acronyms, expand_dates, tokenize
 
 FIELDS = "chunk_type level heading course_code referenced_courses degree_full_title degree_type concentration policy_topic lab content_source".split()
 
@@ -55,31 +51,14 @@ def search(questions: DataFrame, chunks: DataFrame, day: Column, department: str
     return R.top(scored, "question_id", [F.desc("final_score"), F.col("hybrid_rank")], F.col("k")).drop("rewritten", "tokens", "k")
 
 
-def ingest_pages(pages: DataFrame, table: DataFrame, department: str, campus: str, version: str) -> DataFrame:
-    """Chunks of web pages (page_id, url, html): walk, split questions, pack, annotate."""
-    walked = with_settings(P.walk_pages(pages), table)
-    split = F.flatten(F.transform("sections", lambda s: question_sections(s["heading"], s["text"])))
-    packed = walked.select("*", F.posexplode(C.pack_sections(split, F.col("chunk_type"))).alias("i", "chunk"))
-    whole = F.array_join(F.transform("sections", lambda s: s["text"]), " ")
-    return packed.select(
-        F.concat(F.col("url"), F.lit("#chunk-"), F.col("i").cast("string")).alias("chunk_id"), "chunk_type", F.lit(department).alias("department_id"), F.lit(campus).alias("campus"),
-        F.col("chunk.text").alias("text"), F.coalesce(F.nullif(F.col("chunk.heading"), F.lit("")), F.col("h1")).alias("heading"), F.col("url").alias("source"), "level", "degree_type",
-        first_code(F.col("h1"), whole).alias("course_code"), F.lit("web").alias("content_source"), F.lit(version).alias("crawl_version"),
-    )
+#: What a hit has of its chunk, in this order; what a chunk lacks is empty.
+HIT = "chunk_id chunk_type department_id campus text heading source level degree_type course_code referenced_courses content_source catalog_year catalog_page catalog_page_end degree_full_title concentration credits policy_topic lab".split()
 
 
-def ingest_lines(lines: DataFrame, plan: DataFrame, department: str, campus: str, year: str, catalog: str = "Academic Catalog") -> DataFrame:
-    """Chunks of catalog lines under a plan (range_id, start_page, end_page, chunk_type), first of equal texts only."""
-    own = L.in_plan(lines, plan)
-    topics = L.heading_chunks(own.where("chunk_type <> 'course_description'")).withColumns({"course_code": F.lit(""), "course_title": F.lit("")})
-    courses = L.course_chunks(own.where("chunk_type = 'course_description'")).withColumn("topic", F.lit("")).withColumn("referenced_courses", F.array().cast("array<string>"))
-    both = topics.unionByName(courses).join(F.broadcast(plan.select("range_id", "chunk_type")), "range_id")
-    ided = both.withColumn("chunk_id", content_id(F.col("text"))).withColumn("seq", F.struct("range_id", "catalog_page"))
-    facts = C.course_facts(F.col("course_code"), F.col("text"))
-    kept = C.first_wins(ided, "chunk_id", "seq")
-    return kept.select(
-        "chunk_id", "chunk_type", F.lit(department).alias("department_id"), F.lit(campus).alias("campus"), F.trim(F.regexp_replace("text", r"(?U)\s+", " ")).alias("text"),
-        C.catalog_heading(F.col("course_code"), F.col("course_title"), F.lit(""), F.col("topic"), F.lit(""), F.col("chunk_type")).alias("heading"), C.catalog_source(catalog, F.lit(year), F.col("catalog_page")).alias("source"),
-        F.when(F.col("course_code") != "", facts["course_level"]).otherwise("").alias("level"), "course_code", F.when(F.col("course_code") != "", facts["credits"]).otherwise("").alias("credits"),
-        "referenced_courses", F.lit("catalog").alias("content_source"), F.lit(year).alias("catalog_year"), "catalog_page",
-    )
+def hit_columns(hits: DataFrame) -> DataFrame:
+    """Hits with just these columns of their chunks, and question, rank and scores; no list of references is an empty one."""
+    empty = F.array().cast("array<string>")
+    fields = {c: F.col(c) if c in hits.columns else (empty if c == "referenced_courses" else F.lit("")) for c in HIT}
+    fields["referenced_courses"] = F.coalesce(fields["referenced_courses"], empty)
+    scores = [c for c in ("question_id", "rank", "hybrid_rank", "hybrid_score", "metadata_boost", "final_score") if c in hits.columns]
+    return hits.select(*scores, *[v.alias(c) for c, v in fields.items()])

@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# What is skipped, what splits sections, and tags that never have an end.
+# What is skipped, what splits sections, where pages say when they changed, and tags that never have an end.
 SKIP = {"script", "style", "nav", "footer", "header", "noscript"}
 SPLIT = {"h2", "h3"}
+STAMPS = {"article:modified_time", "last-modified", "article:published_time"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -110,11 +111,26 @@ def table_lines(table: Node) -> str:
     return "\n".join(lines)
 
 
-def page_parts(html: str | None) -> tuple[str, list[tuple[str, str]], list[str]]:
-    """(h1, sections, links) of a page. The walk starts at main, article, #content or body, whichever there is."""
+def page_facts(tree: Tree) -> tuple[str, str | None]:
+    """(text of the body, time of the last change that the page's head gives, if any)."""
+    body = tree.root.find(lambda n: n.tag == "body") or tree.root
+    stamps = [n.attrs.get("content") for n in tree.root.all("meta") if n.attrs.get("property") in STAMPS or n.attrs.get("name") in STAMPS]
+    return body.text(), next((s for s in stamps if s), None)
+
+
+def parsed(html: str | None) -> Tree:
     tree = Tree()
     tree.feed(html or "")
     tree.close()
+    return tree
+
+
+def page_parts(html: str | None) -> tuple[str, list[tuple[str, str]], list[str]]:
+    """(h1, sections, links) of a page. The walk starts at main, article, #content or body, whichever there is."""
+    return tree_parts(parsed(html))
+
+
+def tree_parts(tree: Tree) -> tuple[str, list[tuple[str, str]], list[str]]:
     root = None
     for test in (lambda n: n.tag == "main", lambda n: n.tag == "article", lambda n: n.attrs.get("id") == "content", lambda n: n.tag == "body"):
         root = root or tree.root.find(test)
@@ -142,18 +158,29 @@ def page_parts(html: str | None) -> tuple[str, list[tuple[str, str]], list[str]]
     return h1.text() if h1 else "", sections, links
 
 
-PAGE = "page_id long, url string, h1 string, sections array<struct<heading:string,text:string>>, links array<string>"
+PAGE = "page_id long, url string, h1 string, text string, sections array<struct<heading:string,text:string>>, links array<string>, page_timestamp string, _error string"
 
 
 def walk_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, h1, sections, links) of pages (page_id, url, html). A null page has no sections."""
+    """(page_id, url, h1, text, sections, links, page_timestamp, _error) of pages (page_id, url, html).
+
+    A null page has no sections. A page that can't be read has a message in _error and nothing else.
+    """
+
+    def facts(html: str | None) -> tuple:
+        try:
+            tree = parsed(html)
+            return *tree_parts(tree), *page_facts(tree), None
+        except Exception as e:  # one bad page must not lose the batch
+            return "", [], [], "", None, str(e) or type(e).__name__
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("heading", pa.string()), ("text", pa.string())]))
         for batch in batches:
-            rows = [page_parts(h) for h in batch.column(2).to_pylist()]
-            kind = pa.list_(pa.struct([("heading", pa.string()), ("text", pa.string())]))
-            sections = pa.array([[{"heading": h, "text": t} for h, t in s] for _, s, _ in rows], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([h for h, _, _ in rows], pa.string()), sections, pa.array([x for _, _, x in rows], pa.list_(pa.string()))], ["page_id", "url", "h1", "sections", "links"])
+            h1, sections, links, text, stamp, error = zip(*map(facts, batch.column(2).to_pylist())) if len(batch) else [()] * 6
+            sections = pa.array([[{"heading": h, "text": t} for h, t in s] for s in sections], kind)
+            strings = [pa.array(x, pa.string()) for x in (h1, text, stamp, error)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), strings[0], strings[1], sections, pa.array(links, pa.list_(pa.string())), *strings[2:]], ["page_id", "url", "h1", "text", "sections", "links", "page_timestamp", "_error"])
 
     return pages.select("page_id", "url", "html").mapInArrow(walk, PAGE)
 
@@ -174,14 +201,17 @@ def allowed(url: Column, hosts: list[str], prefixes: list[str], denied: list[str
 
 
 def crawl_queue(lists: list[DataFrame], most: int = 60) -> DataFrame:
-    """(url, seq) of links from the root, the seeds and the listed pages, each once, the first `most`."""
+    """(url, seq) of links (url, at) from the root, the seeds and the listed pages, each once, the first `most`.
+
+    The order is that in which links are first seen: list by list, and within a list by `at`.
+    """
     both = None
     for i, df in enumerate(lists):
-        one = df.select("url", F.lit(i).alias("_list"))
+        one = df.select("url", F.struct(F.lit(i).alias("list"), F.col("at").cast("long").alias("at")).alias("_at"))
         both = one if both is None else both.unionByName(one)
-    first = both.groupBy("url").agg(F.min("_list").alias("_list"))
-    top = first.orderBy("_list", "url").limit(most)  # at most `most` rows go on
-    return top.select("url", F.row_number().over(Window.orderBy("_list", "url")).alias("seq"))
+    first = both.groupBy("url").agg(F.min("_at").alias("_at"))
+    top = first.orderBy("_at", "url").limit(most)  # at most `most` rows go on
+    return top.select("url", F.row_number().over(Window.orderBy("_at", "url")).alias("seq"))
 
 
 def long_enough(pages: DataFrame, least: int = 100) -> DataFrame:
@@ -189,7 +219,8 @@ def long_enough(pages: DataFrame, least: int = 100) -> DataFrame:
 
 
 def with_more_sections(pages: DataFrame, more: DataFrame) -> DataFrame:
-    """Sections of a page's further views (url, sections) after its own."""
-    extra = more.groupBy("url").agg(F.flatten(F.collect_list("sections")).alias("_more"))
+    """Sections of a page's further views (url, view, sections), in order of the views, after its own."""
+    views = F.array_sort(F.collect_list(F.struct("view", "sections")))  # the views of one page
+    extra = more.groupBy("url").agg(F.flatten(F.transform(views, lambda v: v["sections"])).alias("_more"))
     joined = pages.join(extra, "url", "left")
     return joined.withColumn("sections", F.when(F.col("_more").isNull(), F.col("sections")).otherwise(F.concat("sections", "_more"))).drop("_more")
