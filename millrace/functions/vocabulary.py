@@ -80,5 +80,20 @@ COURSE_ENTRY = r"^([A-Z]{1,4}(?:\s[A-Z]{1,4})?\s+\d{3,4}[A-Z]?)\.\s+(.+)$"
 TOC_LINE = r"^(.+?)\s*\.{2,}\s*(\d+)\s*$"
 QUESTION_MARKER = r"(?<!\w)Q\d+(?=[\s.])"
 
+# Patterns of filler in an answer, of an opening that isn't an answer, and of a link.
+FILLER = r"(?i)\b(great question|certainly[!,]?|of course[!,]?|i'?d be happy to help|as an ai|i'?m here to help|absolutely[!,]?|sure[!,]?)\b"
+OPENER = r"(?i)^\s*(great|certainly|of course|i'?d be happy|as an ai|i'?m here|absolutely|sure)[!,\s]"
+LINK = r"""https?://[^\s)\]>,"']+"""
+
+# Degrees by a phrase of the title (type, level), and families by a phrase of the department's name.
+DEGREES = {"bachelor of arts": ("ba", "undergraduate"), "bachelor of science": ("bs", "undergraduate"), "master of": ("ms", "ms"), "doctor of": ("phd", "phd")}
+FAMILIES = ["computer science", "data analytics", "bioinformatics", "electrical engineering"]
+
+# The columns of the retrieval export and of the two result tables.
+EXPORT = "timestamp_utc department_id question answer sources prompt_context chunk_count chunk_rank chunk_id chunk_type content_source heading source course_code referenced_courses catalog_year catalog_page catalog_page_end level degree_type degree_full_title concentration policy_topic lab score hybrid_score metadata_boost final_score text".split()
+ANSWER_FIELDS = "question_id category question passed system_answer".split()
+SCORE_FIELDS = "question_id category passed retrieval_score judge_total recall_at_k precision_at_1 source_type_correct faithfulness completeness hallucination response_quality latency_ms judge_reasoning".split()
+RETRIEVED = "chunk_id rank hybrid_score metadata_boost final_score chunk_type content_source heading source".split()
+
 # Defaults.
 TOP_K, ALPHA, MIN_CHARS, MAX_CHARS, TOKEN_LIMIT = 5, 0.75, 150, 2000, 8192

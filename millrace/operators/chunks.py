@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import content_id, estimate_tokens, slug, strip
+from ..functions.text import collapse, content_id, estimate_tokens, slug, strip
 
 CHUNK = "array<struct<heading:string,text:string>>"
 
@@ -74,17 +74,23 @@ def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def catalog_level(course_level: Column, degree_level: Column) -> Column:
-    graduate = degree_level.isin("ms", "phd", "graduate")
-    return F.when(course_level == "graduate", "graduate").when(course_level != "", "undergraduate").when(graduate, "graduate").when(degree_level != "", "undergraduate").otherwise("")
+    """graduate or undergraduate of a course, else of a degree (ms and phd are graduate)."""
+    return F.when(course_level == "graduate", "graduate").when(course_level != "", "undergraduate").when(degree_level.isin("ms", "phd"), "graduate").otherwise(F.coalesce(degree_level, F.lit("")))
 
 
 def catalog_heading(code: Column, course: Column, degree: Column, topic: Column, lab: Column, kind: Column) -> Column:
-    """Code and title, else degree, topic, lab or type, whichever comes first."""
-    named = F.when((code != "") & (course != ""), F.concat_ws(" — ", code, course)).when(code != "", code)
+    """Code and title if there are both, else degree, topic, lab or type, whichever comes first."""
     filled = lambda c: F.nullif(c, F.lit(""))
+    named = F.when((code != "") & (course != ""), F.concat_ws(" — ", code, course))
     return F.coalesce(named, filled(degree), filled(topic), filled(lab), kind)
 
 
+def document_id(year: str, code: Column, degree: Column, kind: Column, page: Column) -> Column:
+    """A readable id of a catalog chunk: by its course, else its degree, else its type and page."""
+    part = lambda name, value: F.concat_ws("::", F.lit("catalog"), F.lit(year), name, value)
+    return F.when(code != "", part(F.lit("course"), slug(code))).when(degree != "", part(F.lit("degree"), slug(degree))).otherwise(part(kind, F.concat(F.lit("p"), page.cast("string"))))
+
+
 def catalog_source(name: str, year: Column, page: Column) -> Column:
     return F.concat(F.lit(f"{name} "), year, F.lit(", p."), page.cast("string"))
 
@@ -95,27 +101,47 @@ def suffix(code: Column) -> Column:
 
 
 def degree_facts(title: Column) -> dict[str, Column]:
-    """Degree type, level and concentration from a degree's title."""
+    """Degree type, level and concentration from a degree's title; other titles have neither type nor level."""
     low = F.lower(title)
-    kind = F.when(low.contains("doctor"), "phd").when(low.contains("master"), "ms").when(low.contains("bachelor of arts"), "ba").when(low.contains("bachelor"), "bs").when(low.contains("minor"), "minor").otherwise("")
-    level = F.when(kind.isin("phd", "ms"), "graduate").when(kind == "", "").otherwise("undergraduate")
-    inside = F.regexp_extract(title, r"\(([^)]*)\)", 1)
-    return {"degree_type": kind, "level": level, "concentration": F.when(inside != "", F.regexp_replace(F.lower(strip(inside)), r"\s+", "_")).otherwise("general")}
+    of = lambda i: F.coalesce(*[F.when(low.contains(phrase), F.lit(facts[i])) for phrase, facts in V.DEGREES.items()], F.lit(""))
+    inside = F.regexp_extract(title, r"\(([^)]+)\)", 1)
+    return {"degree_type": of(0), "level": of(1), "concentration": F.when(inside != "", F.replace(F.lower(inside), F.lit(" "), F.lit("_"))).otherwise("general")}
 
 
-def course_facts(code: Column, text: Column) -> dict[str, Column]:
-    """Prefix, level, credits and prerequisites of a course entry. Credits need two characters, as in '3-' or '1-3'."""
-    number = F.regexp_extract(code, r"(\d{3,4})", 1).try_cast("int")
+def course_facts(code: Column, text: Column, bold: bool = False) -> dict[str, Column]:
+    """Prefix, level, credits and prerequisites of a course entry, without regard to case.
+
+    Credits need two characters, as in '3-' or '1-3'; one is enough in entries that were found by bold type, whose
+    prefix is all letters before the number.
+    """
+    clean = collapse(code)
+    prefix = strip(F.regexp_extract(clean, r"^([A-Z][A-Z\s]*?)\s*\d" if bold else r"^([A-Z]{1,4}(?:\s[A-Z]{1,4})?)", 1))
+    number = F.regexp_extract(clean, r"(\d+)", 1).try_cast("int")
     return {
-        "prefix": strip(F.regexp_extract(code, r"^([A-Z ]+?)\s+\d", 1)),
+        "prefix": F.when(prefix == "", F.substring_index(clean, " ", 1)).otherwise(prefix) if bold else prefix,
         "course_level": F.when(number >= 5000, "graduate").otherwise("undergraduate"),
-        "credits": F.regexp_extract(text, r"\(?(\d[\d\-]+)\s*(?:Credits?|cr\.)", 1),
-        "has_prerequisites": text.contains("Prerequisite"),
+        "credits": F.regexp_extract(text, r"(?i)(\d[\d\-]*)\s*Credits?" if bold else r"(?i)(\d[\d\-]+)\s*Credits?", 1),
+        "has_prerequisites": text.rlike("(?i)prerequisite"),
     }
 
 
 def family(department: Column) -> Column:
-    return F.substring(F.translate(slug(department), "-", "_"), 1, 30)
+    """A known family that the department's name holds, else the name in lower case with underscores, 30 characters."""
+    low = F.lower(department)
+    named = [F.when(low.contains(f), F.lit(f.replace(" ", "_"))) for f in V.FAMILIES]
+    return F.coalesce(*named, F.btrim(F.substring(F.regexp_replace(low, r"(?U)\W+", "_"), 1, 30), F.lit("_")))
+
+
+def course_records(chunks: DataFrame) -> DataFrame:
+    """Rows of the course dimension from chunks of course descriptions: the title is what follows the dash of the heading."""
+    own = chunks.where((F.col("chunk_type") == "course_description") & (F.coalesce("course_code", F.lit("")) != ""))
+    title = F.when(F.col("heading").contains(" — "), F.regexp_extract("heading", r"(?s)^.*? — (.*)$", 1)).otherwise(F.col("heading"))
+    return own.select("course_code", title.alias("course_title"), "credits", suffix(F.col("course_code")).alias("suffix"), "department_id", "campus", "catalog_year")
+
+
+def counters(chunks: DataFrame, pages: str = "source") -> DataFrame:
+    """One row: how many pages gave chunks, and how many chunks there are."""
+    return chunks.agg(F.count_distinct(pages).alias("pages_scraped"), F.count("*").alias("chunks_indexed"))
 
 
 def oversized(df: DataFrame, text: str = "text", tokens: int = V.TOKEN_LIMIT) -> DataFrame:
@@ -123,12 +149,15 @@ def oversized(df: DataFrame, text: str = "text", tokens: int = V.TOKEN_LIMIT) ->
     return df.where(F.length(text) > tokens * 4)
 
 
-def embedding_batches(df: DataFrame, key: str, text: str = "text", most_rows: int = 64, most_tokens: int = 240_000, groups: int = 64) -> DataFrame:
-    """Add (group, batch): batches of at most so many rows and tokens within hash groups of rows, in order of key.
+def embedding_batches(df: DataFrame, key: str, text: str = "text", most_rows: int = 64, most_tokens: int = 240_000, group: Column | None = None, group_rows: int = 4096) -> DataFrame:
+    """(key, group, tokens, batch): batches of at most so many rows and tokens, in order of key within a group.
 
-    A batch closes at the row that would exceed a limit; groups are independent, so it scales with them.
+    A batch closes at the row that would exceed a limit. Groups are packed independently of each other: by default as
+    many hash groups as make about `group_rows` rows each, so there are more of them and not larger ones for more rows.
     """
-    sized = df.withColumn("group", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")).withColumn("tokens", estimate_tokens(F.col(text)))
+    if group is None:
+        group = F.pmod(F.xxhash64(key), F.lit(max(1, -(-df.count() // group_rows))))
+    sized = df.select(key, group.cast("int").alias("group"), estimate_tokens(F.col(text)).alias("tokens"))
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
@@ -140,8 +169,7 @@ def embedding_batches(df: DataFrame, key: str, text: str = "text", most_rows: in
             out.append(batch)
         return pdf.assign(batch=out)
 
-    kind = dict(df.dtypes)[key]
-    return sized.select(key, "group", "tokens").groupBy("group").applyInPandas(cut, f"{key} {kind}, group int, tokens int, batch int")
+    return sized.groupBy("group").applyInPandas(cut, f"{key} {dict(df.dtypes)[key]}, group int, tokens int, batch int")
 
 
 def quality_issues(chunks: DataFrame) -> DataFrame:
@@ -166,19 +194,45 @@ def with_ids(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("chunk_id", content_id(F.col(text)))
 
 
-def filter_chunks(chunks: DataFrame, *, chunk_type: str | None = None, level: str | None = None, degree_type: str | None = None, concentration: str | None = None, title: str | None = None, references: str | None = None, code_prefix: str | None = None, topic: str | None = None) -> DataFrame:
-    """The chunks that meet every given condition."""
-    tests = [
-        None if chunk_type is None else F.col("chunk_type") == chunk_type,
-        None if level is None else F.col("level") == level,
-        None if degree_type is None else F.col("degree_type") == degree_type,
-        None if concentration is None else F.col("concentration") == concentration,
-        None if title is None else F.lower("degree_full_title").contains(title.lower()),
-        None if references is None else F.array_contains("referenced_courses", references),
-        None if code_prefix is None else F.col("course_code").startswith(code_prefix),
-        None if topic is None else F.lower("policy_topic").contains(topic.lower()),
-    ]
+def where_all(df: DataFrame, tests: list[Column | None]) -> DataFrame:
+    """The rows that meet every test that is given."""
     for test in tests:
         if test is not None:
-            chunks = chunks.where(test)
-    return chunks
+            df = df.where(test)
+    return df
+
+
+def filter_chunks(chunks: DataFrame, *, chunk_type: str | None = None, level: str | None = None, degree_type: str | None = None, degree_level: str | None = None, concentration: str | None = None, department: str | None = None, family: str | None = None, research: bool | None = None, prefix: str | None = None, title: str | None = None, references: str | None = None, code_prefix: str | None = None, topic: str | None = None) -> DataFrame:
+    """The chunks that meet every given condition; names and topics by a part of them, without regard to case."""
+    has = lambda column, part: F.lower(column).contains(part.lower())
+    return where_all(chunks, [
+        None if not chunk_type else F.col("chunk_type") == chunk_type,
+        None if not level else F.col("level") == level,
+        None if not degree_type else F.col("degree_type") == degree_type,
+        None if not degree_level else F.col("degree_level") == degree_level,
+        None if not concentration else has("concentration", concentration),
+        None if not department else has("dept_name", department),
+        None if not family else F.array_contains("program_family", family),
+        None if research is None else F.col("is_research_related") == research,
+        None if not prefix else F.col("dept_prefix").startswith(prefix),
+        None if not title else has("degree_full_title", title),
+        None if not references else F.array_contains("referenced_courses", references),
+        None if not code_prefix else F.col("course_code").startswith(code_prefix),
+        None if not topic else has("policy_topic", topic),
+    ])
+
+
+def filter_courses(chunks: DataFrame, *, prefix: str | None = None, level: str | None = None, prerequisites: bool | None = None, title: str | None = None, code: str | None = None) -> DataFrame:
+    """The course descriptions that meet every given condition."""
+    return where_all(chunks.where(F.col("chunk_type") == "course_description"), [
+        None if not prefix else F.col("dept_prefix") == prefix.strip(),
+        None if not level else F.col("course_number_level") == level,
+        None if prerequisites is None else F.col("has_prerequisites") == prerequisites,
+        None if not title else F.lower("course_title").contains(title.lower()),
+        None if not code else F.upper("course_code").contains(code.upper()),
+    ])
+
+
+def find_course(chunks: DataFrame, code: str, order: str = "chunk_id") -> DataFrame:
+    """The first chunk, in this order, of a course; white space and case aside."""
+    return chunks.where(F.upper(collapse(F.col("course_code"))) == F.upper(collapse(F.lit(code)))).orderBy(order).limit(1)

@@ -61,12 +61,13 @@ def fact_coverage(answer: Column, facts: Column) -> Column:
     return F.when(F.size(facts) > 0, F.round(F.size(F.filter(facts, covered)) / F.size(facts), 3)).otherwise(F.lit(0.0))
 
 
-def has_filler(answer: Column, phrases: str = r"(?i)\b(?:as an ai|i hope this helps|feel free to|please note that)\b") -> Column:
-    return answer.rlike(phrases)
+def has_filler(answer: Column) -> Column:
+    return answer.rlike(V.FILLER)
 
 
-def leads_with_answer(answer: Column, openers: str = r"(?i)^(?:great question|certainly|sure|of course|absolutely)\b") -> Column:
-    return ~strip(answer).rlike(openers)
+def leads_with_answer(answer: Column) -> Column:
+    """Whether an answer doesn't begin with an opening phrase."""
+    return ~strip(answer).rlike(V.OPENER)
 
 
 def codes_valid(answer: Column, facts: Column) -> Column:
@@ -77,7 +78,7 @@ def codes_valid(answer: Column, facts: Column) -> Column:
 
 def links_traced(answer: Column, sources: Column, known: list[str]) -> Column:
     """Whether every link of the answer is of a known host or a prefix of, or prefixed by, a source."""
-    links = F.regexp_extract_all(F.lower(answer), F.lit(r"https?://[^\s)\]>]+"), F.lit(0))
+    links = F.regexp_extract_all(F.lower(answer), F.lit(V.LINK), F.lit(0))
     filled = F.filter(F.transform(sources, F.lower), lambda s: s != "")
 
     def traced(link: Column) -> Column:
@@ -98,7 +99,7 @@ def reading_ease(answer: Column) -> Column:
     n = F.regexp_count(answer, F.lit("[A-Za-z]+"))
     sentences = F.greatest(F.lit(1), F.regexp_count(answer, F.lit(r"[.!?]+")))
     syllables = F.regexp_count(F.lower(answer), F.lit("[aeiouy]+"))
-    return F.when(n > 0, F.round(206.835 - 1.015 * n / sentences - 84.6 * syllables / F.greatest(n, F.lit(1)), 3))
+    return F.when(n > 0, F.round(206.835 - 1.015 * n / sentences - 84.6 * syllables / F.greatest(n, F.lit(1)), 1))
 
 
 def judge_total(scores: list[Column]) -> Column:
@@ -130,6 +131,28 @@ def category_summary(results: DataFrame, by: str = "category") -> DataFrame:
     return results.groupBy(by).agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"), rate.alias("pass_rate"), F.round(F.avg("retrieval_score"), 3).alias("avg_retrieval"), F.round(F.avg("judge_total"), 3).alias("avg_judge"))
 
 
+def run_summary(results: DataFrame) -> DataFrame:
+    """One row of a run: questions, passes (true only), pass rate, and mean (cut) and 90th-percentile latency."""
+    rate = F.when(F.count("*") > 0, F.round(F.count_if("passed") / F.nullif(F.count("*"), F.lit(0)), 3))
+    counted = results.agg(F.count("*").alias("total_questions"), F.count_if("passed").alias("total_passed"), rate.alias("pass_rate"), F.floor(F.avg("latency")).cast("int").alias("avg_latency"))
+    return counted.join(F.broadcast(nearest_rank(results.withColumn("_all", F.lit(1)), "latency", ["_all"]).drop("_all")), F.lit(True), "left")  # one row each
+
+
+def run_lists(results: DataFrame, low: float = PASS) -> DataFrame:
+    """(list, question_id) of the questions that failed, had an error, or a retrieval score below `low`.
+
+    Rows, and not arrays in one row, since a run may have any number of questions.
+    """
+    lists = [("failed", ~F.col("passed")), ("error", F.coalesce(F.col("error"), F.lit("")) != ""), ("low_retrieval", F.col("retrieval_score") < low)]
+    found = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in lists]))
+    return results.select(F.explode(found).alias("list"), "question_id")
+
+
+def retrieved(chunks: Column) -> Column:
+    """An array of chunks with just the fields that a result keeps of them."""
+    return F.transform(chunks, lambda c: F.struct(*[c[f].alias(f) for f in V.RETRIEVED]))
+
+
 def nearest_rank(values: DataFrame, value: str, by: list[str], share: float = 0.9) -> DataFrame:
     """The value at 0-based rank floor(n x share) of each group, by counts of distinct values.
 

@@ -64,22 +64,42 @@ def clear_winner(hits: DataFrame, by: str, order: list[Column]) -> DataFrame:
 
 def answer(kind: Column, code: Column, title: Column, credits: Column, suffix: Column, year: Column, catalog: str = "Academic Catalog") -> Column:
     """A sentence about a course's credits or about what its suffix counts toward."""
-    course = F.concat_ws(" — ", code, title)
-    where = F.concat(F.lit(f" ({catalog} "), year, F.lit(")."))
-    goal = F.when(kind == "general_education", "General Education").when(kind == "wider_world", "Viewing a Wider World")
-    letter = F.when(kind == "general_education", "G").when(kind == "wider_world", "V")
-    other = F.when(suffix == "G", "General Education").when(suffix == "V", "Viewing a Wider World")
-    yes = F.concat(F.lit("Yes. "), course, F.lit(" has the suffix "), letter, F.lit(" and counts toward "), goal, where)
-    instead = F.concat(F.lit("No. "), course, F.lit(" has the suffix "), suffix, F.lit(" and counts toward "), other, F.lit(", not "), goal, where)
-    no = F.concat(F.lit("No. "), course, F.lit(" has no suffix "), letter, F.lit(" and doesn't count toward "), goal, where)
-    count = F.concat(course, F.lit(" carries "), credits, F.lit(" credit(s)"), where)
-    return F.when(kind == "credits", count).when(suffix == letter, yes).when(other.isNotNull(), instead).otherwise(no)
-
-
-def course_list(courses: DataFrame) -> DataFrame:
-    """(suffix, listing): all courses of a suffix, one to a line."""
-    line = F.concat(F.lit("- "), F.col("course_code"), F.lit(" — "), F.col("course_title"), F.when(F.col("credits") != "", F.concat(F.lit(" ("), F.col("credits"), F.lit(" cr.)"))).otherwise(""))
-    return courses.groupBy("suffix").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("listing"))
+    # The sentences, but for the catalog's name.
+    course, where = F.concat_ws(" — ", code, title), F.concat(F.lit(f"({catalog} "), year, F.lit(")."))
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    general = F.when(suffix == "G", say("Yes. ", course, " has a 'G' suffix, which means it counts toward General Education requirements ", where))
+    general = general.when(suffix == "V", say("No. ", course, " has a 'V' suffix, not 'G'. It counts toward Viewing a Wider World (VWW) requirements, not General Education ", where))
+    general = general.otherwise(say("No. ", course, " does not carry a 'G' suffix, so it does not count toward General Education requirements ", where))
+    wider = F.when(suffix == "V", say("Yes. ", course, " has a 'V' suffix, which means it counts toward Viewing a Wider World (VWW) requirements ", where))
+    wider = wider.when(suffix == "G", say("No. ", course, " has a 'G' suffix, not 'V'. It counts toward General Education requirements, not VWW ", where))
+    wider = wider.otherwise(say("No. ", course, " does not carry a 'V' suffix, so it does not count toward Viewing a Wider World requirements ", where))
+    return F.when(kind == "credits", say(course, " carries ", credits, " credit(s) ", where)).when(kind == "general_education", general).when(kind == "wider_world", wider)
+
+
+#: What a suffix is called in lists.
+LABELS = {"G": "General Education (G)", "V": "Viewing a Wider World (V)"}
+
+
+def course_list(courses: DataFrame, asked: DataFrame, catalog: str = "Academic Catalog") -> DataFrame:
+    """(asked's columns, listing): the courses of a suffix and of a department's prefix (empty: all), one to a line, by code.
+
+    asked has suffix and prefix and is small. Without any such course the listing says so; the catalog's year is that
+    of the first course.
+    """
+    # The sentences around the list.
+    label = F.coalesce(*[F.when(F.col("suffix") == k, F.lit(v)) for k, v in LABELS.items()], F.col("suffix"))
+    held = courses.select(F.upper("suffix").alias("_suffix"), "course_code", "course_title", "credits", "catalog_year")
+    line = F.concat(F.lit("- "), F.col("course_code"), F.lit(" — "), F.col("course_title"), F.when(F.coalesce("credits", F.lit("")) != "", F.concat(F.lit(" ("), F.col("credits"), F.lit(" cr.)"))).otherwise(""))
+    wanted = F.broadcast(asked.select("suffix", "prefix").distinct())  # suffixes x departments
+    found = held.join(wanted, (F.col("_suffix") == F.upper("suffix")) & F.upper("course_code").startswith(F.upper("prefix")))
+    item = F.struct("course_code", "catalog_year", line.alias("line"))
+    lists = found.groupBy("suffix", "prefix").agg(F.array_sort(F.collect_list(item)).alias("rows"))  # an answer, so as long as one may be
+    within = F.when(F.col("prefix") != "", F.concat(F.lit(" in "), F.col("prefix"))).otherwise("")
+    year = F.get("rows", F.lit(0))["catalog_year"]
+    foot = F.when(F.coalesce(year, F.lit("")) != "", F.concat(F.lit(f"\n\nSource: {catalog} "), year, F.lit("."))).otherwise("")
+    full = F.concat(F.lit("The following"), within, F.lit(" courses carry a "), label, F.lit(" suffix:\n\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), foot)
+    none = F.concat(F.lit("No courses"), within, F.lit(" with a "), label, F.lit(" suffix were found in the course lookup table."))
+    return asked.join(lists, ["suffix", "prefix"], "left").withColumn("listing", F.when(F.col("rows").isNull(), none).otherwise(full)).drop("rows")
 
 
 def in_set(value: Column, values: list[str]) -> Column:

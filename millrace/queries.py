@@ -19,7 +19,6 @@ from .operators import evaluate as E
 from .operators import layout as L
 from .operators import lookup as U
 from .operators import store as S
-from .plans import retrieve as plans
 from .sources import files, pages
 from .streaming import chat
 
@@ -105,16 +104,15 @@ VECTOR = """vector AS (SELECT b.item_id, e.vec_id AS doc_id, round(list_cosine_s
    FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings e)"""
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vectors(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     e, b = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark")
-    asked = b.join(e, b["item_id"] == e["vec_id"]).select("item_id", F.col("embedding").alias("q"))
-    # a batch of questions, of the size of benchmark, against all vectors
-    return e.crossJoin(asked).select("item_id", F.col("vec_id").alias("doc_id"), F.round(R.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    asked = b.join(e, b["item_id"] == e["vec_id"]).select("item_id", "embedding")
+    return R.nearest(e.withColumnRenamed("vec_id", "doc_id"), asked, k)
 
 
 @query(f"WITH {VECTOR} SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM vector) WHERE rank <= 5")
 def retrieve_vector(spark, sf_dir):
-    return R.top(vectors(spark, sf_dir), "item_id", [F.desc("score"), F.col("doc_id")], 5)
+    return vectors(spark, sf_dir, 5)
 
 
 LISTS = f"""{BM25}, {VECTOR}, lists AS (SELECT item_id, doc_id, 0.25 AS w, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, score FROM bm25
@@ -123,7 +121,7 @@ LISTS = f"""{BM25}, {VECTOR}, lists AS (SELECT item_id, doc_id, 0.25 AS w, row_n
 
 def ranked_lists(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, float]]:
     order = [F.desc("score"), F.col("doc_id")]
-    return [(R.top(bm25(spark, sf_dir), "item_id", order, 50), 1 - V.ALPHA), (R.top(vectors(spark, sf_dir), "item_id", order, 50), V.ALPHA)]
+    return [(R.top(bm25(spark, sf_dir), "item_id", order, 50), 1 - V.ALPHA), (vectors(spark, sf_dir, 50), V.ALPHA)]
 
 
 @query(f"""WITH {LISTS}, fused AS (SELECT item_id, doc_id, round(sum(w / (60 + rank)), 8) AS score FROM lists WHERE rank <= 50 GROUP BY ALL)
@@ -195,13 +193,6 @@ def metadata_rerank(spark, sf_dir):
     return R.top(own.crossJoin(q).select("question_id", "doc_id", boost.alias("boost")), "question_id", [F.desc("boost"), F.col("doc_id")], 15)
 
 
-@query()
-def search_plan(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
-    own = C.first_wins(chunks(spark, sf_dir), "chunk_id", "doc_id").drop("doc_id")
-    return plans.search(asked, own, T.as_date("2026-04-24")).select("question_id", "chunk_id", "hybrid_rank", "hybrid_score", "metadata_boost", "final_score", "rank")
-
-
 # Text
 
 @query(f"SELECT doc_id, CAST(len(t) AS INT) AS n, CAST(len(list_distinct(t)) AS INT) AS kinds FROM (SELECT doc_id, {TOKENS('text')} AS t FROM documents)")
@@ -233,16 +224,6 @@ def semester_counts(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(T.semester(F.col("o_orderdate")).alias("semester")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES (2, 'When is CSCI 4120 offered Fall 2026?'), (9, 'Is financial aid open for registration Spring 2026?'), (11, 'Tell me about ML and NLP research Spring 2025')) AS v(question_id, expanded)""")
-def temporal_expand(spark, sf_dir):
-    return questions(spark).where(F.col("question_id").isin(2, 9, 11)).select("question_id", T.expand_dates(F.col("text"), T.as_date("2026-04-24")).alias("expanded"))
-
-
-@query("WITH " + ASKED + """ SELECT question_id, coalesce(expanded, text) AS expanded FROM questions LEFT JOIN (VALUES (2, 'When is CSCI 4120 offered Fall 2026?'), (9, 'Is financial aid open for registration Spring 2026?'), (11, 'Tell me about ML and NLP research Spring 2025')) AS v(question_id, expanded) USING (question_id)""")
-def temporal_expand_all(spark, sf_dir):
-    return questions(spark).select("question_id", T.expand_dates(F.col("text"), T.as_date("2026-04-24")).alias("expanded"))
-
-
 
 @query("WITH " + ASKED + f""" SELECT question_id, CASE WHEN {' OR '.join(f"contains(lower(text), '{p}')" for p in V.GENERAL_EDUCATION_PHRASES)} THEN CASE WHEN l THEN 'list_general_education' ELSE 'general_education' END
   WHEN {' OR '.join(f"contains(lower(text), '{p}')" for p in V.WIDER_WORLD_PHRASES)} THEN CASE WHEN l THEN 'list_wider_world' ELSE 'wider_world' END WHEN {' OR '.join(f"contains(lower(text), '{p}')" for p in V.CREDIT_PHRASES)} THEN 'credits' END AS kind
@@ -269,11 +250,6 @@ def token_estimates(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), (F.length("text") > 4 * V.TOKEN_LIMIT).alias("oversized"))
 
 
-@query()
-def embedding_batches(spark, sf_dir):
-    return C.embedding_batches(table(spark, sf_dir, "documents"), "doc_id")
-
-
 @query("SELECT count(*) AS n FROM documents WHERE length(text) > 32768")
 def preflight(spark, sf_dir):
     return C.oversized(table(spark, sf_dir, "documents")).agg(F.count("*").alias("n"))
@@ -281,30 +257,11 @@ def preflight(spark, sf_dir):
 
 # Ingest
 
-@query()
-def page_sections(spark, sf_dir):
-    walked = pages.walk_pages(table(spark, sf_dir, "pages"))
-    return walked.select("page_id", "h1", F.size("sections").alias("n_sections"), F.length(F.array_join(F.transform("sections", lambda s: s["text"]), " ")).alias("n_chars"), F.size("links").alias("n_links"))
-
-
 @query("SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS h1 FROM pages")
 def page_titles(spark, sf_dir):
     return pages.walk_pages(table(spark, sf_dir, "pages")).select("page_id", "h1")
 
 
-@query()
-def ingest_pages(spark, sf_dir):
-    config = files.page_settings(spark, {"pages": {}})
-    return plans.ingest_pages(table(spark, sf_dir, "pages"), config, "dept", "main", "v1").select("chunk_id", "chunk_type", "heading", F.length("text").alias("n"), "source")
-
-
-@query()
-def chunk_pack(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    sections = F.transform(F.split("text", "\n"), lambda line: F.struct(F.lit("").alias("heading"), line.alias("text")))
-    return docs.select("doc_id", F.posexplode(C.pack_sections(sections, F.lit("general"))).alias("i", "c")).select("doc_id", "i", F.length("c.text").alias("n"), F.md5("c.text").alias("digest"))
-
-
 @query("""WITH RECURSIVE parts AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\n+|\\.\\s+'), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13))), lambda p: p <> '') AS p FROM documents WHERE length(trim(text, ' ' || chr(10))) > 500),
  fold AS (SELECT doc_id, 2 AS i, p[1] AS now, CAST(NULL AS VARCHAR) AS done, p FROM parts WHERE len(p) > 0
   UNION ALL SELECT doc_id, i + 1, CASE WHEN length(now) + length(p[i]) + 1 > 500 THEN p[i] ELSE now || ' ' || p[i] END, CASE WHEN length(now) + length(p[i]) + 1 > 500 THEN now END, p FROM fold WHERE i <= len(p)),
@@ -316,23 +273,11 @@ def long_split(spark, sf_dir):
     return cut.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("c.text")).alias("chars"))
 
 
-@query()
-def qa_split(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "Intro " * 12 + "Q1. What? Yes. Q2 Why? No.", "faq"), (2, "Q1. One only.", "faq"), (3, "Q1. First one. Q22. Second xQ3. one", "faq")], "id int, text string, heading string")
-    return rows.select("id", F.posexplode(T.question_sections(F.col("heading"), F.col("text"))).alias("i", "s")).select("id", "i", "s.heading", "s.text")
-
-
 @query("""SELECT page_id, regexp_matches(url, '^https?://') AND NOT contains(url, 'login') AND regexp_extract(lower(url), '^https?://([^/:?#]+)', 1) IN ('site0.example', 'site1.example', 'site2.example') AS ok FROM pages""")
 def url_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", pages.allowed(F.col("url"), ["site0.example", "site1.example", "site2.example"], [], ["login"]).alias("ok"))
 
 
-@query("""SELECT url, CAST(row_number() OVER (ORDER BY l, url) AS INT) AS seq FROM (SELECT url, min(l) AS l FROM (SELECT url, 0 AS l FROM pages WHERE page_id % 50 = 0 UNION ALL SELECT url, 1 FROM pages) GROUP BY url ORDER BY l, url LIMIT 60)""")
-def crawl_queue(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return pages.crawl_queue([p.where(F.col("page_id") % 50 == 0), p], 60)
-
-
 @query("""SELECT p.page_id, CASE WHEN p.page_id % 10 = 0 THEN 'faculty' ELSE 'general' END AS chunk_type, CASE WHEN p.page_id % 10 = 0 THEN 'graduate' ELSE '' END AS level FROM pages p""")
 def config_lookup(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
@@ -355,16 +300,6 @@ def slugs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"), C.suffix(F.col("p_type")).alias("suffix"))
 
 
-TITLES = [(1, "Computer Science (Secondary Education) - Bachelor of Science"), (2, "Physics - Master of Science"), (3, "History - Doctor of Philosophy"), (4, "Art - Bachelor of Arts"), (5, "Robotics - Undergraduate Minor"), (6, "Financial Aid and Tuition")]
-
-
-@query("""SELECT * FROM (VALUES (1, 'bs', 'undergraduate', 'secondary_education', 'degree_bs'), (2, 'ms', 'graduate', 'general', 'degree_ms'), (3, 'phd', 'graduate', 'general', 'degree_phd'), (4, 'ba', 'undergraduate', 'general', 'degree_ba'),
- (5, 'minor', 'undergraduate', 'general', 'minor_undergrad'), (6, '', '', 'general', 'policy')) AS v(id, degree_type, level, concentration, section_type)""")
-def degree_titles(spark, sf_dir):
-    rows = spark.createDataFrame(TITLES, "id int, title string")
-    return rows.select("id", *[c.alias(n) for n, c in C.degree_facts(F.col("title")).items()], L.section_type(F.col("title")).alias("section_type"))
-
-
 # Layout
 
 @query("""WITH lines AS (SELECT doc_id, CAST(i AS INT) - 1 AS line_no, t FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
@@ -376,54 +311,6 @@ def islands_and_sections(spark, sf_dir):
     return both.select("doc_id", "line_no", "island", "section")
 
 
-def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey <= 200")
-    return p.select(F.col("p_partkey").cast("int").alias("catalog_page"), F.col("p_name").alias("title"), (F.col("p_size") % 3).cast("double").alias("indent"))
-
-
-@query("""WITH e AS (SELECT CAST(p_partkey AS INT) AS catalog_page, p_name AS title, CAST(p_size % 3 AS DOUBLE) AS indent FROM part WHERE p_partkey <= 200)
- SELECT a.catalog_page, a.title, a.indent, greatest(coalesce(min(b.catalog_page) - 1, max(m.last)), a.catalog_page) AS end_page FROM e a CROSS JOIN (SELECT max(catalog_page) AS last FROM e) m LEFT JOIN e b ON b.catalog_page > a.catalog_page AND b.indent <= a.indent GROUP BY a.catalog_page, a.title, a.indent""")
-def toc_ranges(spark, sf_dir):
-    return L.page_ranges(toc(spark, sf_dir))
-
-
-@query("""WITH e AS (SELECT CAST(p_partkey AS INT) AS catalog_page, p_name AS title, CAST(p_size % 3 AS DOUBLE) AS indent FROM part)
- SELECT a.catalog_page, a.title, a.indent, greatest(coalesce(min(b.catalog_page) - 1, max(m.last)), a.catalog_page) AS end_page FROM e a CROSS JOIN (SELECT max(catalog_page) AS last FROM e) m LEFT JOIN e b ON b.catalog_page > a.catalog_page AND b.indent <= a.indent GROUP BY a.catalog_page, a.title, a.indent""")
-def toc_ranges_all(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return L.page_ranges(p.select(F.col("p_partkey").cast("int").alias("catalog_page"), F.col("p_name").alias("title"), (F.col("p_size") % 3).cast("double").alias("indent")))
-
-
-def characters(spark: SparkSession) -> DataFrame:
-    rows = []
-    for page, y, x, size, font, text in ((1, 30, 50, 9, "Roman", "567  Computer Science"), (1, 60, 50, 12, "Bold", "CSCI 1110. Intro to Programs"), (1, 75, 50, 9, "Roman", "Basics and loops. 3-4 Credits"), (1, 60, 320, 12, "Bold", "CSCI 2220. Data Structures"), (1, 75, 320, 9, "Roman", "Lists. Prerequisite: CSCI 1110."), (2, 60, 50, 9, "Roman", "Trees and more and"), (2, 72, 50, 12, "Bold", "MATH 1511. May be repeated")):
-        rows += [(page, ch, x + 5.0 * i, x + 5.0 * i + 5.0, float(y), float(size), font) for i, ch in enumerate(text)]
-    return spark.createDataFrame(rows, "page int, text string, x0 double, x1 double, top double, size double, fontname string")
-
-
-@query("""SELECT * FROM (VALUES (1, 1, '567  Computer Science', 'L', true), (1, 2, 'CSCI 1110. Intro to Programs', 'L', false), (1, 3, 'Basics and loops. 3-4 Credits', 'L', false), (1, 4, 'CSCI 2220. Data Structures', 'R', false),
- (1, 5, 'Lists. Prerequisite: CSCI 1110.', 'R', false), (2, 1, 'Trees and more and', 'L', false), (2, 2, 'MATH 1511. May be repeated', 'L', false)) AS v(page, line_no, text, col, is_header)""")
-def layout_lines(spark, sf_dir):
-    return L.lines_of_chars(characters(spark)).select("page", "line_no", "text", "col", "is_header")
-
-
-@query("SELECT * FROM (VALUES (1, 1, 'CSCI 1110', 'Intro to Programs'), (1, 1, 'CSCI 2220', 'Data Structures')) AS v(range_id, catalog_page, course_code, course_title)")
-def course_entries(spark, sf_dir):
-    lines = L.lines_of_chars(characters(spark), bold=True).withColumn("range_id", F.lit(1))
-    return L.course_chunks(lines, bold=True).select("range_id", "catalog_page", "course_code", "course_title")
-
-
-@query()
-def reading_order(spark, sf_dir):
-    return L.reading_order(L.lines_of_chars(characters(spark)))
-
-
-@query()
-def ingest_lines(spark, sf_dir):
-    plan = spark.createDataFrame([(1, 1, 2, "course_description")], "range_id int, start_page int, end_page int, chunk_type string")
-    return plans.ingest_lines(L.lines_of_chars(characters(spark)), plan, "dept", "main", "2026")
-
-
 # Store
 
 @query("""SELECT * FROM (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey % 7 <> 3 UNION ALL SELECT o_orderkey, o_custkey, 'N' FROM orders WHERE o_custkey % 7 = 3 AND o_orderkey % 2 = 0)""")
@@ -464,11 +351,6 @@ def course_by_code(spark, sf_dir):
     return U.by_code(courses(spark, sf_dir), asked).select("asked", "course_code", "catalog_year")
 
 
-@query()
-def course_by_title(spark, sf_dir):
-    return U.by_title(courses(spark, sf_dir), F.lit("small widgets")).select("course_code", "course_title", "rank")
-
-
 @query("""WITH r AS (SELECT user_id AS q, event_id, exp(value) AS rank, row_number() OVER (PARTITION BY user_id ORDER BY exp(value) DESC, event_id) AS n, lead(exp(value)) OVER (PARTITION BY user_id ORDER BY exp(value) DESC, event_id) AS second FROM events)
  SELECT q, event_id FROM r WHERE n = 1 AND (second IS NULL OR rank > 2 * second)""")
 def clear_winners(spark, sf_dir):
@@ -476,20 +358,6 @@ def clear_winners(spark, sf_dir):
     return U.clear_winner(hits, "q", [F.col("event_id")]).select("q", "event_id")
 
 
-@query(f"WITH {LATEST} SELECT suffix, string_agg('- ' || course_code || ' — ' || course_title || ' (' || credits || ' cr.)', chr(10) ORDER BY '- ' || course_code || ' — ' || course_title || ' (' || credits || ' cr.)') AS listing FROM latest GROUP BY 1")
-def course_lists(spark, sf_dir):
-    return U.course_list(U.latest(courses(spark, sf_dir)))
-
-
-@query(f"""WITH {LATEST} SELECT seq, CASE WHEN seq % 2 = 0 THEN course_code || ' — ' || course_title || ' carries ' || credits || ' credit(s)' || y WHEN suffix = 'G' THEN 'Yes. ' || course_code || ' — ' || course_title || ' has the suffix G and counts toward General Education' || y
- WHEN suffix = 'V' THEN 'No. ' || course_code || ' — ' || course_title || ' has the suffix V and counts toward Viewing a Wider World, not General Education' || y ELSE 'No. ' || course_code || ' — ' || course_title || ' has no suffix G and doesn''t count toward General Education' || y END AS answer
- FROM (SELECT *, ' (Academic Catalog ' || catalog_year || ').' AS y FROM latest)""")
-def course_answers(spark, sf_dir):
-    kind = F.when(F.col("seq") % 2 == 0, "credits").otherwise("general_education")
-    c = F.col
-    return U.latest(courses(spark, sf_dir)).select("seq", U.answer(kind, c("course_code"), c("course_title"), c("credits"), c("suffix"), c("catalog_year")).alias("answer"))
-
-
 # Evaluation
 
 RESULTS = "results AS (SELECT event_id, event_type AS category, value > 50 AS passed, round(value / 100, 5) AS retrieval_score, CASE WHEN event_id % 5 <> 0 THEN round(value / 128, 7) END AS judge_total, CAST(floor(value * 10) AS INT) AS latency FROM events)"
@@ -633,16 +501,6 @@ def chat_pairs(spark, sf_dir):
     return c.select("conv_id", "turn", F.md5("text").alias("question"), F.md5(F.coalesce("answer", F.lit(""))).alias("answer"))
 
 
-@query(f"""WITH {FACTS} SELECT CAST(b.item_id AS VARCHAR) AS question_id, coalesce(CAST(u.i AS VARCHAR), '') AS rank, coalesce(u.id, '') AS chunk_id, CAST(coalesce(len(h.ids), 0) AS INT) AS chunk_count, coalesce(array_to_string(h.sources, ' | '), '') AS sources
- FROM benchmark b LEFT JOIN h ON h.item_id = b.item_id AND b.item_id % 4 <> 0 LEFT JOIN (SELECT item_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM h) u ON u.item_id = h.item_id""")
-def chunk_export(spark, sf_dir):
-    h = hits(spark, sf_dir).where("item_id % 4 <> 0")
-    answers = table(spark, sf_dir, "benchmark").join(h, "item_id", "left")
-    items = F.transform("ids", lambda x, i: F.struct((i + 1).alias("rank"), x.alias("chunk_id"), F.lit("").alias("heading"), F.lit("").alias("source")))
-    rows = answers.select(F.col("item_id").cast("string").alias("question_id"), F.lit("").alias("question"), F.lit("").alias("answer"), "sources", items.alias("chunks"))
-    return S.export_rows(rows).select("question_id", "rank", "chunk_id", "chunk_count", F.col("sources"))
-
-
 @query(f"WITH {CHUNKS}, i AS (SELECT chunk_type, CASE WHEN chunk_type = 'policy' THEN 'topic missing' WHEN chunk_type = 'grad_program_info' THEN 'graduate topic missing' WHEN chunk_type IN ('degree_requirement', 'degree_core_requirement') THEN 'title missing' END AS issue FROM chunks UNION ALL SELECT chunk_type, 'short text' FROM chunks WHERE length(text) < 80) SELECT issue, count(*) AS n FROM i WHERE issue IS NOT NULL GROUP BY 1")
 def quality_issues(spark, sf_dir):
     own = chunks(spark, sf_dir).withColumns({c: F.lit("") for c in ("lab", "policy_topic", "degree_full_title")})
@@ -693,3 +551,6 @@ def hourly_chats(spark, sf_dir):
  g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM g GROUP BY user_id, k""")
 def chat_sessions(spark, sf_dir):
     return chat.sessions(table(spark, sf_dir, "events"))
+
+
+from . import parity  # noqa: E402, F401  registers its queries

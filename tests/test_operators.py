@@ -12,7 +12,7 @@ from millrace.operators import evaluate as E
 from millrace.operators import layout as L
 from millrace.operators import lookup as U
 from millrace.operators import store as S
-from millrace.plans import retrieve as plans
+from millrace.plans import ingest, retrieve
 from millrace.sources import files, pages
 from millrace.streaming import chat
 
@@ -77,6 +77,25 @@ def test_page_walk():
     assert pages.page_parts("<div id=content>in<div>deep</div></div>out")[1] == [("", "in deep")]
 
 
+def test_page_facts(spark):
+    html = '<html><head><meta name="last-modified" content="2026-01-02"></head><body><p>One <b>two</b></p><script>no</script></body></html>'
+    row = pages.walk_pages(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).first()
+    assert (row["text"], row["page_timestamp"], row["_error"]) == ("One two", "2026-01-02", None)
+
+
+def test_hit_columns(spark):
+    hits = spark.createDataFrame([("q", 1, "c", "t", None)], "question_id string, rank int, chunk_id string, text string, referenced_courses array<string>")
+    row = retrieve.hit_columns(hits).first()
+    assert row["referenced_courses"] == [] and row["lab"] == "" and row["rank"] == 1
+
+
+def test_nearest_in_passes(spark):
+    x = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(50)] + [(50, [0.0, 0.0])], "doc_id long, embedding array<float>")
+    asked = x.where("doc_id < 9").withColumnRenamed("doc_id", "item_id")
+    one_, many = (R.nearest(x, asked, 3, most=m).orderBy("item_id", "rank").collect() for m in (100, 2))
+    assert one_ == many and [r["doc_id"] for r in one_[:3]] == [0, 5, 10] and len(one_) == 27
+
+
 def test_links(spark):
     ok = lambda u: one(spark, pages.allowed(F.lit(u), ["a.org"], ["/x"], ["logout"]))
     assert ok("https://A.org/x/1") and not ok("ftp://a.org/x") and not ok("https://b.org/x") and not ok("https://a.org/y") and not ok("https://a.org/x?logout") and not ok("not a link")
@@ -156,6 +175,8 @@ def test_replacing_writes(spark, tmp_path):
     S.replace_partitions(one_, path)
     S.replace_partitions(spark.createDataFrame([("a", "web", 9)], one_.schema), path)
     assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == [2, 3, 9]
+    S.replace_partitions(one_.limit(0), path, scope={"department_id": "a", "content_source": "web"})
+    assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == [2, 3]  # without new rows the partition is emptied
     S.write_jsonl(one_, str(tmp_path / "j"))
     assert files.read_json(spark, str(tmp_path / "j")).count() == 3 or spark.read.json(str(tmp_path / "j")).count() == 3
     S.write_csv(one_, str(tmp_path / "c"))
@@ -168,10 +189,10 @@ def test_search_and_ingest_plans(spark):
     html = "<main><h1>CS 100 News</h1><h2>Parking</h2><p>" + "Parking permits are sold at the office. " * 6 + "</p><h2>Labs</h2><p>" + "Robotics labs open in the morning. " * 6 + "</p></main>"
     raw = spark.createDataFrame([(1, "https://a.org/p", html)], "page_id long, url string, html string")
     table = files.page_settings(spark, {"pages": {"https://a.org/p": "advising"}, "page_levels": {"https://a.org/p": "undergraduate"}})
-    chunks = plans.ingest_pages(raw, table, "dept", "main", "v1").cache()
+    chunks = ingest.ingest_pages(raw, table, "dept", "main", "v1").cache()
     assert [(r["chunk_id"], r["chunk_type"], r["level"], r["course_code"]) for r in chunks.orderBy("chunk_id").collect()] == [("https://a.org/p#chunk-0", "advising", "undergraduate", "CS 100"), ("https://a.org/p#chunk-1", "advising", "undergraduate", "CS 100")] or chunks.count() == 3
     asked = spark.createDataFrame([("q1", "Where are parking permits sold?")], "question_id string, text string")
-    top = plans.search(asked, chunks, T.as_date("2026-04-24")).orderBy("rank").first()
+    top = retrieve.search(asked, chunks, T.as_date("2026-04-24")).orderBy("rank").first()
     assert "Parking permits" in chunks.where(F.col("chunk_id") == top["chunk_id"]).first()["text"]
 
 
@@ -191,6 +212,6 @@ def test_streams(spark, tmp_path):
 
 def test_embedding_batches(spark):
     df = spark.createDataFrame([(i, "x" * 400) for i in range(200)], "id long, text string")
-    out = C.embedding_batches(df, "id", most_rows=10, most_tokens=500, groups=3).toPandas()
+    out = C.embedding_batches(df, "id", most_rows=10, most_tokens=500, group_rows=70).toPandas()
     sizes = out.groupby(["group", "batch"]).agg(n=("id", "size"), t=("tokens", "sum"))
     assert len(out) == 200 and sizes.n.max() <= 10 and sizes.t.max() <= 500
