@@ -21,5 +21,5 @@ def test_page_ranges(spark):
 
 def test_whole_tables(spark):
     sf = "/root/testdata/sf0.01"
-    assert queries.toc_ranges(spark, sf).count() == queries.table(spark, sf, "part").count() > 200
-    assert queries.temporal_expand(spark, sf).count() == queries.table(spark, sf, "orders").count()
+    assert queries.QUERIES["toc_ranges"](spark, sf).count() == queries.table(spark, sf, "part").count() > 200
+    assert queries.QUERIES["temporal_expand"](spark, sf).count() == queries.table(spark, sf, "orders").count()
