@@ -3,8 +3,9 @@
 One weight vector over hashed text features is shared by all grades; ordered thresholds cut its score into grades, so
 P(grade > k) = sigmoid(w x - threshold_k). The expected grade is the sum of these, the tail probability is one of them.
 
-Features of a text are the square roots of the shares of its hashed words and of its hashed byte 3-grams (case kept, so
-that shouting and symbols show), and the share of words that repeat the one before.
+Features of a text are the hashed words that it has (each one over the root of their number), the square roots of the
+shares of its hashed byte 3-grams (case kept, so that shouting and symbols show), and the share of words that repeat the
+one before. The likelihood with a quadratic penalty is convex, and is fitted by L-BFGS (Liu and Nocedal 1989).
 """
 
 from __future__ import annotations
@@ -21,84 +22,127 @@ from .frames import fresh
 from .kernel import U64, text_slices, words
 
 
-def features(buf: np.ndarray, bounds: np.ndarray, word_dims: int, byte_dims: int) -> np.ndarray:
-    """(texts, word_dims + byte_dims + 2) float32; an empty text has only the constant."""
+class Dims:
+    """Where each kind of feature has its columns: words, byte 3-grams, repeats and the constant."""
+
+    def __init__(self, words: int, bytes_: int) -> None:
+        self.words, self.bytes, self.width = words, bytes_, words + bytes_ + 2
+
+
+def features(buf: np.ndarray, bounds: np.ndarray, dims: Dims) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of the features of a run of texts, by row; an empty text has only the constant."""
     rows = len(bounds) - 1
-    out = np.zeros((rows, word_dims + byte_dims + 2), np.float32)
-    out[:, -1] = 1
+    parts = [(np.arange(rows), np.full(rows, dims.width - 1), np.ones(rows))]
     h, by, _ = words(buf, bounds)
     n = np.diff(by)
     if len(h):
         doc = np.repeat(np.arange(rows), n)
-        at = ((h >> U64(20)) & U64(word_dims - 1)).astype(np.int64)
-        out[:, :word_dims] = np.bincount(doc * word_dims + at, minlength=rows * word_dims).reshape(rows, word_dims) / np.maximum(n, 1)[:, None]
+        key = np.unique(doc * dims.words + ((h >> U64(20)) & U64(dims.words - 1)).astype(np.int64))
+        r = key // dims.words
+        parts.append((r, key % dims.words, 1 / np.sqrt(np.bincount(r, minlength=rows)[r])))
         again = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-        out[:, -2] = np.bincount(doc[1:][again], minlength=rows) / np.maximum(n, 1)
-    size = np.diff(bounds)
+        share = np.bincount(doc[1:][again], minlength=rows) / np.maximum(n, 1)
+        r = np.flatnonzero(share)
+        parts.append((r, np.full(len(r), dims.width - 2), np.sqrt(share[r])))
     if len(buf) > 2:
+        size = np.diff(bounds)
         b = buf.astype(np.uint32)
         code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-        at = ((code * np.uint32(2654435761)) >> np.uint32(15)) & np.uint32(byte_dims - 1)
+        at = ((code * np.uint32(2654435761)) >> np.uint32(15)) & np.uint32(dims.bytes - 1)
         doc = np.repeat(np.arange(rows), size)
         inside = doc[:-2] == doc[2:]
-        key = doc[:-2][inside] * byte_dims + at[inside]
-        out[:, word_dims : word_dims + byte_dims] = np.bincount(key, minlength=rows * byte_dims).reshape(rows, byte_dims) / np.maximum(size - 2, 1)[:, None]
-    np.sqrt(out, out=out)
-    return out
-
-
-class Sparse:
-    """Rows of few features: values and columns end to end, and where each row begins."""
-
-    def __init__(self, columns: list[np.ndarray], values: list[np.ndarray], width: int) -> None:
-        sizes = [len(c) for c in columns]  # at least one, the constant
-        self.begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        self.column, self.value, self.width = np.concatenate(columns).astype(np.int32), np.concatenate(values).astype(np.float32), width
-
-    def times(self, w: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.value * w[self.column], self.begin, dtype=np.float64)
-
-    def turned(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.column, self.value * g[self.row], self.width)
+        counts = np.bincount(doc[:-2][inside] * dims.bytes + at[inside], minlength=rows * dims.bytes)
+        key = np.flatnonzero(counts)
+        parts.append((key // dims.bytes, key % dims.bytes + dims.words, np.sqrt(counts[key] / (size[key // dims.bytes] - 2))))
+    row, column, value = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(row, kind="stable")
+    return row[order], column[order], value[order].astype(np.float32)
 
 
 class Model:
-    """Weights and ordered thresholds, fitted by Adam on the likelihood of the grades."""
-
-    def __init__(self, x: Sparse, grade: np.ndarray, grades: int, rounds: int = 500, decay: float = 3e-6) -> None:
-        n = len(grade)
-        # rare features count for more: each is divided by the root of its deviation (the constant is left alone)
-        one = np.ones(n, np.float32)
-        mean = x.turned(one) / n
-        spread = np.sqrt(np.maximum(np.bincount(x.column, x.value**2, x.width) / n - mean**2, 0))
-        self.scale = (0.1 / np.sqrt(np.maximum(spread, 1e-4))).astype(np.float32)
-        self.scale[-1] = 1
-        x.value *= self.scale[x.column]
-        self.w = np.zeros(x.width, np.float32)
-        above = np.stack([(grade > k).astype(np.float32) for k in range(grades - 1)], axis=1)
-        start = np.clip(above.mean(0), 0.01, 0.99)
-        self.cuts = np.sort(-np.log(start / (1 - start))).astype(np.float64)
-        m, v = np.zeros(x.width), np.zeros(x.width)
-        for t in range(1, rounds + 1):
-            tail = 1 / (1 + np.exp(-np.clip(x.times(self.w)[:, None] - self.cuts, -30, 30)))
-            padded = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], axis=1)
-            p = np.maximum(padded[np.arange(n), grade] - padded[np.arange(n), grade + 1], 1e-9)
-            slope = padded * (1 - padded)
-            up, down = slope[np.arange(n), grade], slope[np.arange(n), grade + 1]
-            g = x.turned((-(up - down) / p / n).astype(np.float32)) + decay * self.w
-            step = np.bincount(grade, up / p / n, grades + 1) - np.bincount(grade + 1, down / p / n, grades + 1)
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            self.w -= (0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-            self.cuts = np.maximum.accumulate(self.cuts - 2.0 * step[1:-1])
-
-    def tails(self, x: np.ndarray) -> np.ndarray:
+    """Weights and ordered thresholds: the most likely ones under a quadratic penalty on the weights."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, dims: Dims, least: int = 3, penalty: float = 3e-6, rounds: int = 120, tolerance: float = 1e-5) -> None:
+        # features of fewer than `least` texts tell nothing about others
+        width, n = dims.width, len(grade)
+        often = np.bincount(column, minlength=width)
+        used = often >= least
+        used[-1] = False  # the thresholds are the constant
+        keep = used[column]
+        # rare features count for more: each is divided by the root of its deviation, of a word that of whether it occurs
+        variance = np.bincount(column, value.astype(float) ** 2, width) / n - (np.bincount(column, value, width) / n) ** 2
+        share = often[: dims.words] / n
+        variance[: dims.words] = share * (1 - share)
+        spread = np.sqrt(np.maximum(variance, 0))
+        scale = 0.1 / np.sqrt(np.maximum(spread, 1e-4))
+        self.row, self.column, self.value, self.n, self.grade, self.penalty = row[keep], column[keep], (value * scale[column])[keep], n, grade, penalty
+        above = np.stack([(grade > k).mean() for k in range(grades - 1)]).clip(0.01, 0.99)
+        start = np.sort(-np.log(above / (1 - above)))
+        x = self.fitted(np.concatenate((np.zeros(width), start[:1], np.log(np.maximum(np.diff(start), 1e-2)))), width, rounds, tolerance)
+        self.w, self.cuts = (x[:width] * scale).astype(np.float32), thresholds(x[width:])
+        del self.row, self.column, self.value, self.grade
+
+    def loss(self, x: np.ndarray, width: int) -> tuple[float, np.ndarray]:
+        """The mean negative log likelihood with the penalty, and its gradient."""
+        w, cuts = x[:width], thresholds(x[width:])
+        f = np.bincount(self.row, self.value * w[self.column], self.n)
+        tail = 1 / (1 + np.exp(-np.clip(f[:, None] - cuts, -30, 30)))
+        padded = np.concatenate([np.ones((self.n, 1)), tail, np.zeros((self.n, 1))], axis=1)
+        at = np.arange(self.n)
+        p = np.maximum(padded[at, self.grade] - padded[at, self.grade + 1], 1e-12)
+        slope = padded * (1 - padded)
+        up, down = slope[at, self.grade] / p / self.n, slope[at, self.grade + 1] / p / self.n
+        g = np.bincount(self.column, self.value * (down - up)[self.row], width) + self.penalty * w
+        k = len(cuts)
+        step = np.bincount(self.grade, up, k + 2)[1 : k + 1] - np.bincount(self.grade + 1, down, k + 2)[1 : k + 1]
+        gaps = np.exp(x[width + 1 :])
+        inner = np.concatenate(([step.sum()], np.cumsum(step[::-1])[::-1][1:] * gaps))
+        return float(-np.log(p).mean() + 0.5 * self.penalty * (w @ w)), np.concatenate((g, inner))
+
+    def fitted(self, x: np.ndarray, width: int, rounds: int, tolerance: float, memory: int = 8) -> np.ndarray:
+        """L-BFGS with steps halved until the loss falls; it ends when the loss falls by less than a share of `tolerance`."""
+        value, g = self.loss(x, width)
+        steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+        for _ in range(rounds):
+            q, a = g.copy(), []
+            for s, y, rho in reversed(steps):
+                a.append(rho * (s @ q))
+                q -= a[-1] * y
+            if steps:
+                s, y, _ = steps[-1]
+                q *= (s @ y) / (y @ y)
+            for (s, y, rho), alpha in zip(steps, reversed(a)):
+                q += (alpha - rho * (y @ q)) * s
+            size = 1.0 if steps else 1 / max(1.0, float(np.abs(g).sum()))
+            while size > 1e-10:
+                new = x - size * q
+                now, ng = self.loss(new, width)
+                if now <= value - 1e-4 * size * (g @ q):
+                    break
+                size /= 2
+            else:
+                break
+            s, y = new - x, ng - g
+            if s @ y > 1e-12:
+                steps = [*steps[1 - memory :], (s, y, 1 / (s @ y))]
+            done = value - now < tolerance * abs(value)
+            x, value, g = new, now, ng
+            if done:
+                break
+        return x
+
+    def tails(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
         """P(grade > k) for each text and threshold."""
-        f = (x @ (self.w * self.scale)).astype(np.float64)
+        f = np.bincount(row, value * self.w[column], rows)
         return 1 / (1 + np.exp(-np.clip(f[:, None] - self.cuts, -30, 30)))
 
 
-def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = 6144, word_dims: int = 4096, byte_dims: int = 2048, key: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:
+def thresholds(x: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from the first one and the logarithms of the gaps."""
+    return np.cumsum(np.concatenate((x[:1], np.exp(x[1:]))))
+
+
+def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = 6144, word_dims: int = 1 << 16, byte_dims: int = 2048, key: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:
     """Add expected_grade and tail (the probability of the highest grade) to every row of docs.
 
     ratings has rows (key, grade) with grades 0..grades-1; nulls and others are left out, and a key rated more than once
@@ -112,26 +156,29 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, sample: in
     chosen = rated.orderBy(F.xxhash64("_key"), "_key", "_grade").limit(sample)
     known = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_key")).select("_grade", "_text")
 
-    def cuts(column, step: int = 256) -> Iterator[tuple[int, int, np.ndarray]]:
+    dims = Dims(word_dims, byte_dims)
+
+    def cuts(column, step: int = 256) -> Iterator[tuple[int, int, tuple[np.ndarray, ...]]]:
         for lo, hi, buf, bounds in text_slices(column, 1 << 20):
             for a in range(0, hi - lo, step):
                 cut = bounds[a : min(a + step, hi - lo) + 1]
-                yield lo + a, len(cut) - 1, features(buf[cut[0] : cut[-1]], cut - cut[0], word_dims, byte_dims)
+                yield lo + a, len(cut) - 1, features(buf[cut[0] : cut[-1]], cut - cut[0], dims)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n, x in cuts(batch.column(1)):
-                where = [np.flatnonzero(r) for r in x]
-                columns = pa.array([w.astype(np.uint16).tobytes() for w in where], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), columns, pa.array([r[w].astype(np.float16).tobytes() for r, w in zip(x, where)], pa.binary())], ["_grade", "at", "x"])
+            for at, n, (row, column, value) in cuts(batch.column(1)):
+                edge = np.searchsorted(row, np.arange(n + 1))
+                lists = [pa.array([x[a:z].astype(kind).tobytes() for a, z in zip(edge[:-1], edge[1:])], pa.binary()) for x, kind in ((column, np.uint32), (value, np.float16))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *lists], ["_grade", "at", "x"])
 
     # the limit only cuts where docs repeat a rated key
     fit = known.mapInArrow(measure, "_grade int, at binary, x binary").limit(2 * sample).toArrow()
     model = None
     if len(fit):
-        columns, values = ([np.frombuffer(b.as_buffer(), kind) for b in fit.column(c)] for c, kind in ((1, np.uint16), (2, np.float16)))
-        model = Model(Sparse(columns, values, word_dims + byte_dims + 2), fit.column(0).to_numpy(), grades)
-        del fit, columns, values
+        columns, values = ([np.frombuffer(b.as_buffer(), kind) for b in fit.column(c)] for c, kind in ((1, np.uint32), (2, np.float16)))
+        row = np.repeat(np.arange(len(fit)), [len(c) for c in columns])
+        model = Model(row, np.concatenate(columns).astype(np.int64), np.concatenate(values).astype(np.float32), fit.column(0).to_numpy(), grades, dims)
+        del fit, columns, values, row
     shared = spark.sparkContext.broadcast(model)
     names, new = docs.columns, added(docs)
     place = names.index(text)
@@ -140,7 +187,7 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, sample: in
         model = shared.value
         for batch in batches:
             for at, n, x in cuts(batch.column(place)):
-                tails = model.tails(x) if model is not None else np.ones((n, grades - 1))
+                tails = model.tails(*x, n) if model is not None else np.ones((n, grades - 1))
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in batch.columns), pa.array(tails.sum(1)), pa.array(tails[:, -1])], [*names, *new])
 
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in new]])
@@ -152,6 +199,6 @@ def added(docs: DataFrame) -> list[str]:
     return [fresh(c, docs.columns) for c in ("expected_grade", "tail")]
 
 
-def accept(tail: str = "tail", least: float = 0.5) -> Column:
+def accept(tail: str = "tail", least: float = 0.7) -> Column:
     """Whether a row is selected: the probability of the highest grade is at least `least`."""
     return F.col(f"`{tail}`") >= least
