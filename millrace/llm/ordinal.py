@@ -62,42 +62,56 @@ def features(buf: np.ndarray, bounds: np.ndarray, dims: Dims) -> tuple[np.ndarra
 class Model:
     """Weights and ordered thresholds: the most likely ones under a quadratic penalty on the weights."""
 
-    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, dims: Dims, least: int = 3, penalty: float = 3e-6, rounds: int = 120, tolerance: float = 1e-5) -> None:
-        # features of fewer than `least` texts tell nothing about others
+    def __init__(self, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], grade: np.ndarray, grades: int, dims: Dims, least: int = 3, penalty: float = 3e-6, rounds: int = 120, tolerance: float = 1e-5) -> None:
+        """blocks of texts: (features of each text, their columns, their values); each text has the constant."""
         width, n = dims.width, len(grade)
-        often = np.bincount(column, minlength=width)
+        often, total, square = (np.zeros(width) for _ in range(3))
+        for _, column, value in blocks:
+            often += np.bincount(column, minlength=width)
+            total += np.bincount(column, value, width)
+            square += np.bincount(column, value.astype(float) ** 2, width)
+        # features of fewer than `least` texts tell nothing about others; the constant stays, with weight 0: thresholds do its work
         used = often >= least
-        used[-1] = False  # the thresholds are the constant
-        keep = used[column]
+        used[-1] = True
         # rare features count for more: each is divided by the root of its deviation, of a word that of whether it occurs
-        variance = np.bincount(column, value.astype(float) ** 2, width) / n - (np.bincount(column, value, width) / n) ** 2
+        variance = square / n - (total / n) ** 2
         share = often[: dims.words] / n
         variance[: dims.words] = share * (1 - share)
-        spread = np.sqrt(np.maximum(variance, 0))
-        scale = 0.1 / np.sqrt(np.maximum(spread, 1e-4))
-        self.row, self.column, self.value, self.n, self.grade, self.penalty = row[keep], column[keep], (value * scale[column])[keep], n, grade, penalty
+        scale = 0.1 / np.sqrt(np.maximum(np.sqrt(np.maximum(variance, 0)), 1e-4))
+        self.blocks = []
+        for sizes, column, value in blocks:
+            keep = used[column]
+            row = np.repeat(np.arange(len(sizes)), sizes)[keep]
+            own = column[keep].astype(np.int32)
+            self.blocks.append((np.searchsorted(row, np.arange(len(sizes))), own, (value[keep] * scale[own]).astype(np.float32)))
+        self.n, self.grade, self.penalty = n, grade, penalty
         above = np.stack([(grade > k).mean() for k in range(grades - 1)]).clip(0.01, 0.99)
         start = np.sort(-np.log(above / (1 - above)))
         x = self.fitted(np.concatenate((np.zeros(width), start[:1], np.log(np.maximum(np.diff(start), 1e-2)))), width, rounds, tolerance)
         self.w, self.cuts = (x[:width] * scale).astype(np.float32), thresholds(x[width:])
-        del self.row, self.column, self.value, self.grade
+        del self.blocks, self.grade
 
     def loss(self, x: np.ndarray, width: int) -> tuple[float, np.ndarray]:
         """The mean negative log likelihood with the penalty, and its gradient."""
-        w, cuts = x[:width], thresholds(x[width:])
-        f = np.bincount(self.row, self.value * w[self.column], self.n)
+        w, cuts = x[:width].astype(np.float32), thresholds(x[width:])
+        f = np.concatenate([np.add.reduceat(value * w[column], begin, dtype=np.float64) for begin, column, value in self.blocks])
         tail = 1 / (1 + np.exp(-np.clip(f[:, None] - cuts, -30, 30)))
         padded = np.concatenate([np.ones((self.n, 1)), tail, np.zeros((self.n, 1))], axis=1)
         at = np.arange(self.n)
         p = np.maximum(padded[at, self.grade] - padded[at, self.grade + 1], 1e-12)
         slope = padded * (1 - padded)
         up, down = slope[at, self.grade] / p / self.n, slope[at, self.grade + 1] / p / self.n
-        g = np.bincount(self.column, self.value * (down - up)[self.row], width) + self.penalty * w
+        g, first = self.penalty * x[:width], 0
+        for begin, column, value in self.blocks:
+            own = (down - up)[first : first + len(begin)].astype(np.float32)
+            g += np.bincount(column, value * np.repeat(own, np.diff(np.append(begin, len(column)))), width)
+            first += len(begin)
+        g[-1] = 0
         k = len(cuts)
         step = np.bincount(self.grade, up, k + 2)[1 : k + 1] - np.bincount(self.grade + 1, down, k + 2)[1 : k + 1]
         gaps = np.exp(x[width + 1 :])
         inner = np.concatenate(([step.sum()], np.cumsum(step[::-1])[::-1][1:] * gaps))
-        return float(-np.log(p).mean() + 0.5 * self.penalty * (w @ w)), np.concatenate((g, inner))
+        return float(-np.log(p).mean() + 0.5 * self.penalty * (x[:width] @ x[:width])), np.concatenate((g, inner))
 
     def fitted(self, x: np.ndarray, width: int, rounds: int, tolerance: float, memory: int = 8) -> np.ndarray:
         """L-BFGS with steps halved until the loss falls; it ends when the loss falls by less than a share of `tolerance`."""
@@ -175,10 +189,14 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, sample: in
     fit = known.mapInArrow(measure, "_grade int, at binary, x binary").limit(2 * sample).toArrow()
     model = None
     if len(fit):
-        columns, values = ([np.frombuffer(b.as_buffer(), kind) for b in fit.column(c)] for c, kind in ((1, np.uint32), (2, np.float16)))
-        row = np.repeat(np.arange(len(fit)), [len(c) for c in columns])
-        model = Model(row, np.concatenate(columns).astype(np.int64), np.concatenate(values).astype(np.float32), fit.column(0).to_numpy(), grades, dims)
-        del fit, columns, values, row
+        blocks = []
+        for a in range(0, len(fit), 512):  # so that no copy of all features is made
+            columns, values = ([np.frombuffer(b.as_buffer(), kind) for b in fit.column(c).slice(a, 512)] for c, kind in ((1, np.uint32), (2, np.float16)))
+            blocks.append((np.array([len(c) for c in columns]), np.concatenate(columns).astype(np.int32), np.concatenate(values).astype(np.float32)))
+        grade_of = fit.column(0).to_numpy()
+        del fit
+        model = Model(blocks, grade_of, grades, dims)
+        del blocks
     shared = spark.sparkContext.broadcast(model)
     names, new = docs.columns, added(docs)
     place = names.index(text)
