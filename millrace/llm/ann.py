@@ -12,6 +12,8 @@ fitted on a bounded, documented sample; every row is coded and scanned.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -117,14 +119,14 @@ def block_top(book: Codebook, queries: tuple, members: tuple, k: int, rerank: in
     (the one more is for a query that is itself one of them).
     """
     qid, q = queries
-    vid, x = members
+    vid, x, codes = members
     order = np.argsort(vid, kind="stable")
     vid, x = vid[order], x[order]
     _, first, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1])))[:, 0], return_index=True, return_inverse=True)
     by = np.argsort(group, kind="stable")
     edge = np.concatenate(([0], np.cumsum(np.bincount(group))))
     distinct = x[first]
-    codes = book.encode(distinct.astype(np.float64))
+    codes = codes[order][first]
     parts = []
     for lo in range(0, len(q), 64):
         part = q[lo : lo + 64]
@@ -148,11 +150,12 @@ def block_top(book: Codebook, queries: tuple, members: tuple, k: int, rerank: in
     return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 1000, width: int = 2, eta: float = 4.0, sample: int = 8192, block: int = 16384, query_block: int = 2048, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 20, width: int = 2, eta: float = 4.0, sample: int = 8192, block: int = 16384, query_block: int = 2048, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Each query's k rows of largest inner product: (query_id, rank, vec_id, score), from rank 1, ties to smaller id.
 
-    queries has the columns of vectors; a row that has a query's id is no candidate of that query. `rerank` distinct
-    vectors of each candidate block get exact scores, in double precision on the original vectors. The codebook is
+    queries has the columns of vectors; a row that has a query's id is no candidate of that query. `rerank` times k
+    distinct vectors of each candidate block, those that the scan ranks first, get exact scores, in double precision on
+    the original vectors; of a block of 16,384 that is 2.4 % for k = 20. Every vector is coded once. The codebook is
     fitted on the `sample` rows of smallest hashed id. Vectors that are null, empty, zero, or hold null or non-finite
     components take no part on either side, and so don't vectors of another length than the sample's first. Equal
     vectors tie by id; repeated ids stay apart as rows. With fewer candidates a query gets all. Empty tables give none.
@@ -172,12 +175,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 10
     blocks, query_blocks = max(1, -(-n_x // block)), max(1, -(-n_q // query_block))
     ids = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.withColumn("qb", bucket("query_id", buckets=query_blocks)).withColumn("xb", ids(blocks))
-    right = x.withColumn("xb", bucket("vec_id", buckets=blocks)).withColumn("qb", ids(query_blocks))
+
+    def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(codes=[c.tobytes() for c in book.value.encode(np.stack(f["v"].to_numpy()))]) if len(f) else f.assign(codes=b"")
+
+    once = x.mapInPandas(coded, "vec_id long, v array<double>, codes binary")
+    right = once.withColumn("xb", bucket("vec_id", buckets=blocks)).withColumn("qb", ids(query_blocks))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return block_top(book.value, (a["query_id"].to_numpy(), np.stack(a["v"].to_numpy())), (b["vec_id"].to_numpy(), np.stack(b["v"].to_numpy())), k, rerank)
+        codes = np.stack([np.frombuffer(c, np.uint8) for c in b["codes"]])
+        return block_top(book.value, (a["query_id"].to_numpy(), np.stack(a["v"].to_numpy())), (b["vec_id"].to_numpy(), np.stack(b["v"].to_numpy()), codes), k, rerank * k)
 
     found = left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInPandas(pair, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

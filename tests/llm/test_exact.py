@@ -329,7 +329,7 @@ def test_vector_search_recall(spark):
     v = np.array([r["embedding"] for r in rows], float)
     hit = total = 0
     got = collections.defaultdict(dict)
-    for r in ann.search(x, x.where("vec_id % 20 = 0"), rerank=40, block=128, query_block=8).collect():
+    for r in ann.search(x, x.where("vec_id % 20 = 0"), rerank=2, block=128, query_block=8).collect():
         got[r["query_id"]][r["vec_id"]] = r["score"]
     for i in np.flatnonzero(ids % 20 == 0):
         s = v @ v[i]
@@ -343,7 +343,7 @@ def test_vector_search_recall(spark):
 def test_equal_vectors_tie_by_id(spark):
     rows = [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(200)] + [(i, [0.9, 0.1, 0.0, 0.0]) for i in range(200, 260)]
     x = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    out = ann.search(x, x.where("vec_id in (0, 5, 250)"), k=20, rerank=2, block=50).orderBy("query_id", "rank").collect()
+    out = ann.search(x, x.where("vec_id in (0, 5, 250)"), k=20, rerank=1, block=50).orderBy("query_id", "rank").collect()
     by = collections.defaultdict(list)
     for r in out:
         by[r["query_id"]].append(r["vec_id"])
