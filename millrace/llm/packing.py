@@ -97,13 +97,13 @@ class Encoder:
 
     The tokenizer never looks across white space, nor across the pieces of its pre-tokenizer. So the ids of a text are
     those of its white-space runs, and those of a run are those of its pieces. Runs repeat: a process keeps the ids of
-    at most `keep` runs, and of a quarter as many pieces, in arrays behind hash tables (keys are 64-bit hashes; some 40 MB
-    at 400,000 runs), and begins anew when they are full. Whole batches are looked up. New
+    at most `keep` runs, and of a quarter as many pieces, in arrays behind hash tables (keys are 64-bit hashes; some 100 MB
+    at 800,000 runs), and begins anew when they are full. Whole batches are looked up. New
     pieces go to the tokenizer together, as one text; in its vocabulary a token that ends a piece is marked as such, so
     the ids can be told apart again.
     """
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
