@@ -6,6 +6,7 @@ hashes and shingles are arrays of positions and 64-bit integers. No Python objec
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -28,6 +29,14 @@ _MIX = [U64(x) for x in (_rng.integers(1, 2**62, 64, dtype=np.int64) * 2 + 1).to
 _powers: list[np.ndarray] = []
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker process waits for the next stage beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim:
+        trim(0)
+
+
 def fmix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective), so that equal inputs are the only cause of equal outputs."""
     h = h ^ (h >> U64(33))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import fresh
-from .kernel import U64, text_slices, words
+from .kernel import U64, give_back, text_slices, words
 
 
 class Dims:
@@ -207,6 +207,7 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, sample: in
             for at, n, x in cuts(batch.column(place)):
                 tails = model.tails(*x, n) if model is not None else np.ones((n, grades - 1))
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in batch.columns), pa.array(tails.sum(1)), pa.array(tails[:, -1])], [*names, *new])
+        give_back()
 
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in new]])
     return docs.mapInArrow(rate, schema)
