@@ -125,7 +125,7 @@ def plan_rows(plan: dict[str, list[tuple[int, int, int, list[int]]]], blocks: di
 ADDED = ["block", "release", "deadline", "slot", "position"]
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 16, temper: float = 0.5, period: int = 1000, most_blocks: int = 1 << 20, key: str = "doc_id", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 16, temper: float = 0.5, period: int = 1000, most_blocks: int = 1 << 20, buckets: int | None = None, key: str = "doc_id", source: str = "source") -> DataFrame:
     """Add block, release, deadline, slot and position to every row; ordered by position, sources are mixed by weight.
 
     weights maps sources to target weights; sources that it doesn't name, and all sources if it is None, get the number
@@ -148,7 +148,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 1
     table = spark.createDataFrame(plan_rows(phases(blocks, target, period), blocks, target))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), name.alias("source"), F.xxhash64(F.col(f"`{key}`")).alias("hash"), F.col(f"`{key}`").alias("key"))
     # a bucket is a shuffle partition's share of the rows, also where one source has most of them
-    ranked = gapless_rank(own, ["source"], ["hash", "key"], partitions(spark), "rank").withColumn("block", F.floor(F.col("rank") / block))
+    ranked = gapless_rank(own, ["source"], ["hash", "key"], buckets or partitions(spark), "rank").withColumn("block", F.floor(F.col("rank") / block))
     out = ranked.join(F.broadcast(table), (F.col("source") == F.col("_name")) & (F.col("block") == F.col("_of")))
     added = dict(zip(ADDED, ("block", "_release", "_deadline", "_slot", F.col("_slot") * block + F.col("rank") % block), strict=True))
     own_columns = [F.col("doc").getField(c).alias(c) for c in docs.columns]
