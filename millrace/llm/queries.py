@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bm25, ecoc, jaccard, lines, mixing, ordinal, packing, ppm, ring
+from . import ann, bm25, ecoc, jaccard, lines, mixing, ordinal, packing, periodic, ppm, repair, ring, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,10 @@ def remainder(key: str, n: int):
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
 
 
-def tokenizer() -> str:
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +78,37 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "line_no", F.col("first_key").alias("first_doc_id"), "first_line_no", "keep")
 
 
+def op11_rank_synchronous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document, and whether they exceed 1024."""
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the periodic runs of every whole document, with the runs that the contract plants."""
+    hash_ = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(hash_ / 10)
+    out = periodic.find_runs(table(spark, sf_dir, "documents"), origin=F.when(hash_ % 10 == 0, g), period=3 + g % 8)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    found = out.withColumn("best", best).withColumn("runs_sha256", F.sha2(listed.cast("binary"), 256))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.before")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_trie_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repairs of all conversations, damaged as the contract has it."""
+    turns = repair.turns_of(table(spark, sf_dir, "conversations"))
+    named = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv", "turn")]
+    key = F.crc32(F.concat_ws(":", *named).cast("binary"))
+    return repair.repair(repair.damage(turns, key)).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_anisotropic_search, op2_ppm_score, op3_bounded_ring, op4_ecoc_language, op5_best_two_fit, op6_token_group_jaccard, op7_block_max_wand, op8_ordinal_quality, op9_pfair_mix, op10_fuzzy_lines)
+    for f in (op1_anisotropic_search, op2_ppm_score, op3_bounded_ring, op4_ecoc_language, op5_best_two_fit, op6_token_group_jaccard, op7_block_max_wand, op8_ordinal_quality, op9_pfair_mix, op10_fuzzy_lines, op11_rank_synchronous, op12_periodic_runs, op13_trie_repair)
 }
 #: Words as the contracts have them, in DuckDB.
 WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
