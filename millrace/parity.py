@@ -18,7 +18,7 @@ from .operators import lookup as U
 from .operators import sections as X
 from .operators import store as S
 from .plans import ingest, retrieve
-from .queries import ASKED, BOOST, CHUNKS, CODE_IN, FACTS, HAS, KEEP, LATEST, RESULTS, TOKENS, chunks, courses, hits, query, questions, results, table
+from .queries import ASKED, BOOST, CHUNKS, CODE_IN, FACTS, HAS, KEEP, LATEST, RESULTS, TOKENS, chunks, courses, hits, query, questions, results, stored, table
 from .sources import files, pages
 
 DAY = "2026-04-24"
@@ -44,7 +44,8 @@ WIDTH = f"""CAST(greatest(5, CASE WHEN {HAS("q.tokens", V.COMPARISON)} THEN 5 WH
 def search_plan(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
     own = C.first_wins(chunks(spark, sf_dir), "chunk_id", "doc_id").drop("doc_id")
-    return retrieve.search(asked, own, T.as_date(DAY)).select("question_id", "chunk_id", "hybrid_rank", "hybrid_score", "metadata_boost", "final_score", "rank")
+    path = stored(spark, table(spark, sf_dir, "documents"), "chunks", lambda p: retrieve.store_index(own, p))
+    return retrieve.search(asked, own, T.as_date(DAY), stored=path).select("question_id", "chunk_id", "hybrid_rank", "hybrid_score", "metadata_boost", "final_score", "rank")
 
 
 # Dates

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rank as R
 from ..functions import vocabulary as V
 from ..functions.text import expand_acronyms, expand_dates, tokenize
+from ..operators import index, ranked, versions
 
 FIELDS = "chunk_type level heading course_code referenced_courses degree_full_title degree_type concentration policy_topic lab content_source".split()
 
@@ -20,32 +23,51 @@ def prepared(questions: DataFrame, day: Column) -> DataFrame:
     return out.withColumn("k", R.dynamic_k(F.col("rewritten"), F.col("tokens")))
 
 
-def search(questions: DataFrame, chunks: DataFrame, day: Column, department: str | None = None, vectors: DataFrame | None = None, alpha: float = V.ALPHA, pool: int = 50) -> DataFrame:
+#: What an index of chunks keeps of each for the hard filters, and the scopes by which it is replaced.
+LABEL, SCOPES = F.concat_ws("\x01", "level", "chunk_type"), ["department_id", "content_source"]
+
+
+def with_fields(chunks: DataFrame) -> DataFrame:
+    """Chunks with every column that filters and boosts read; what they lack is empty."""
+    out = chunks.withColumns({c: F.lit("") for c in [*FIELDS, *SCOPES] if c not in chunks.columns and c != "referenced_courses"})
+    return out if "referenced_courses" in out.columns else out.withColumn("referenced_courses", F.array().cast("array<string>"))
+
+
+def store_index(chunks: DataFrame, path: str, scope: dict | None = None) -> int:
+    """Index chunks (chunk_id, text and what metadata they have) for `search`, in place of those of their scopes and of `scope`."""
+    own = with_fields(chunks)
+    # a null level or type is an empty one
+    return index.write(own.fillna("", ["level", "chunk_type"]), path, "chunk_id", "text", SCOPES, LABEL, scope)
+
+
+def search(questions: DataFrame, chunks: DataFrame, day: Column, department: str | None = None, vectors: DataFrame | None = None, alpha: float = V.ALPHA, stored: str | None = None) -> DataFrame:
     """Ranked chunks of each question: BM25, fused with vector ranks if given, filtered, boosted and ranked again.
 
-    chunks has chunk_id, text and the fields of metadata; vectors are rows (question_id, chunk_id, score). Hard filters
-    apply before the pool of the first ranking is cut to the question's K, boosts re-rank what is left.
+    chunks has chunk_id, text and the fields of metadata, and `stored` the path of their index (see `store_index`; without one
+    they are indexed for this search alone). vectors are rows (question_id, chunk_id, score). The lists are those of the chunks
+    of the department that the hard filters admit, and their fusion is exact at any depth; each question's K best go on, and
+    boosts re-rank them.
     """
+    spark = questions.sparkSession
     q = prepared(questions, day)
-    own = chunks.where(F.col("department_id") == department) if department else chunks
-    own = own.withColumns({c: F.lit("") for c in FIELDS if c not in own.columns and c != "referenced_courses"})
-    if "referenced_courses" not in own.columns:
-        own = own.withColumn("referenced_courses", F.array().cast("array<string>"))
-    scores = R.bm25_scores(own, q.select("question_id", F.col("rewritten").alias("text")), chunk="chunk_id", question="question_id")
-    facts = q.select("question_id", "rewritten", "tokens", "k")
-
-    def allowed(found: DataFrame) -> DataFrame:
-        rows = found.join(own.select("chunk_id", "level", "chunk_type"), "chunk_id").join(F.broadcast(facts), "question_id")  # a batch of questions
-        return rows.where(R.hard_filter(F.col("rewritten"), F.col("tokens"), F.col("level"), F.col("chunk_type"))).select("question_id", "chunk_id", "score", "k")
-
-    order = [F.desc("score"), F.col("chunk_id")]
-    words = R.top(allowed(scores), "question_id", order, pool)
-    lists = [(words, 1.0 if vectors is None else 1 - alpha)]
+    own = with_fields(chunks.where(F.col("department_id") == department) if department else chunks)
+    if stored is None:
+        stored = f"{versions.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        store_index(own, stored)
+    rows = index.read(spark, stored, {"department_id": department} if department else None)
+    facts = q.select("question_id", "rewritten", "tokens", "k").persist()  # a row for each question of the batch
+    labels = rows.where("bucket = -1").select(F.explode("labels").alias("label")).distinct().persist()  # levels and types
+    level, kind = F.split("label", "\x01")[0], F.split("label", "\x01")[1]
+    allowed = facts.crossJoin(F.broadcast(labels)).where(R.hard_filter(F.col("rewritten"), F.col("tokens"), level, kind)).select("question_id", "label")
+    asked = facts.select("question_id", F.col("rewritten").alias("text"))
+    lists = [(ranked.Words(rows, asked, "question_id", "chunk_id", allowed=allowed), 1.0 if vectors is None else 1 - alpha)]
     if vectors is not None:
-        lists.append((R.top(allowed(vectors.select("question_id", "chunk_id", "score")), "question_id", order, pool), alpha))
-    fused = R.reciprocal_ranks(lists, ["question_id", "chunk_id"]).join(F.broadcast(facts), "question_id")
-    hybrid = R.top(fused, "question_id", order, F.col("k"), "hybrid_rank").withColumnRenamed("score", "hybrid_score")
-    full = hybrid.join(own, "chunk_id")
+        label = own.fillna("", ["level", "chunk_type"]).select("chunk_id", LABEL.alias("label"))
+        admitted = vectors.join(label, "chunk_id").join(allowed, ["question_id", "label"])
+        lists.append((ranked.Given(admitted, asked, "question_id", "chunk_id"), alpha))
+    fused = ranked.fused_top(lists, facts.select("question_id", "k"), "question_id", "chunk_id")
+    hybrid = fused.withColumnsRenamed({"rank": "hybrid_rank", "score": "hybrid_score"}).join(facts, "question_id")
+    full = own.join(hybrid, "chunk_id")
     boost = R.metadata_boost(F.col("rewritten"), F.col("tokens"), {c: F.col(c) for c in FIELDS})
     scored = full.withColumn("metadata_boost", boost).withColumn("final_score", F.round(F.col("hybrid_score") + F.col("metadata_boost"), 8))
     return R.top(scored, "question_id", [F.desc("final_score"), F.col("hybrid_rank")], F.col("k")).drop("rewritten", "tokens", "k")

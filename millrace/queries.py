@@ -16,6 +16,7 @@ from .functions import text as T
 from .functions import vocabulary as V
 from .operators import chunks as C
 from .operators import evaluate as E
+from .operators import index, ranked, versions
 from .operators import layout as L
 from .operators import lookup as U
 from .operators import store as S
@@ -91,13 +92,29 @@ BM25 = f"""words AS (SELECT doc_id, {TOKENS("text")} AS t FROM documents),
    FROM asked JOIN tf USING (token) JOIN df USING (token) CROSS JOIN stats GROUP BY ALL)"""
 
 
-def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+def stored(spark: SparkSession, source: DataFrame, name: str, build) -> str:
+    """The path of an index over a table, built by build(path) unless the shared folder has it for the table's files as they are."""
+    path = f"{versions.shared_folder(spark)}/index-{name}-{index.fingerprint(source)}"
+    if not versions.manifest(spark, path)["number"]:
+        build(path)
+    return path
+
+
+def word_list(spark: SparkSession, sf_dir: str) -> ranked.Words:
+    docs = table(spark, sf_dir, "documents")
+    path = stored(spark, docs, "documents", lambda p: index.write(docs, p, "doc_id"))
+    return ranked.Words(index.read(spark, path), table(spark, sf_dir, "benchmark"), "item_id", "doc_id")
+
+
+def vector_list(spark: SparkSession, sf_dir: str) -> ranked.Vectors:
+    e, b = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark")
+    asked = b.join(e, b["item_id"] == e["vec_id"]).select("item_id", "embedding")
+    return ranked.Vectors(e.withColumnRenamed("vec_id", "doc_id"), asked, "item_id", "doc_id")
 
 
 @query(f"WITH {BM25} SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bm25) WHERE rank <= 5")
 def retrieve_bm25(spark, sf_dir):
-    return R.top(bm25(spark, sf_dir), "item_id", [F.desc("score"), F.col("doc_id")], 5)
+    return word_list(spark, sf_dir).top(5)
 
 
 VECTOR = """vector AS (SELECT b.item_id, e.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
@@ -120,8 +137,16 @@ LISTS = f"""{BM25}, {VECTOR}, lists AS (SELECT item_id, doc_id, 0.25 AS w, row_n
 
 
 def ranked_lists(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, float]]:
-    order = [F.desc("score"), F.col("doc_id")]
-    return [(R.top(bm25(spark, sf_dir), "item_id", order, 50), 1 - V.ALPHA), (vectors(spark, sf_dir, 50), V.ALPHA)]
+    return [(word_list(spark, sf_dir).top(50), 1 - V.ALPHA), (vectors(spark, sf_dir, 50), V.ALPHA)]
+
+
+@query(f"""WITH {LISTS}, fused AS (SELECT item_id, doc_id, round(sum(w / (60 + rank)), 8) AS score FROM lists GROUP BY ALL)
+ SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 60""")
+def retrieve_fused_exact(spark, sf_dir):
+    """The 60 best of each question by both whole lists, of which none is written out."""
+    lists = [(word_list(spark, sf_dir), 1 - V.ALPHA), (vector_list(spark, sf_dir), V.ALPHA)]
+    widths = table(spark, sf_dir, "benchmark").select("item_id", F.lit(60).alias("k"))
+    return ranked.fused_top(lists, widths, "item_id", "doc_id")
 
 
 @query(f"""WITH {LISTS}, fused AS (SELECT item_id, doc_id, round(sum(w / (60 + rank)), 8) AS score FROM lists WHERE rank <= 50 GROUP BY ALL)
