@@ -47,58 +47,68 @@ def word_blocks(batches: Iterator[pa.RecordBatch], mean: float, k1: float, b: fl
     A block is passed over for the questions whose k-th score so far (`floor`) its maxima don't reach.
     """
 
-    def scores(rows: list[dict]) -> Iterator[Block]:
-        if rows[0]["token"] is not None or len(rows) == 1:
-            return
-        head, lists = rows[0], rows[1:]
-        sizes, ids = np.array(head["sizes"], np.float64), np.array(head["ids"], dtype=None)
-        asked = np.unique(np.concatenate([r["questions"] for r in lists]))
-        numbers = int(asked[-1]) + 1
+    for table in by_block(batches):
+        if table.column("token")[0].as_py() is not None or len(table) == 1:
+            continue
+        ids, sizes, labels = (np.array(table.column(n)[0].as_py(), kind) for n, kind in (("ids", None), ("sizes", np.float64), ("labels", object)))
+        lists = table.slice(1)
+        idf, high, low = (lists.column(n).to_numpy().astype(np.float64) for n in ("idf", "most", "least"))
+        (asking, askers), (places, length), (counts, _) = (flattened(lists.column(n)) for n in ("questions", "places", "counts"))
+        of = np.repeat(np.arange(len(lists)), askers)
         if floor is not None:
-            reach = np.zeros(numbers)
-            for r in lists:
-                reach[r["questions"]] += r["idf"] * r["most"] * (k1 + 1) / (r["most"] + k1 * (1 - b + b * r["least"] / mean))
-            asked = asked[reach[asked] + 1e-6 >= floor[asked]]
+            reach = np.bincount(asking, (idf * high * (k1 + 1) / (high + k1 * (1 - b + b * low / mean)))[of], len(floor))
+        part = np.repeat(idf, length) * counts * (k1 + 1) / (counts + k1 * (1 - b + b * sizes[places] / mean))
+        first = np.cumsum(length) - length
+        asked = np.unique(asking)
         for start in range(0, len(asked), TOGETHER):
             some = asked[start : start + TOGETHER]
-            if floor is not None:  # it may have risen meanwhile
+            if floor is not None:  # which rises from block to block
                 some = some[reach[some] + 1e-6 >= floor[some]]
-                if not len(some):
-                    continue
-            row = np.full(numbers, -1)
+            if not len(some):
+                continue
+            row = np.full(int(asked[-1]) + 1, -1)
             row[some] = np.arange(len(some))
-            total = np.zeros((len(some), len(ids)))
-            for r in lists:
-                of = row[r["questions"]]
-                of = of[of >= 0]
-                if len(of):
-                    tf = np.asarray(r["counts"], np.float64)
-                    total[of[:, None], r["places"]] += r["idf"] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[r["places"]] / mean))
+            mine = row[asking] >= 0
+            to, lists_of = row[asking[mine]], of[mine]
+            total = np.zeros(len(some) * len(ids))
+            for lo, hi in cuts(length[lists_of], 1 << 22):  # each posting once for every question of its term
+                each = length[lists_of[lo:hi]]
+                at = np.repeat(first[lists_of[lo:hi]] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
+                total += np.bincount(np.repeat(to[lo:hi] * len(ids), each) + places[at], part[at], len(total))
+            total = total.reshape(len(some), len(ids))
             total = np.where(total > 0, np.round(total, 6), NOT_LISTED)
-            yield ids, some, allow(total, some, head["labels"], allowed)
+            yield ids, some, allow(total, some, labels.tolist(), allowed)
 
-    held: list[dict] = []
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block, from rows in the order of their blocks."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        columns = {n: batch.column(n) for n in batch.schema.names}
-        lists = {n: arrays(columns[n]) for n in ("questions", "places", "counts")}
-        for i, (name, token, idf, most, least) in enumerate(zip(*(columns[n].to_pylist() for n in ("block", "token", "idf", "most", "least")))):
-            if held and held[0]["block"] != name:
-                yield from scores(held)
+        names = batch.column("block").to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(batch)]
+        for lo, hi in zip(edges, edges[1:]):
+            if held and hi > lo and held[0].column("block")[0].as_py() != names[lo]:
+                yield pa.Table.from_batches(held).combine_chunks()
                 held = []
-            if token is None:
-                held.append({"block": name, "token": None, **{n: columns[n][i].as_py() for n in ("ids", "sizes", "labels")}})
-            else:
-                bound = None if most is None else [most, least]
-                held.append({"block": name, "token": token, "idf": idf, "most": bound[0], "least": bound[1], **{n: v[i] for n, v in lists.items()}})
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
     if held:
-        yield from scores(held)
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def flattened(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of a list column end to end, and how many each list has."""
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def arrays(column: pa.ListArray) -> list[np.ndarray]:
-    """The elements of a list column as numpy arrays; null lists are empty."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False), nan=0).astype(np.int64)
-    return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
+def cuts(sizes: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Cut rows into runs of rows whose sizes add up to about `size`; a larger row makes a run of its own."""
+    edges, lo = np.concatenate(([0], np.cumsum(sizes))), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + size, "right")) - 1)
+        yield lo, hi
+        lo = hi
 
 
 def vector_blocks(batches: Iterator[pa.RecordBatch], asked: np.ndarray, allowed: dict | None) -> Iterator[Block]:
@@ -268,15 +278,16 @@ class Words(RankedList):
         terms = asked.groupBy("token").agg(F.sort_array(F.collect_list("number")).alias("questions"))
         buckets = [r[0] for r in asked.select(index.bucket_of(F.col("token"))).distinct().collect()]
         lists = self.rows.where(F.col("bucket").isin(buckets)).select("token", "block", "n", "places", "counts", "most", "least")
-        # one exchange by term serves the frequencies and the join; a frequent term has a row for each block and not for each text
-        df = lists.groupBy("token").agg(F.sum("n").alias("_df"))
+        # frequencies read just two columns; a frequent term has a row for each block and not for each text
+        df = lists.select("token", "n").join(terms.select("token"), "token", "left_semi").groupBy("token").agg(F.sum("n").alias("_df"))
         idf = F.log(1 + (F.lit(self.n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
         weighted = terms.join(df, "token").select("token", "questions", idf.alias("idf"))
         none = F.lit(None)
         hits = lists.join(weighted, "token").select("block", "token", "idf", "questions", "places", "counts", "most", "least", none.cast(self.rows.schema["ids"].dataType).alias("ids"), none.cast("array<int>").alias("sizes"), none.cast("array<string>").alias("labels"))
         ints = none.cast("array<int>")
         heads = self.rows.where("bucket = -1").select("block", none.cast("string").alias("token"), none.cast("double").alias("idf"), ints.alias("questions"), ints.alias("places"), ints.alias("counts"), none.cast("int").alias("most"), none.cast("int").alias("least"), "ids", "sizes", "labels")
-        both = heads.unionByName(hits).repartition("block").sortWithinPartitions("block", F.col("token").asc_nulls_first())
+        tasks = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes may be much work, so not fewer tasks
+        both = heads.unionByName(hits).repartition(tasks, "block").sortWithinPartitions("block", F.col("token").asc_nulls_first())
         mean, k1, b, allowed = self.mean, self.k1, self.b, batch.allowed
         return both, lambda batches, floor: word_blocks(batches, mean, k1, b, allowed, floor)
 
@@ -321,6 +332,10 @@ def fused_top(lists: list[tuple[RankedList, float]], widths: DataFrame, question
     asked for, and questions in which an item below all tops could still reach the k-th score read on at twice the depth.
     """
     most = int(widths.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0])
+    if len(lists) == 1:  # whose order is that of the fused scores
+        ranked, w = lists[0]
+        cut = ranked.top(max(1, most)).join(widths, question).where(F.col("rank") <= F.col("k"))
+        return cut.select(question, item, F.round(F.lit(float(w)) / (constant + F.col("rank")), 8).alias("score"), "rank")
     total, heaviest = sum(w for _, w in lists), max(w for _, w in lists)
     depth = max(1, most, int(np.ceil((constant + most) * total / heaviest)) - constant)
     left, out = widths, None
@@ -331,9 +346,7 @@ def fused_top(lists: list[tuple[RankedList, float]], widths: DataFrame, question
         parts, bound = [], None
         for (ranked, w), (df, _) in zip(lists, tops):
             missing = pairs.join(df.select(question, item), [question, item], "left_anti")
-            places = df.select(question, item, "rank")
-            if len(lists) > 1:
-                places = places.unionByName(ranked.places(settled(missing)).select(question, item, "rank"))
+            places = df.select(question, item, "rank").unionByName(ranked.places(settled(missing)).select(question, item, "rank"))
             parts.append(places.select(question, item, (F.lit(float(w)) / (constant + F.col("rank"))).alias("_part")))
             # what is below this top has at most the next place, or none where the list has ended
             more = df.groupBy(question).agg(F.when(F.count("*") >= depth, F.lit(w / (constant + depth + 1))).otherwise(0.0).alias("_more"))

@@ -13,6 +13,7 @@ from .functions import text as T
 from .functions import vocabulary as V
 from .operators import chunks as C
 from .operators import evaluate as E
+from .operators import index
 from .operators import layout as L
 from .operators import lookup as U
 from .operators import sections as X
@@ -44,8 +45,35 @@ WIDTH = f"""CAST(greatest(5, CASE WHEN {HAS("q.tokens", V.COMPARISON)} THEN 5 WH
 def search_plan(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
     own = C.first_wins(chunks(spark, sf_dir), "chunk_id", "doc_id").drop("doc_id")
-    path = stored(spark, table(spark, sf_dir, "documents"), "chunks", lambda p: retrieve.store_index(own, p))
-    return retrieve.search(asked, own, T.as_date(DAY), stored=path).select("question_id", "chunk_id", "hybrid_rank", "hybrid_score", "metadata_boost", "final_score", "rank")
+    return retrieve.search(asked, own, T.as_date(DAY), stored=chunk_index_path(spark, sf_dir, own)).select("question_id", "chunk_id", "hybrid_rank", "hybrid_score", "metadata_boost", "final_score", "rank")
+
+
+def chunk_index_path(spark: SparkSession, sf_dir: str, own: DataFrame) -> str:
+    return stored(spark, table(spark, sf_dir, "documents"), "chunks", lambda p: retrieve.store_index(own, p))
+
+
+@query(f"""WITH {CHUNKS}, c AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY doc_id) = 1)
+ SELECT department_id, content_source, count(*) AS texts, CAST(sum(len({TOKENS("text")})) AS BIGINT) AS words FROM c GROUP BY ALL""")
+def chunk_index(spark, sf_dir):
+    """What the index of chunks holds of each scope."""
+    own = C.first_wins(chunks(spark, sf_dir), "chunk_id", "doc_id").drop("doc_id")
+    rows = index.read(spark, chunk_index_path(spark, sf_dir, own)).where("bucket = -1")
+    return rows.groupBy("department_id", "content_source").agg(F.sum("n").alias("texts"), F.sum("words").alias("words"))
+
+
+@query(f"""WITH {CHUNKS}, c AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY doc_id) = 1), d AS (SELECT min(department_id) AS department_id FROM c),
+ o AS (SELECT c.* FROM c JOIN d USING (department_id)), w AS (SELECT chunk_id, {TOKENS("text")} AS t FROM o), stats AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM w), q AS (SELECT item_id AS question_id, text, {TOKENS("text")} AS tokens FROM benchmark),
+ tf AS (SELECT chunk_id, size, token, count(*) AS tf FROM (SELECT chunk_id, len(t) AS size, unnest(t) AS token FROM w) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token), asked AS (SELECT question_id, unnest(list_distinct(tokens)) AS token FROM q),
+ score AS (SELECT question_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM asked JOIN tf USING (token) JOIN df USING (token) CROSS JOIN stats GROUP BY ALL),
+ kept AS (SELECT question_id, chunk_id, {WIDTH} AS k, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS r FROM score JOIN o c USING (chunk_id) JOIN q USING (question_id) WHERE {KEEP})
+ SELECT question_id, chunk_id, CAST(r AS INT) AS hybrid_rank FROM kept WHERE r <= k""")
+def search_department(spark, sf_dir):
+    """The search plan within one department, whose part of the index is all that is read."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    own = C.first_wins(chunks(spark, sf_dir), "chunk_id", "doc_id").drop("doc_id")
+    first = own.agg(F.min("department_id")).first()[0]
+    found = retrieve.search(asked, own, T.as_date(DAY), department=first, stored=chunk_index_path(spark, sf_dir, own))
+    return found.select("question_id", "chunk_id", "hybrid_rank")
 
 
 # Dates

@@ -23,8 +23,13 @@ def prepared(questions: DataFrame, day: Column) -> DataFrame:
     return out.withColumn("k", R.dynamic_k(F.col("rewritten"), F.col("tokens")))
 
 
-#: What an index of chunks keeps of each for the hard filters, and the scopes by which it is replaced.
-LABEL, SCOPES = F.concat_ws("\x01", "level", "chunk_type"), ["department_id", "content_source"]
+#: The scopes by which an index of chunks is replaced.
+SCOPES = ["department_id", "content_source"]
+
+
+def label() -> Column:
+    """What an index keeps of a chunk for the hard filters."""
+    return F.concat_ws("\x01", "level", "chunk_type")
 
 
 def with_fields(chunks: DataFrame) -> DataFrame:
@@ -37,7 +42,7 @@ def store_index(chunks: DataFrame, path: str, scope: dict | None = None) -> int:
     """Index chunks (chunk_id, text and what metadata they have) for `search`, in place of those of their scopes and of `scope`."""
     own = with_fields(chunks)
     # a null level or type is an empty one
-    return index.write(own.fillna("", ["level", "chunk_type"]), path, "chunk_id", "text", SCOPES, LABEL, scope)
+    return index.write(own.fillna("", ["level", "chunk_type"]), path, "chunk_id", "text", SCOPES, label(), scope)
 
 
 def search(questions: DataFrame, chunks: DataFrame, day: Column, department: str | None = None, vectors: DataFrame | None = None, alpha: float = V.ALPHA, stored: str | None = None) -> DataFrame:
@@ -62,8 +67,8 @@ def search(questions: DataFrame, chunks: DataFrame, day: Column, department: str
     asked = facts.select("question_id", F.col("rewritten").alias("text"))
     lists = [(ranked.Words(rows, asked, "question_id", "chunk_id", allowed=allowed), 1.0 if vectors is None else 1 - alpha)]
     if vectors is not None:
-        label = own.fillna("", ["level", "chunk_type"]).select("chunk_id", LABEL.alias("label"))
-        admitted = vectors.join(label, "chunk_id").join(allowed, ["question_id", "label"])
+        labelled = own.fillna("", ["level", "chunk_type"]).select("chunk_id", label().alias("label"))
+        admitted = vectors.join(labelled, "chunk_id").join(allowed, ["question_id", "label"])
         lists.append((ranked.Given(admitted, asked, "question_id", "chunk_id"), alpha))
     fused = ranked.fused_top(lists, facts.select("question_id", "k"), "question_id", "chunk_id")
     hybrid = fused.withColumnsRenamed({"rank": "hybrid_rank", "score": "hybrid_score"}).join(facts, "question_id")

@@ -100,10 +100,24 @@ def stored(spark: SparkSession, source: DataFrame, name: str, build) -> str:
     return path
 
 
-def word_list(spark: SparkSession, sf_dir: str) -> ranked.Words:
+def word_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    path = stored(spark, docs, "documents", lambda p: index.write(docs, p, "doc_id"))
-    return ranked.Words(index.read(spark, path), table(spark, sf_dir, "benchmark"), "item_id", "doc_id")
+    return index.read(spark, stored(spark, docs, "documents", lambda p: index.write(docs, p, "doc_id")))
+
+
+@query(f"""WITH words AS (SELECT doc_id, {TOKENS("text")} AS t FROM documents), tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS token FROM words) GROUP BY ALL)
+ SELECT '' AS token, count(*) AS texts, CAST(sum(len(t)) AS BIGINT) AS n, CAST(NULL AS INT) AS most FROM words UNION ALL SELECT token, count(*), CAST(sum(tf) AS BIGINT), CAST(max(tf) AS INT) FROM tf GROUP BY token""")
+def index_statistics(spark, sf_dir):
+    """For each term how many texts have it, how often and how often at most; the empty term stands for the corpus."""
+    rows = word_index(spark, sf_dir)
+    corpus = rows.where("bucket = -1").agg(F.lit("").alias("token"), F.sum("n").alias("texts"), F.sum("words").alias("n"), F.lit(None).cast("int").alias("most"))
+    uses = F.aggregate("counts", F.lit(0), lambda a, x: a + x)
+    terms = rows.where("bucket >= 0").groupBy("token").agg(F.sum("n").alias("texts"), F.sum(uses).cast("long").alias("n"), F.max("most").alias("most"))
+    return corpus.union(terms)
+
+
+def word_list(spark: SparkSession, sf_dir: str) -> ranked.Words:
+    return ranked.Words(word_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", "doc_id")
 
 
 def vector_list(spark: SparkSession, sf_dir: str) -> ranked.Vectors:
