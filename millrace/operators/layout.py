@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import codes, strip
+from ..functions.text import codes, collapse, strip
 
 # The column split, the height of a line, the gap that makes a blank, where headers end, heading sizes.
 COLUMN_X, LINE_HEIGHT, GAP, HEADER_Y, HEADING_SIZE, TITLE_SIZE = 306.0, 3, 1.5, 45.0, 12.0, 18.0
@@ -171,16 +171,47 @@ def course_chunks(lines: DataFrame, by: str = "range_id", bold: bool = False, le
 
 
 def titled_chunks(lines: DataFrame, by: str = "range_id", least: int = 40) -> DataFrame:
-    """(by, catalog_page, title, text): a chunk for each title of 18 points; a heading of 12 to 17 points ends it."""
-    own = lines.where("not is_header").withColumn("_at", F.struct("page", "line_no")).withColumn("_heads", F.col("size") >= TITLE_SIZE)
-    cut = islands(own, "_heads", by, "_at", "section").where("section > 0")
-    so_far = Window.partitionBy(by, "section").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    stopped = F.max((~F.col("_heads") & (F.col("size") >= HEADING_SIZE)).cast("int")).over(so_far)
-    kept = cut.withColumn("_stopped", stopped).where("_stopped = 0")
-    titles = kept.where("_heads").groupBy(by, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "text"))), lambda x: x["text"]), " ").alias("title"))
-    return _sections(kept, by).join(titles, [by, "section"]).withColumn("text", strip(F.col("body"))).where(F.length("text") >= least).select(by, "catalog_page", "title", "text")
+    """(by, catalog_page, title, text, dept_name): a chunk for each title of 18 points, which leads its text in one line.
+
+    Titles that follow each other are one, joined by blanks. The first heading of 12 to 17 points ends the range. Where lines
+    have a start_heading, reading begins with the titles that make it up (but for case and white space), as a title of its own;
+    without one, what stands before the first title is a chunk without a title, on the range's start_page if lines have it.
+    """
+    blank = F.lit("")
+    start = collapse(F.lower(F.coalesce("start_heading", blank))) if "start_heading" in lines.columns else blank
+    dept = F.coalesce("dept_name", blank) if "dept_name" in lines.columns else blank
+    page = F.col("start_page") if "start_page" in lines.columns else F.col("page")
+    own = lines.where("not is_header").select(by, "page", "text", "size", F.struct("page", "line_no").alias("_at"), start.alias("_wanted"), dept.alias("dept_name"), page.alias("_first_page"))
+    own = islands(own.withColumn("_big", F.col("size") >= TITLE_SIZE), "_big", by, "_at", "_run")
+    order = Window.partitionBy(by).orderBy("_at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    # a run of titles up to each of its lines, where a start heading is looked for
+    here = F.collect_list(F.when(F.col("_big") & (F.col("_wanted") != ""), F.col("text"))).over(Window.partitionBy(by, "_run", "_big").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    told = own.withColumn("_told", F.array_join(here, " "))
+    starts = F.col("_big") & (F.col("_wanted") != "") & (collapse(F.lower("_told")) == F.col("_wanted"))
+    begun = told.withColumn("_starts", F.sum(starts.cast("int")).over(upto)).withColumn("_begins", starts & (F.col("_starts") == 1))
+    read = begun.where("_wanted = '' or _starts > 0").withColumn("text", F.when(F.col("_begins"), F.col("_told")).otherwise(F.col("text")))
+    stopped = F.sum((~F.col("_big") & (F.col("size") >= HEADING_SIZE)).cast("int")).over(upto)
+    read = read.withColumn("_stopped", stopped).where("_stopped = 0")
+    goes_on = F.lag(F.col("_big") & ~F.col("_begins"), 1, False).over(order)
+    cut = read.withColumn("_new", (F.col("_begins") | (F.col("_big") & ~goes_on)).cast("int")).withColumn("_section", F.sum("_new").over(upto))
+    some = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("_at", "text")))), lambda x: x["text"])
+    out = cut.groupBy(by, "_section").agg(F.array_join(some(F.col("_big")), " ").alias("title"), F.array_join(some(~F.col("_big")), "\n").alias("_body"), F.min("_at")["page"].alias("_page"), F.min("_first_page").alias("_first_page"), F.first("dept_name").alias("dept_name"))
+    out = out.withColumn("text", strip(F.concat_ws("\n", F.nullif("title", blank), "_body"))).where(F.length("text") >= least)
+    return out.select(by, F.when(F.col("_section") > 0, F.col("_page")).otherwise(F.col("_first_page")).alias("catalog_page"), "title", "text", "dept_name")
+
+
+#: Pages that a bucket of the join below has.
+PAGES = 16
 
 
 def in_plan(lines: DataFrame, plan: DataFrame) -> DataFrame:
-    """Lines with the section plan's row that their page lies in (start_page <= page <= end_page); the plan is small."""
-    return lines.join(F.broadcast(plan), (F.col("page") >= F.col("start_page")) & (F.col("page") <= F.col("end_page")))
+    """Lines with each row of the section plan that their page lies in (start_page <= page <= end_page).
+
+    An interval join: a range goes to every bucket of PAGES pages that it meets, lines to the bucket of their page, and bounds are
+    compared within buckets. Ranges that overlap give a line to each of them; those that end before they start have none.
+    """
+    bucket = lambda c: F.floor(F.col(c) / PAGES)
+    ranges = plan.where("start_page <= end_page").withColumn("_bucket", F.explode(F.sequence(bucket("start_page"), bucket("end_page"))))
+    both = lines.withColumn("_bucket", bucket("page")).join(ranges, "_bucket")
+    return both.where((F.col("page") >= F.col("start_page")) & (F.col("page") <= F.col("end_page"))).drop("_bucket")

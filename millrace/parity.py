@@ -273,15 +273,21 @@ def course_entries(spark, sf_dir):
     return L.course_chunks(course_lines(spark, sf_dir), bold=True)
 
 
+def section_plan(ranges: DataFrame, start, end, handler, **values) -> DataFrame:
+    """A section plan over ranges (range_id): what isn't given is empty."""
+    given = {"start_page": start, "end_page": end, "handler": handler} | values
+    empty = {c: F.lit("") for c in ingest.PLAN if c not in values} | ({} if "is_concentration" in values else {"is_concentration": F.lit(False)})
+    return ranges.select("range_id", *[v.alias(c) for c, v in (given | empty).items()])
+
+
 @query(f"""WITH p AS ({COURSE_LINES}), e AS (SELECT p_partkey, split_part(head, '. ', 1) AS course_code, head || chr(10) || body AS t FROM p WHERE length(head || chr(10) || body) >= 30), i AS (SELECT *, substr(sha256(t), 1, 16) AS chunk_id FROM e),
  f AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY p_partkey // 25, p_partkey) = 1)
  SELECT chunk_id, 'course_description' AS chunk_type, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS text, course_code, CASE WHEN CAST(regexp_extract(course_code, '\\d+') AS INT) >= 5000 THEN 'graduate' ELSE 'undergraduate' END AS level, regexp_extract(t, '(?i)(\\d[\\d\\-]+)\\s*Credits?', 1) AS credits,
   'Academic Catalog 2026, p.' || (p_partkey + 1) AS source, CAST(p_partkey + 1 AS INT) AS catalog_page_end FROM f""")
 def ingest_lines(spark, sf_dir):
     lines = course_lines(spark, sf_dir)
-    n = table(spark, sf_dir, "part").agg(F.max("p_partkey").alias("n")).first()["n"]
-    plan = [(r, 25 * r + 1, 25 * r + 25, "courses", "", "", "", "", "", False) for r in range(n // 25 + 1)]
-    plan = spark.createDataFrame(plan, "range_id int, start_page int, end_page int, handler string, title string, dept_name string, topic string, start_heading string, degree_level string, is_concentration boolean")
+    r = F.floor(F.col("p_partkey") / 25).cast("int")
+    plan = section_plan(table(spark, sf_dir, "part").select(r.alias("range_id")).distinct(), 25 * F.col("range_id") + 1, 25 * F.col("range_id") + 25, F.lit("courses"))
     return ingest.ingest_lines(lines.drop("range_id"), plan, "dept", "main", "2026").select("chunk_id", "chunk_type", "text", "course_code", "level", "credits", "source", "catalog_page_end")
 
 
@@ -307,14 +313,61 @@ def generic_sections(spark, sf_dir):
     return ingest.generic_chunks(lines).select("range_id", "chunk_type", "policy_topic", "lab_name", F.md5("text").alias("digest"), F.size("referenced_courses").alias("referenced"))
 
 
-@query(f"""WITH l AS ({HEADED}), n AS (SELECT *, sum(heads::INT) OVER (PARTITION BY range_id ORDER BY p_partkey) AS s, coalesce(lag(heads) OVER (PARTITION BY range_id ORDER BY p_partkey), false) AS before FROM l),
- g AS (SELECT *, sum((heads AND NOT before)::INT) OVER (PARTITION BY range_id ORDER BY p_partkey) AS i FROM n)
- SELECT range_id, string_agg(t, ' ' ORDER BY p_partkey) FILTER (WHERE heads) AS title, md5(trim(string_agg(t, chr(10) ORDER BY p_partkey))) AS digest FROM g WHERE i > 0 GROUP BY range_id, i HAVING length(trim(string_agg(t, chr(10) ORDER BY p_partkey))) >= 40""")
+@query(f"""WITH l AS ({HEADED}), n AS (SELECT *, coalesce(lag(heads) OVER (PARTITION BY range_id ORDER BY p_partkey), false) AS before FROM l),
+ g AS (SELECT *, sum((heads AND NOT before)::INT) OVER (PARTITION BY range_id ORDER BY p_partkey) AS i FROM n),
+ c AS (SELECT range_id, i, coalesce(string_agg(t, ' ' ORDER BY p_partkey) FILTER (WHERE heads), '') AS title, string_agg(t, chr(10) ORDER BY p_partkey) FILTER (WHERE NOT heads) AS body FROM g GROUP BY range_id, i)
+ SELECT range_id, title, md5(trim(concat_ws(chr(10), nullif(title, ''), body))) AS digest FROM c WHERE length(trim(concat_ws(chr(10), nullif(title, ''), body))) >= 40""")
 def minor_sections(spark, sf_dir):
     lines = headed_lines(spark, sf_dir).withColumn("size", F.when(F.col("size") == 12, 18.0).otherwise(9.0))
     return L.titled_chunks(lines).select("range_id", "title", F.md5("text").alias("digest"))
 
 
+#: Pages of minors: of ten parts each the lines are a body, the start heading in two lines and a title right behind it, its body,
+#: another minor and its body, in two of three ranges a heading of 14 points that ends reading, and one more minor.
+MINOR = """SELECT p_partkey, p_partkey // 10 AS r, p_partkey % 10 AS k, CASE WHEN p_partkey % 10 IN (1, 2, 3, 5, 8) THEN 18.0 WHEN p_partkey % 10 = 7 AND p_partkey // 10 % 3 > 0 THEN 14.0 ELSE 9.0 END AS size,
+ CASE p_partkey % 10 WHEN 1 THEN 'Minors of' WHEN 2 THEN 'the  College' ELSE p_name || CASE WHEN p_partkey % 10 IN (3, 5, 8) THEN ' - Undergraduate Minor' ELSE ' of ' || p_type || ', for all years of study' END END AS t FROM part"""
+
+
+@query(f"""WITH l AS ({MINOR}), b AS (SELECT *, r % 2 = 0 AS named, count(*) FILTER (WHERE k IN (1, 2)) OVER (PARTITION BY r) = 2 AS starts FROM l),
+ s AS (SELECT *, CASE WHEN k = 0 THEN 0 WHEN k < 5 THEN 1 WHEN k < 8 THEN 2 ELSE 3 END AS sec FROM b WHERE (NOT named OR (starts AND k >= 3)) AND (k < 7 OR r % 3 = 0)),
+ c AS (SELECT r, sec, coalesce(string_agg(t, ' ' ORDER BY k) FILTER (WHERE size = 18), '') AS title, string_agg(t, chr(10) ORDER BY k) FILTER (WHERE size < 18) AS body FROM s GROUP BY r, sec)
+ SELECT CAST(r AS INT) AS range_id, title, concat_ws(chr(10), nullif(title, ''), body) AS text FROM c WHERE length(concat_ws(chr(10), nullif(title, ''), body)) >= 40""")
+def minor_pages(spark, sf_dir):
+    """Minors from their start heading to the first smaller heading, by the plan's rows."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    line, r = (k % 10).cast("int"), F.floor(k / 10).cast("int")
+    size = F.when(line.isin(1, 2, 3, 5, 8), 18.0).when((line == 7) & (r % 3 > 0), 14.0).otherwise(9.0)
+    tail = F.when(line.isin(3, 5, 8), " - Undergraduate Minor").otherwise(F.concat(F.lit(" of "), "p_type", F.lit(", for all years of study")))
+    text = F.when(line == 1, "Minors of").when(line == 2, "the  College").otherwise(F.concat("p_name", tail))
+    lines = p.select((r + 1).alias("page"), line.alias("line_no"), text.alias("text"), size.alias("size"), F.lit(False).alias("is_header"))
+    start = F.when(F.col("range_id") % 2 == 0, "minors of the college").otherwise("")
+    plan = section_plan(p.select(r.alias("range_id")).distinct(), F.col("range_id") + 1, F.col("range_id") + 1, F.lit("minor"), start_heading=start)
+    return L.titled_chunks(L.in_plan(lines, plan)).select("range_id", "title", "text")
+
+
+#: A range of one page for each part, whose two lines the nine handlers read in turn: a heading or first line, and a body.
+HANDLED = ["policy", "glossary", "grad_info", "research", "dept_intro", "degree_core", "degree", "minor", "courses"]
+FIRST = "CASE h WHEN 4 THEN 'Faculty' WHEN 5 THEN p_name || ' - Bachelor of Science' WHEN 6 THEN p_name || ' - Master of Arts' WHEN 7 THEN p_name || ' - Graduate Minor' WHEN 8 THEN 'PHYS ' || (1000 + k % 8000) || '. ' || p_name ELSE p_name || ' ' || p_brand END"
+REST = "p_name || ' of ' || p_type || ' by ' || p_brand || '. See PHYS 1100 and CSCI ' || (1000 + k % 9000) || ', 3-4 Credits, item ' || k || repeat(' of the catalog', 5)"
+
+
+@query(f"""WITH p AS (SELECT *, p_partkey AS k, p_partkey % 9 AS h FROM part), l AS (SELECT k, h, p_name, {FIRST} AS t, {REST} AS b FROM p),
+ c AS (SELECT k, h, t, CASE WHEN h IN (4, 6) THEN b ELSE t || chr(10) || b END AS text, b FROM l)
+ SELECT substr(sha256(text), 1, 16) AS chunk_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, CAST(k AS INT) AS catalog_page,
+  ['policy', 'glossary', 'grad_program_info', 'research', 'faculty', 'degree_core_requirement', 'degree_requirement', 'minor_requirement', 'course_description'][h + 1] AS chunk_type,
+  CASE WHEN h IN (5, 6, 7) THEN t ELSE '' END AS degree_full_title, ['', '', '', '', '', 'bs', 'ms', 'minor', ''][h + 1] AS degree_type, CASE WHEN h IN (0, 2) THEN t WHEN h = 1 THEN '' ELSE '' END AS policy_topic, CASE WHEN h = 3 THEN t ELSE '' END AS lab,
+  CASE WHEN h = 8 THEN split_part(t, '. ', 1) ELSE '' END AS course_code, CASE WHEN h = 8 THEN '3-4' ELSE '' END AS credits FROM c""")
+def catalog_sections(spark, sf_dir):
+    """Chunks of a plan in which the handlers alternate: one job, whatever the number of ranges."""
+    p = table(spark, sf_dir, "part").withColumns({"k": F.col("p_partkey"), "h": F.col("p_partkey") % 9})
+    size = F.when(F.col("h").isin(0, 2, 3, 4), 12.0).when(F.col("h").isin(5, 6, 7), 18.0).otherwise(9.0)
+    two = F.array(F.struct(F.lit(0).alias("line_no"), F.expr(FIRST).alias("text"), size.alias("size")), F.struct(F.lit(1).alias("line_no"), F.expr(REST).alias("text"), F.lit(9.0).alias("size")))
+    lines = p.select(F.col("k").cast("int").alias("page"), F.explode(two).alias("l")).select("page", "l.*", F.lit(False).alias("is_header"))
+    title, handler = F.when(F.col("h").isin(5, 6), F.expr(FIRST)).otherwise(""), F.element_at(T.strings(HANDLED), (F.col("h") + 1).cast("int"))
+    plan = section_plan(p.withColumn("range_id", F.col("k").cast("int")), F.col("k").cast("int"), F.col("k").cast("int"), handler, title=title, start_heading=F.when(F.col("h") == 6, title).otherwise(""))
+    return ingest.ingest_lines(lines, plan, "dept", "main", "2026").select("chunk_id", "text", "catalog_page", "chunk_type", "degree_full_title", "degree_type", "policy_topic", "lab", "course_code", "credits")
+
+
 #: Department pages: an intro, an index, a list of courses that is left out, and graduate assistantships.
 DEPT = ["Welcome to the department of ", "Degrees for the", "Department", "One, two and three of ", "Physics Courses", "PHYS 110. Light of ", "Graduate Assistantships", "Assistants teach and work on "]
 

@@ -57,57 +57,56 @@ def generic_chunks(lines: DataFrame) -> DataFrame:
     """Chunks of policy, glossary, graduate and research ranges (lines with handler and the plan's columns)."""
     kind = F.coalesce(*[F.when(F.col("handler") == h, F.lit(k)) for h, k in GENERIC.items()])
     facts = lines.select("range_id", kind.alias("chunk_type"), "dept_name", "degree_level").distinct()
-    cut = L.heading_chunks(lines, preset="topic", keep=F.col("handler") == "glossary").join(F.broadcast(facts), "range_id")
+    cut = L.heading_chunks(lines, preset="topic", keep=F.col("handler") == "glossary").join(facts, "range_id")
     is_lab = F.col("chunk_type") == "research"
     topic = F.when(F.col("chunk_type").isin("policy", "grad_program_info"), F.col("topic")).otherwise("")
     return as_chunks(cut, policy_topic=topic, lab_name=F.when(is_lab, F.col("topic")).otherwise(""), is_research_related=is_lab)
 
 
-def section_chunks(lines: DataFrame, handler: str, s: dict) -> DataFrame:
-    """Chunks of one range of a plan that a handler of department pages, degrees or minors reads."""
-    dept, start = F.lit(s["dept_name"]), s["start_heading"]
-    family = F.array(C.family(dept))
-    if handler == "dept_intro":
-        subjects = [s["dept_name"].removeprefix("Department of ").strip()] if s["dept_name"] else []
-        found = X.department_chunks(lines, start, subjects)
-        return as_chunks(found, dept_name=dept, program_family=family, referenced_courses=codes(F.col("text"), V.CATALOG_CODE))
-    if handler == "degree_core":
-        found = X.core_chunks(lines, start or s["title"], s["title"])
-        return as_chunks(found, dept_name=dept, program_family=family, degree_level=C.degree_facts(F.lit(s["title"]))["level"], referenced_courses=codes(F.col("text"), V.CATALOG_CODE))
-    if handler == "degree":
-        found = X.degree_chunks(lines, s["title"], start, s["is_concentration"])
-        return as_chunks(found, dept_name=dept, program_family=family, degree_level=F.col("level"))
-    if handler == "minor":
-        found = L.titled_chunks(lines)
-        level = F.when(F.col("title").rlike(r"(?i)\bgraduate\b"), "graduate").otherwise("undergraduate")
-        return as_chunks(found, chunk_type=F.lit("minor_requirement"), dept_name=dept, program_family=family, degree_full_title=F.col("title"), degree_type=F.lit("minor"), degree_level=level, referenced_courses=codes(F.col("text"), V.CATALOG_CODE))
-    raise ValueError(f"no handler {handler}")
+def department_chunks(lines: DataFrame) -> DataFrame:
+    return as_chunks(X.department_chunks(lines), program_family=F.array(C.family(F.col("dept_name"))), referenced_courses=codes(F.col("text"), V.CATALOG_CODE))
+
+
+def core_chunks(lines: DataFrame) -> DataFrame:
+    level = C.degree_facts(F.col("title"))["level"]
+    return as_chunks(X.core_chunks(lines), program_family=F.array(C.family(F.col("dept_name"))), degree_level=level, referenced_courses=codes(F.col("text"), V.CATALOG_CODE))
+
+
+def degree_chunks(lines: DataFrame) -> DataFrame:
+    return as_chunks(X.degree_chunks(lines), program_family=F.array(C.family(F.col("dept_name"))), degree_level=F.col("level"))
+
+
+def minor_chunks(lines: DataFrame) -> DataFrame:
+    level = F.when(F.col("title").rlike(r"(?i)\bgraduate\b"), "graduate").otherwise("undergraduate")
+    facts = {"chunk_type": F.lit("minor_requirement"), "degree_full_title": F.col("title"), "degree_type": F.lit("minor"), "degree_level": level}
+    return as_chunks(L.titled_chunks(lines), program_family=F.array(C.family(F.col("dept_name"))), referenced_courses=codes(F.col("text"), V.CATALOG_CODE), **facts)
+
+
+def course_chunks(lines: DataFrame, bold: bool = False) -> DataFrame:
+    found = L.course_chunks(lines, bold=bold)
+    facts = C.course_facts(F.col("course_code"), F.col("text"), bold)
+    renamed = {"dept_prefix": facts["prefix"], "course_number_level": facts["course_level"], "credits": facts["credits"], "has_prerequisites": facts["has_prerequisites"]}
+    return as_chunks(found, chunk_type=F.lit("course_description"), referenced_courses=codes(F.col("text"), V.CATALOG_CODE), **renamed)
+
+
+#: Handlers of a section plan beside the generic ones: what reads the lines of all ranges that name it.
+HANDLERS = {"courses": course_chunks, "dept_intro": department_chunks, "degree_core": core_chunks, "degree": degree_chunks, "minor": minor_chunks}
 
 
 def catalog_chunks(lines: DataFrame, plan: DataFrame, bold: bool = False) -> DataFrame:
     """Chunks of all ranges of a plan, first of equal texts by range and page, with their content ids.
 
-    plan has a row for each range of pages, so it is small and its rows are dispatched here: (range_id, start_page,
-    end_page, handler, title, dept_name, topic, start_heading, degree_level, is_concentration). Generic ranges and
-    course descriptions are read together, the others each by its own parameters.
+    plan is (range_id, start_page, end_page, handler, title, dept_name, topic, start_heading, degree_level, is_concentration). Its rows
+    meet their lines in a join and go with them as parameters, so each handler reads all its ranges at once, partitioned by
+    range, and the size of the job doesn't depend on their number. A plan with an unknown handler is refused.
     """
-    own = L.in_plan(lines, plan)
-    rows = [r.asDict() for r in plan.collect()]
-    known = {"courses", *GENERIC, "dept_intro", "degree_core", "degree", "minor"}
-    if odd := {r["handler"] for r in rows} - known:
-        raise ValueError(f"no handler {sorted(odd)}")
-    parts = []
-    if any(r["handler"] in GENERIC for r in rows):
-        parts.append(generic_chunks(own.where(F.col("handler").isin(list(GENERIC)))))
-    if any(r["handler"] == "courses" for r in rows):
-        found = L.course_chunks(own.where("handler = 'courses'"), bold=bold)
-        facts = C.course_facts(F.col("course_code"), F.col("text"), bold)
-        renamed = {"dept_prefix": facts["prefix"], "course_number_level": facts["course_level"], "credits": facts["credits"], "has_prerequisites": facts["has_prerequisites"]}
-        parts.append(as_chunks(found, chunk_type=F.lit("course_description"), referenced_courses=codes(F.col("text"), V.CATALOG_CODE), **renamed))
-    for r in rows:
-        if r["handler"] not in GENERIC and r["handler"] != "courses":
-            s = {c: r[c] or "" for c in PLAN} | {"is_concentration": bool(r["is_concentration"])}
-            parts.append(section_chunks(own.where(F.col("range_id") == r["range_id"]), r["handler"], s))
+    if odd := plan.where(~F.col("handler").isin([*GENERIC, *HANDLERS]) | F.col("handler").isNull()).select("handler").limit(1).collect():
+        raise ValueError(f"no handler {odd[0][0]}")
+    own = L.in_plan(lines, plan.fillna("", PLAN).fillna(False, "is_concentration"))
+    parts = [generic_chunks(own.where(F.col("handler").isin(list(GENERIC))))]
+    for name, read in HANDLERS.items():
+        mine = own.where(F.col("handler") == name)
+        parts.append(read(mine, bold) if name == "courses" else read(mine))
     both = reduce(DataFrame.unionByName, parts)
     ided = both.withColumn("chunk_id", content_id(F.col("text"))).withColumn("catalog_page_end", F.col("catalog_page")).withColumn("seq", F.struct("range_id", "catalog_page"))
     return C.first_wins(ided, "chunk_id", "seq").drop("seq")
