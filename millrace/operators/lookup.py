@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.english import asked as lexemes_asked
+from ..functions.english import lexemes, match_rank
 from ..functions.text import strings
 
 
@@ -26,33 +28,20 @@ def same_code(code: Column, asked: Column) -> Column:
     return bare(code) == bare(asked)
 
 
-def by_code(courses: DataFrame, asked: DataFrame) -> DataFrame:
-    """The latest row of each asked code (column asked), blanks and case aside."""
+def by_code(courses: DataFrame, codes: DataFrame) -> DataFrame:
+    """The latest row of each code asked for (column asked), blanks and case aside."""
     keyed = courses.withColumn("_key", F.upper(F.replace("course_code", F.lit(" "), F.lit(""))))
-    wanted = asked.withColumn("_key", F.upper(F.replace("asked", F.lit(" "), F.lit(""))))
+    wanted = codes.withColumn("_key", F.upper(F.replace("asked", F.lit(" "), F.lit(""))))
     w = Window.partitionBy("asked").orderBy(F.desc("catalog_year"), "course_code")
     return wanted.join(keyed, "_key").withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_key")
 
 
-def stem(word: Column) -> Column:
-    """A light English stem: plural and -ing / -ed endings."""
-    return F.regexp_replace(F.regexp_replace(word, "(ies)$", "y"), "(?<=[a-z]{3})(ing|ed|es|s)$", "")
-
-
-STOP = "a an and are as at be by for from in is of on or the to with".split()
-
-
-def terms(text: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.transform(F.filter(found, lambda t: ~t.isin(STOP)), stem)
-
-
 def by_title(courses: DataFrame, query: Column, k: int = 5) -> DataFrame:
-    """Rows whose title has every term of the query, with rank = matched occurrences / (1 + ln(terms in title))."""
-    asked, held = F.array_distinct(terms(query)), terms(F.col("course_title"))
-    all_in = (F.size(asked) > 0) & (F.size(F.array_except(asked, held)) == 0)
-    rank = F.size(F.filter(held, lambda t: F.array_contains(asked, t))) / (1 + F.log(F.size(held)))
-    return courses.where(all_in).withColumn("rank", F.round(rank, 6)).orderBy(F.desc("rank"), F.desc("catalog_year"), "course_code").limit(k)
+    """The k best rows whose title has every lexeme of the query (English stems, no stop words), ranked by `match_rank`."""
+    both = courses.withColumn("_want", lexemes_asked(query)).withColumn("_held", lexemes(F.col("course_title")))
+    found = both.where((F.size("_want") > 0) & (F.size(F.array_except("_want", "_held")) == 0))
+    ranked = found.withColumn("rank", match_rank(F.col("_held"), F.col("_want"))).drop("_want", "_held")
+    return ranked.orderBy(F.desc("rank"), F.desc("catalog_year"), "course_code").limit(k)
 
 
 def clear_winner(hits: DataFrame, by: str, order: list[Column]) -> DataFrame:

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.text import joined, uuid5_url
+from . import versions
 
 PARTITIONS = ["department_id", "content_source"]
 
 
-def replace_partitions(df: DataFrame, path: str, by: list[str] | None = None, scope: dict[str, str] | None = None) -> None:
-    """Write df so that it replaces just the partitions that it has rows of, and the one of `scope` in any case.
+def replace_partitions(df: DataFrame, path: str, by: list[str] | None = None, scope: dict[str, str] | None = None) -> int:
+    """Replace just the partitions that df has rows of, and the one of `scope` in any case, in one step (see `versions`).
 
-    scope names a value for each partition column, as in a run over one department; without new rows it is emptied.
+    scope names a value for each partition column, as in a run over one department; without new rows it is emptied. Readers
+    (`stored`) see old rows or new ones, columns may be added, and a writer that fails leaves the table as it was.
     """
-    by = by or PARTITIONS
-    if scope:
-        spark = df.sparkSession
-        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{c}={scope[c]}" for c in by)]))
-        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    return versions.publish(df, path, by or PARTITIONS, scope)
+
+
+def stored(spark: SparkSession, path: str, scope: dict[str, str] | None = None) -> DataFrame:
+    """The rows of a table that `replace_partitions` writes, or those of a scope."""
+    return versions.current(spark, path, scope)
 
 
 def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

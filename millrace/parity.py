@@ -469,8 +469,13 @@ def crawl_runs(spark, sf_dir):
 
 # Courses
 
-@query(f"""WITH {LATEST}, t AS (SELECT *, list_transform(regexp_extract_all(lower(course_title), '[a-z0-9]+'), lambda w: regexp_replace(regexp_replace(w, 'ies$', 'y'), '^(.*?[a-z]{{3}})(ing|ed|es|s)$', '\\1')) AS held FROM upserted),
- w AS (SELECT *, list_distinct(['small', regexp_replace('widgets', 's$', '')]) AS want FROM t), r AS (SELECT *, round(len(list_filter(held, lambda x: list_contains(want, x))) / (1 + ln(len(held))), 6) AS rank FROM w WHERE list_has_all(held, want))
+#: Ranks of titles that have both words: by the distances of their places.
+DISTANT = "1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(i - j) / 1.5 - 2)))"
+
+
+@query(f"""WITH {LATEST}, t AS (SELECT *, regexp_extract_all(lower(course_title), '[a-z0-9]+') AS w FROM upserted),
+ p AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'small') AS a, list_filter(range(1, len(w) + 1), lambda j: regexp_matches(w[j], '^widgets?$')) AS b FROM t),
+ r AS (SELECT *, round(1 - list_product(flatten(list_transform(a, lambda i: list_transform(b, lambda j: {DISTANT})))), 6) AS rank FROM p WHERE len(a) > 0 AND len(b) > 0)
  SELECT course_code, course_title, catalog_year, rank FROM r ORDER BY rank DESC, catalog_year DESC, course_code LIMIT 5""")
 def course_by_title(spark, sf_dir):
     return U.by_title(courses(spark, sf_dir), F.lit("the small widgets")).select("course_code", "course_title", "catalog_year", "rank")

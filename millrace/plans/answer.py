@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vocabulary as V
+from ..functions.english import asked as lexemes_asked
+from ..functions.english import lexemes, match_rank
 from ..functions.text import asks_availability, codes, department_prefix, question_type, semester, title_words
 from ..operators import evaluate as E
 from ..operators import lookup as U
@@ -79,11 +81,11 @@ def lookups(questions: DataFrame, courses: DataFrame) -> DataFrame:
     asked = single.select("question_id", "kind", F.posexplode(codes(F.upper(t), V.QUESTION_CODE)).alias("i", "asked"))
     by_code = U.by_code(courses, asked.select("asked").distinct()).join(asked, "asked")
     first = by_code.groupBy("question_id").agg(F.min_by(F.struct("kind", "course_code", "course_title", "credits", "suffix", "catalog_year"), "i").alias("c"))
-    rest = single.join(first, "question_id", "left_anti").withColumn("want", F.array_distinct(U.terms(title_words(t)))).where("size(want) > 0")
-    titled = courses.withColumn("held", U.terms(F.col("course_title")))
+    rest = single.join(first, "question_id", "left_anti").withColumn("want", lexemes_asked(title_words(t))).where("size(want) > 0")
+    titled = courses.withColumn("held", lexemes(F.col("course_title")))
     hits = rest.select("question_id", "kind", "want", F.explode("want").alias("term")).join(titled.select("*", F.explode(F.array_distinct("held")).alias("term")), "term")
     full = hits.groupBy("question_id", "kind", "course_code", "course_title", "credits", "suffix", "catalog_year", "held", "want").agg(F.count("*").alias("n")).where("n = size(want)")
-    ranked = full.withColumn("rank", F.round(F.size(F.filter("held", lambda x: F.array_contains("want", x))) / (1 + F.log(F.size("held"))), 6))
+    ranked = full.withColumn("rank", match_rank(F.col("held"), F.col("want")))
     best = U.clear_winner(ranked, "question_id", [F.desc("catalog_year"), F.col("course_code")])
     both = first.select("question_id", "c.*").unionByName(best.select("question_id", "kind", "course_code", "course_title", "credits", "suffix", "catalog_year"))
     c = F.col

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import layout
 from millrace.operators import sections as X
 from millrace.plans import answer as A
 from millrace.plans import ingest
@@ -89,6 +90,41 @@ def test_dispatch_of_a_plan(spark):
         ingest.catalog_chunks(lines, plan.withColumn("handler", F.lit("poetry")))
 
 
+def minors(spark, rows, **plan):
+    data = [(1, i // 3 + 7, i, t, float(s), False) for i, (t, s) in enumerate(rows)]
+    df = spark.createDataFrame(data, "range_id int, page int, line_no int, text string, size double, is_header boolean").withColumns({k: F.lit(v) for k, v in plan.items()})
+    return [(r["title"], r["text"], r["catalog_page"]) for r in sorted(layout.titled_chunks(df).collect(), key=lambda r: (r["catalog_page"], r["title"]))]
+
+
+def test_minors_begin_and_end(spark):
+    rows = [(BODY, 9), ("Art -", 18), ("Minor", 18), (BODY, 9), ("Program Information", 14), (BODY, 9), ("Bio - Minor", 18), (BODY, 9)]
+    art = ("Art - Minor", f"Art - Minor\n{BODY}", 7)
+    assert minors(spark, rows) == [("", BODY, 7), art]  # a smaller heading ends the range, not just its section
+    assert minors(spark, rows, start_page=5)[0] == ("", BODY, 5)
+    assert minors(spark, rows, start_heading=" art  - MINOR") == [(*art[:2], 7)]
+    assert minors(spark, rows, start_heading="Bio - Minor") == [("Bio - Minor", f"Bio - Minor\n{BODY}", 9)] and minors(spark, rows, start_heading="Law") == []
+    # titles right behind the start heading are another minor
+    assert minors(spark, [("Minors", 18), ("Art - Minor", 18), (BODY, 9)], start_heading="minors") == [("Art - Minor", f"Art - Minor\n{BODY}", 7)]
+
+
+def test_lines_meet_their_ranges(spark):
+    lines = spark.range(100).select(F.col("id").cast("int").alias("page"))
+    plan = spark.createDataFrame([(1, 0, 40), (2, 16, 16), (3, 90, 200), (4, 9, 3), (5, 40, 41)], "range_id int, start_page int, end_page int")
+    got = layout.in_plan(lines, plan)
+    assert sorted((r["page"], r["range_id"]) for r in got.collect()) == sorted((p, r["range_id"]) for p in range(100) for r in plan.collect() if r["start_page"] <= p <= r["end_page"])
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_plans_of_any_size_make_one_job(spark):
+    lines = spark.createDataFrame([(1, 0, "x", 9.0, False)], "page int, line_no int, text string, size double, is_header boolean")
+    row = lambda i: (i, i, i, list(ingest.HANDLERS)[i % 5], "T", "D", "", "", "", False)
+    sizes = []
+    for n in (5, 60):
+        plan = spark.createDataFrame([row(i) for i in range(n)], "range_id int, start_page int, end_page int, handler string, title string, dept_name string, topic string, start_heading string, degree_level string, is_concentration boolean")
+        sizes.append(ingest.catalog_chunks(lines, plan)._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+    assert sizes[0] == sizes[1]
+
+
 def test_evaluation_of_results(spark):
     golden = spark.createDataFrame([("a", "x", ["CS 100 has four credits"], ["1"], "web", False), ("b", "x", ["none"], ["9"], "catalog", False), ("c", "x", ["none"], [], "redirect", True)], "question_id string, category string, key_facts array<string>, expected_chunk_ids array<string>, expected_source_type string, banner_redirect_expected boolean")
     chunk = "array<struct<chunk_id:string,content_source:string,source:string>>"
