@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.text import collapse, content_id, estimate_tokens, slug, strip
+from .ordered import greedy_batches
 
 CHUNK = "array<struct<heading:string,text:string>>"
 
@@ -172,6 +173,11 @@ def embedding_batches(df: DataFrame, key: str, text: str = "text", most_rows: in
     return sized.groupBy("group").applyInPandas(cut, f"{key} {dict(df.dtypes)[key]}, group int, tokens int, batch int")
 
 
+def batches_in_order(df: DataFrame, key: str, text: str = "text", most_rows: int = 64, most_tokens: int = 240_000, width: int = 4096) -> DataFrame:
+    """(key, tokens, batch): batches of all rows as one order of an integer key, closed where a single pass would close them."""
+    return greedy_batches(df.select(key, estimate_tokens(F.col(text)).alias("tokens")), key, "tokens", most_rows, most_tokens, width)
+
+
 def quality_issues(chunks: DataFrame) -> DataFrame:
     """(chunk_id, issue): one row for each rule that a chunk breaks."""
     kind = F.col("chunk_type")

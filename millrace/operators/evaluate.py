@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.text import codes, strip
+from .ordered import nearest_rank
 
 # Weights, thresholds, and kappa's labels from the top.
 WEIGHTS, PASS, BORDERLINE = (0.4, 0.3, 0.3), 0.7, 0.85
@@ -135,7 +136,7 @@ def run_summary(results: DataFrame) -> DataFrame:
     """One row of a run: questions, passes (true only), pass rate, and mean (cut) and 90th-percentile latency."""
     rate = F.when(F.count("*") > 0, F.round(F.count_if("passed") / F.nullif(F.count("*"), F.lit(0)), 3))
     counted = results.agg(F.count("*").alias("total_questions"), F.count_if("passed").alias("total_passed"), rate.alias("pass_rate"), F.floor(F.avg("latency")).cast("int").alias("avg_latency"))
-    return counted.join(F.broadcast(nearest_rank(results.withColumn("_all", F.lit(1)), "latency", ["_all"]).drop("_all")), F.lit(True), "left")  # one row each
+    return counted.join(F.broadcast(nearest_rank(results, "latency", [])), F.lit(True), "left")  # one row each
 
 
 def run_lists(results: DataFrame, low: float = PASS) -> DataFrame:
@@ -153,17 +154,6 @@ def retrieved(chunks: Column) -> Column:
     return F.transform(chunks, lambda c: F.struct(*[c[f].alias(f) for f in V.RETRIEVED]))
 
 
-def nearest_rank(values: DataFrame, value: str, by: list[str], share: float = 0.9) -> DataFrame:
-    """The value at 0-based rank floor(n x share) of each group, by counts of distinct values.
-
-    Running counts replace a sorted list, so a group of any size is never gathered in one row.
-    """
-    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
-    return ranked.where(F.col("_upto") > F.floor(F.col("_all") * F.lit(share))).groupBy(*by).agg(F.min(value).alias("p90"))
-
-
 def confusion(rows: DataFrame, judge: str, human: str) -> DataFrame:
     """One row: tp, tn, fp, fn, sensitivity, specificity, kappa and its label.
 

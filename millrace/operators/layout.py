@@ -5,6 +5,8 @@ Characters: page, text, x0, x1, top, size, fontname. Lines: page, line_no, text,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,21 +100,30 @@ def section_type(title: Column) -> Column:
     return F.coalesce(*[F.when(low.contains(phrase), F.lit(kind)) for phrase, kind in rules], F.lit("general"))
 
 
-def page_ranges(entries: DataFrame) -> DataFrame:
-    """Add end_page: the page before the next entry that is indented no deeper, else the last page of all.
+def page_ranges(entries: DataFrame, by: list[str] | None = None, segment: int = 512) -> DataFrame:
+    """(by, catalog_page, title, indent, end_page): the page before the next entry that is indented no deeper, else the last of all.
 
-    Entries go by (page, title, indent). An entry counts at its own level and at all deeper ones, so the next entry of
-    its level is the one looked for: a window for each level, over entries x levels rows. Levels should be few.
+    Entries go by (page, title, indent) within each document (the columns `by`; without any all entries are one document's). An
+    entry counts at its own level and at all deeper ones of its document, so the next entry of its level is the one looked for.
+    It is looked for within a segment of pages first, and then among the first entries of later segments, so windows are over a
+    segment, or over the segments, of one level. Entries x levels rows are made; a document's levels should be few.
     """
-    own = entries.select("catalog_page", "title", "indent")
-    levels = own.where("indent is not null").select(F.col("indent").alias("_level")).distinct()
-    at = Window.partitionBy("_level").orderBy("catalog_page", "title", "indent")
-    seen = own.join(F.broadcast(levels), F.col("_level") >= F.col("indent")).withColumn("_next", F.lead("catalog_page").over(at))
-    found = seen.where("_level = indent").select("catalog_page", "title", "indent", "_next")
+    keys = [f"_g{i}" for i in range(len(by or []))]
+    own = entries.select(*[F.col(c).alias(k) for c, k in zip(by or [], keys)], "catalog_page", "title", "indent")
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
+    levels = own.where("indent is not null").select(*keys, F.col("indent").alias("_level")).distinct()
+    seen = own.alias("e").join(levels.alias("l"), same("e", "l") & (F.col("_level") >= F.col("indent"))).select("e.*", "_level", F.floor(F.col("catalog_page") / segment).alias("_seg"))
+    at = Window.partitionBy(*keys, "_level", "_seg").orderBy("catalog_page", "title", "indent")
+    near = seen.withColumn("_near", F.lead("catalog_page").over(at))
+    starts = seen.groupBy(*keys, "_level", "_seg").agg(F.min("catalog_page").alias("_first"))
+    later = starts.withColumn("_later", F.lead("_first").over(Window.partitionBy(*keys, "_level").orderBy("_seg")))
+    found = near.where("_level = indent").alias("e").join(later.alias("l"), same("e", "l") & (F.col("e._level") == F.col("l._level")) & (F.col("e._seg") == F.col("l._seg")))
+    found = found.select(*[f"e.{c}" for c in own.columns], F.coalesce("_near", "_later").alias("_next"))
     bare = own.where("indent is null").withColumn("_next", F.lit(None).cast(dict(own.dtypes)["catalog_page"]))
-    last = own.agg(F.max("catalog_page").alias("_last"))
-    both = found.union(bare).crossJoin(F.broadcast(last))
-    return both.select("catalog_page", "title", "indent", F.greatest(F.coalesce(F.col("_next") - 1, "_last"), F.col("catalog_page")).alias("end_page"))
+    last = own.groupBy(*keys).agg(F.max("catalog_page").alias("_last"))
+    both = found.union(bare).alias("e").join(last.alias("l"), same("e", "l"))
+    end = F.greatest(F.coalesce(F.col("_next") - 1, "_last"), F.col("catalog_page"))
+    return both.select(*[F.col(f"e.{k}").alias(c) for k, c in zip(keys, by or [])], "catalog_page", "title", "indent", end.alias("end_page"))
 
 
 def islands(df: DataFrame, flag: str, by: str, order: str, name: str = "island") -> DataFrame:

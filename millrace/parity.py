@@ -16,10 +16,11 @@ from .operators import evaluate as E
 from .operators import index
 from .operators import layout as L
 from .operators import lookup as U
+from .operators import ordered as O
 from .operators import sections as X
 from .operators import store as S
 from .plans import ingest, retrieve
-from .queries import ASKED, BOOST, CHUNKS, CODE_IN, FACTS, HAS, KEEP, LATEST, RESULTS, TOKENS, chunks, courses, hits, query, questions, results, stored, table
+from .queries import BOOST, CHUNKS, CODE_IN, FACTS, HAS, KEEP, LATEST, RESULTS, TOKENS, chunks, courses, hits, query, results, stored, table
 from .sources import files, pages
 
 DAY = "2026-04-24"
@@ -100,6 +101,15 @@ def embedding_batches(spark, sf_dir):
     return C.embedding_batches(table(spark, sf_dir, "documents"), "doc_id", most_rows=8, most_tokens=4000, group=F.col("doc_id") % 16)
 
 
+@query("""WITH RECURSIVE t AS (SELECT doc_id, CAST(greatest(1, (length(text) + 3) // 4) AS BIGINT) AS tokens, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+ f(i, doc_id, tokens, batch, n, total) AS (SELECT i, doc_id, tokens, CAST(0 AS BIGINT), 1, tokens FROM t WHERE i = 1
+  UNION ALL SELECT t.i, t.doc_id, t.tokens, CASE WHEN f.n = 8 OR f.total + t.tokens > 4000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.n = 8 OR f.total + t.tokens > 4000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n = 8 OR f.total + t.tokens > 4000 THEN t.tokens ELSE f.total + t.tokens END
+  FROM f JOIN t ON t.i = f.i + 1) SELECT doc_id, tokens, batch FROM f""")
+def embedding_batches_in_order(spark, sf_dir):
+    """Batches of all documents as one order."""
+    return C.batches_in_order(table(spark, sf_dir, "documents"), "doc_id", most_rows=8, most_tokens=4000, width=256)
+
+
 PIECES = """list_reduce(list_filter(list_transform(regexp_split_to_array({t}, '\\n\\n+|\\.\\s+'), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13))), lambda p: p <> ''),
   lambda a, b: CASE WHEN length(split_part(a, chr(1), -1)) + length(b) + 1 > 2000 THEN a || chr(1) || b ELSE a || ' ' || b END)"""
 
@@ -246,6 +256,14 @@ def toc_ranges(spark, sf_dir):
     return L.page_ranges(p.select(F.col("p_partkey").cast("int").alias("catalog_page"), F.col("p_name").alias("title"), (F.col("p_size") % 3).cast("double").alias("indent")))
 
 
+@query("""WITH e AS (SELECT o_custkey, CAST(o_orderkey AS INT) AS catalog_page, o_orderstatus AS title, CAST(o_orderkey % 5 AS DOUBLE) AS indent FROM orders)
+ SELECT a.o_custkey, a.catalog_page, a.title, a.indent, greatest(coalesce((SELECT min(b.catalog_page) FROM e b WHERE b.o_custkey = a.o_custkey AND b.catalog_page > a.catalog_page AND b.indent <= a.indent) - 1, (SELECT max(catalog_page) FROM e m WHERE m.o_custkey = a.o_custkey)), a.catalog_page) AS end_page FROM e a""")
+def toc_ranges_by_document(spark, sf_dir):
+    """Page ranges of many tables of contents at once, one for each customer."""
+    o = table(spark, sf_dir, "orders")
+    return L.page_ranges(o.select("o_custkey", F.col("o_orderkey").cast("int").alias("catalog_page"), F.col("o_orderstatus").alias("title"), (F.col("o_orderkey") % 5).cast("double").alias("indent")), ["o_custkey"])
+
+
 DOTTED = "CASE p_partkey % 5 WHEN 0 THEN p_name || ' - Master of Science ..... ' || p_partkey WHEN 1 THEN p_name || '..' || p_size WHEN 2 THEN ' .... 7' WHEN 3 THEN p_name || ' .... 0' ELSE p_name END"
 
 
@@ -353,7 +371,7 @@ REST = "p_name || ' of ' || p_type || ' by ' || p_brand || '. See PHYS 1100 and
 
 @query(f"""WITH p AS (SELECT *, p_partkey AS k, p_partkey % 9 AS h FROM part), l AS (SELECT k, h, p_name, {FIRST} AS t, {REST} AS b FROM p),
  c AS (SELECT k, h, t, CASE WHEN h IN (4, 6) THEN b ELSE t || chr(10) || b END AS text, b FROM l)
- SELECT substr(sha256(text), 1, 16) AS chunk_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, CAST(k AS INT) AS catalog_page,
+ SELECT substr(sha256(text), 1, 16) AS chunk_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, CAST(k AS INT) AS catalog_page,
   ['policy', 'glossary', 'grad_program_info', 'research', 'faculty', 'degree_core_requirement', 'degree_requirement', 'minor_requirement', 'course_description'][h + 1] AS chunk_type,
   CASE WHEN h IN (5, 6, 7) THEN t ELSE '' END AS degree_full_title, ['', '', '', '', '', 'bs', 'ms', 'minor', ''][h + 1] AS degree_type, CASE WHEN h IN (0, 2) THEN t WHEN h = 1 THEN '' ELSE '' END AS policy_topic, CASE WHEN h = 3 THEN t ELSE '' END AS lab,
   CASE WHEN h = 8 THEN split_part(t, '. ', 1) ELSE '' END AS course_code, CASE WHEN h = 8 THEN '3-4' ELSE '' END AS credits FROM c""")
@@ -467,6 +485,28 @@ def crawl_runs(spark, sf_dir):
     return S.crawl_run(C.counters(table(spark, sf_dir, "documents")), "dept", "v1", F.lit("2026-04-24").cast("timestamp"))
 
 
+@query("""SELECT a.o_orderkey, (SELECT min(b.o_orderdate) FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderdate >= a.o_orderdate + INTERVAL 30 DAY) AS next_date,
+ (SELECT min_by(b.o_orderkey, (b.o_orderdate, b.o_orderkey)) FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderdate >= a.o_orderdate + INTERVAL 30 DAY) AS next_key FROM orders a""")
+def next_offering(spark, sf_dir):
+    """The customer's first order thirty or more days after each order."""
+    o = table(spark, sf_dir, "orders")
+    due = o.select("o_orderkey", "o_custkey", (F.col("o_orderdate") + F.expr("interval 30 days")).cast(o.schema["o_orderdate"].dataType).alias("at"))
+    offered = o.select("o_custkey", F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("key"))
+    return O.next_at(due, offered, "at", ["o_custkey"]).select("o_orderkey", F.col("found.at").alias("next_date"), F.col("found.key").alias("next_key"))
+
+
+#: Links of pages: their own urls, with something behind or cut short, and others.
+WRITTEN = "CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN url || '/more?x=' || page_id WHEN 2 THEN substr(url, 1, length(url) - 2) WHEN 3 THEN 'http://other.org/' || page_id ELSE '' END"
+
+
+@query(f"""WITH l AS (SELECT DISTINCT {WRITTEN} AS link FROM pages WHERE {WRITTEN} <> ''), s AS (SELECT DISTINCT url AS source FROM pages)
+ SELECT link, (SELECT max_by(source, length(source)) FROM s WHERE starts_with(link, source)) AS longest, EXISTS (SELECT 1 FROM s WHERE starts_with(source, link)) AS begins FROM l""")
+def link_prefixes(spark, sf_dir):
+    """Which of all urls a link begins with, and whether it begins one."""
+    pages_ = table(spark, sf_dir, "pages")
+    return O.prefix_links(pages_.select(F.expr(WRITTEN).alias("link")), pages_.select(F.col("url").alias("source")))
+
+
 # Courses
 
 #: Ranks of titles that have both words: by the distances of their places.

@@ -19,6 +19,7 @@ from .operators import evaluate as E
 from .operators import index, ranked, versions
 from .operators import layout as L
 from .operators import lookup as U
+from .operators import ordered as O
 from .operators import store as S
 from .sources import files, pages
 from .streaming import chat
@@ -60,7 +61,12 @@ QUESTIONS = [
     (11, "Tell me about ML and NLP research last spring"),
     (12, "the of and"),
 ]
-ASKED = "questions(question_id, text) AS (VALUES " + ", ".join(f"({i}, {listed([t])})" for i, t in QUESTIONS) + ")"
+FEW = "questions(question_id, text) AS (VALUES " + ", ".join(f"({i}, {listed([t])})" for i, t in QUESTIONS) + ")"
+#: A question for each turn of a user: a known one with an acronym, a department's word and a course code, and how the turn begins.
+DETAILS = ["AI", "ML in", "NLP of physics", "CS", "mathematics and AI", "the biology of"]
+PHRASE = "concat_ws(' ', {pick}, {detail}, 'PHYS ' || CAST(1000 + conv_id % 9000 AS {string}) || CASE conv_id % 3 WHEN 0 THEN 'G' WHEN 1 THEN 'V' ELSE '' END, {begin})"
+ASKED = f"""questions(question_id, text) AS (SELECT conv_id * 1000 + turn, {PHRASE.format(pick=f"list_extract([{listed(t for _, t in QUESTIONS)}], CAST((conv_id + turn) % 12 AS INT) + 1)", detail=f"list_extract([{listed(DETAILS)}], CAST((conv_id + 3 * turn) % 6 AS INT) + 1)", string="VARCHAR", begin="regexp_replace(substr(text, 1, 80), '[^ -~]', '', 'g')")}
+ FROM conversations WHERE role = 'user')"""
 TOKENS = lambda c: f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda t: t NOT IN ({listed(V.STOPWORDS)}))"
 HAS = lambda c, words: f"list_has_any({c}, [{listed(words)}])"
 CHUNKS = f"""chunks AS (SELECT doc_id, substr(sha256(text), 1, 16) AS chunk_id, text, split_part(text, chr(10), 1) AS heading, source AS department_id,
@@ -68,10 +74,15 @@ CHUNKS = f"""chunks AS (SELECT doc_id, substr(sha256(text), 1, 16) AS chunk_id,
   list_extract([{listed(TYPES)}], CAST(doc_id % {len(TYPES)} AS INT) + 1) AS chunk_type FROM documents)"""
 
 
-def questions(spark: SparkSession) -> DataFrame:
+def few_questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUESTIONS, "question_id int, text string")
 
 
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = PHRASE.format(pick=f"element_at(array({listed(t for _, t in QUESTIONS)}), cast((conv_id + turn) % 12 as int) + 1)", detail=f"element_at(array({listed(DETAILS)}), cast((conv_id + 3 * turn) % 6 as int) + 1)", string="string", begin="regexp_replace(substr(text, 1, 80), '[^ -~]', '')")
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.expr(text).alias("text"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     level = F.when(F.col("doc_id") % 3 == 0, "undergraduate").when(F.col("doc_id") % 3 == 1, "graduate").otherwise("")
@@ -184,13 +195,13 @@ KEEP = f"""(CASE WHEN {HAS("q.tokens", V.UNDERGRADUATE)} THEN c.level <> 'gradua
   WHEN {HAS("q.tokens", ["courses"])} AND {HAS("q.tokens", V.TOPIC)} AND NOT {HAS("q.tokens", V.POLICY)} AND NOT {CODE_IN} THEN c.chunk_type = 'course_description' ELSE true END)"""
 
 
-def planned(spark: SparkSession) -> DataFrame:
-    return questions(spark).withColumn("tokens", T.tokenize(F.col("text")))
+def planned(asked: DataFrame) -> DataFrame:
+    return asked.withColumn("tokens", T.tokenize(F.col("text")))
 
 
-@query(f"WITH {ASKED}, {PLANNED}, {CHUNKS} SELECT q.question_id, count(*) AS n, sum(c.doc_id) AS ids FROM planned q JOIN chunks c ON {KEEP} GROUP BY 1")
+@query(f"WITH {FEW}, {PLANNED}, {CHUNKS} SELECT q.question_id, count(*) AS n, sum(c.doc_id) AS ids FROM planned q JOIN chunks c ON {KEEP} GROUP BY 1")
 def hard_filters(spark, sf_dir):
-    q = F.broadcast(planned(spark).withColumnRenamed("text", "question"))  # twelve rows
+    q = F.broadcast(planned(few_questions(spark)).withColumnRenamed("text", "question"))  # twelve rows
     kept = chunks(spark, sf_dir).crossJoin(q).where(R.hard_filter(F.col("question"), F.col("tokens"), F.col("level"), F.col("chunk_type")))
     return kept.groupBy("question_id").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
@@ -199,7 +210,7 @@ def hard_filters(spark, sf_dir):
  WHEN {HAS("tokens", ["minor", "minors"])} THEN 12 WHEN {HAS("tokens", "degree degrees program programs scholarship scholarships financial funding aid".split())} THEN 10 ELSE 5 END,
  CASE WHEN {HAS("tokens", ["courses"])} AND {HAS("tokens", V.TOPIC)} AND NOT {CODE_IN} THEN 12 ELSE 5 END, CASE WHEN {HAS("tokens", V.POLICY)} THEN 10 ELSE 5 END) AS INT) AS k FROM planned q""")
 def dynamic_k(spark, sf_dir):
-    return planned(spark).select("question_id", R.dynamic_k(F.col("text"), F.col("tokens")).alias("k"))
+    return planned(questions(spark, sf_dir)).select("question_id", R.dynamic_k(F.col("text"), F.col("tokens")).alias("k"))
 
 
 def case(rules: list[tuple[str, float]]) -> str:
@@ -223,10 +234,10 @@ BOOST = case([
 ])
 
 
-@query(f"""WITH {ASKED}, {PLANNED}, {CHUNKS}, boosted AS (SELECT q.question_id, c.doc_id, {BOOST} AS boost FROM planned q CROSS JOIN chunks c)
+@query(f"""WITH {FEW}, {PLANNED}, {CHUNKS}, boosted AS (SELECT q.question_id, c.doc_id, {BOOST} AS boost FROM planned q CROSS JOIN chunks c)
  SELECT question_id, doc_id, boost, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY boost DESC, doc_id) AS rank FROM boosted) WHERE rank <= 15""")
 def metadata_rerank(spark, sf_dir):
-    q = F.broadcast(planned(spark).withColumnRenamed("text", "question"))  # twelve rows
+    q = F.broadcast(planned(few_questions(spark)).withColumnRenamed("text", "question"))  # twelve rows
     own = chunks(spark, sf_dir)
     boost = R.metadata_boost(F.col("question"), F.col("tokens"), {c: F.col(c) for c in ("heading", "level", "chunk_type", "content_source")})
     return R.top(own.crossJoin(q).select("question_id", "doc_id", boost.alias("boost")), "question_id", [F.desc("boost"), F.col("doc_id")], 15)
@@ -242,7 +253,7 @@ def tokenize_counts(spark, sf_dir):
 
 @query("WITH " + ASKED + " SELECT question_id, concat_ws(' ', text, " + ", ".join(f"CASE WHEN regexp_matches(text, '\\b{a}\\b') THEN '{x}' END" for a, x in V.ACRONYMS.items()) + ") AS expanded FROM questions")
 def acronym_expand(spark, sf_dir):
-    return questions(spark).select("question_id", T.expand_acronyms(F.col("text")).alias("expanded"))
+    return questions(spark, sf_dir).select("question_id", T.expand_acronyms(F.col("text")).alias("expanded"))
 
 
 @query("SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest FROM documents")
@@ -252,7 +263,7 @@ def normalize_ws(spark, sf_dir):
 
 @query("WITH " + ASKED + " SELECT question_id, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(text), '\\b([A-Z]{1,5}\\s+\\d{3,4}[A-Z]?)\\b', 1))), '|') AS codes FROM questions")
 def course_codes(spark, sf_dir):
-    return questions(spark).select("question_id", F.array_join(T.codes(F.upper("text"), V.QUESTION_CODE), "|").alias("codes"))
+    return questions(spark, sf_dir).select("question_id", F.array_join(T.codes(F.upper("text"), V.QUESTION_CODE), "|").alias("codes"))
 
 
 SEASON = "CASE WHEN month(d) * 100 + day(d) < 520 THEN 'Spring' WHEN month(d) * 100 + day(d) < 815 THEN 'Summer' ELSE 'Fall' END"
@@ -268,7 +279,7 @@ def semester_counts(spark, sf_dir):
   WHEN {' OR '.join(f"contains(lower(text), '{p}')" for p in V.WIDER_WORLD_PHRASES)} THEN CASE WHEN l THEN 'list_wider_world' ELSE 'wider_world' END WHEN {' OR '.join(f"contains(lower(text), '{p}')" for p in V.CREDIT_PHRASES)} THEN 'credits' END AS kind
   FROM (SELECT *, (contains(lower(text), 'what ') OR contains(lower(text), 'which ')) AND contains(lower(text), 'courses') AS l FROM questions)""")
 def question_types(spark, sf_dir):
-    return questions(spark).select("question_id", T.question_type(F.col("text")).alias("kind"))
+    return questions(spark, sf_dir).select("question_id", T.question_type(F.col("text")).alias("kind"))
 
 
 @query("WITH " + ASKED + f""" SELECT question_id, list_has_any(regexp_extract_all(lower(text), '[a-z]+'), [{listed(V.AVAILABILITY)}]) AND ({' OR '.join(f"contains(lower(text), '{p}')" for p in V.SEMESTER_PHRASES)}) AS asks,
@@ -276,7 +287,7 @@ def question_types(spark, sf_dir):
   array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda t: t NOT IN ({listed(V.TITLE_NOISE)})), ' ') AS words FROM questions""")
 def question_signals(spark, sf_dir):
     t = F.col("text")
-    return questions(spark).select("question_id", T.asks_availability(t).alias("asks"), T.department_prefix(t).alias("prefix"), T.title_words(t).alias("words"))
+    return questions(spark, sf_dir).select("question_id", T.asks_availability(t).alias("asks"), T.department_prefix(t).alias("prefix"), T.title_words(t).alias("words"))
 
 
 @query("SELECT substr(sha256(text), 1, 16) AS chunk_id, min(doc_id) AS doc_id FROM documents GROUP BY 1")
@@ -415,7 +426,7 @@ def category_summary(spark, sf_dir):
 
 @query(f"WITH {RESULTS}, r AS (SELECT category, latency, row_number() OVER (PARTITION BY category ORDER BY latency) - 1 AS i, count(*) OVER (PARTITION BY category) AS n FROM results) SELECT category, latency AS p90 FROM r WHERE i = CAST(floor(n * 0.9) AS BIGINT)")
 def latency_p90(spark, sf_dir):
-    return E.nearest_rank(results(spark, sf_dir), "latency", ["category"])
+    return O.nearest_rank(results(spark, sf_dir), "latency", ["category"])
 
 
 @query(f"WITH {RESULTS} SELECT category, CAST(floor(avg(latency)) AS INT) AS avg_latency, count_if(NOT passed) AS failed, sum(CASE WHEN NOT passed THEN event_id ELSE 0 END) AS failed_ids FROM results GROUP BY 1")

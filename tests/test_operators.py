@@ -11,6 +11,7 @@ from millrace.operators import chunks as C
 from millrace.operators import evaluate as E
 from millrace.operators import layout as L
 from millrace.operators import lookup as U
+from millrace.operators import ordered as O
 from millrace.operators import store as S
 from millrace.plans import ingest, retrieve
 from millrace.sources import files, pages
@@ -134,7 +135,7 @@ def test_metrics(spark):
 @pytest.mark.parametrize("n", [1, 9, 10, 11])
 def test_nearest_rank(spark, n):
     df = spark.range(n).select(F.lit("c").alias("c"), F.col("id").alias("v"))
-    assert E.nearest_rank(df, "v", ["c"]).first()["p90"] == sorted(range(n))[int(n * 0.9)]
+    assert O.nearest_rank(df, "v", ["c"]).first()["p90"] == sorted(range(n))[int(n * 0.9)]
 
 
 def test_kappa_edges(spark):
