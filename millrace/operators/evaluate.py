@@ -127,9 +127,9 @@ def passed(redirect: Column, redirect_hit: Column, expected: Column, retrieval:
 
 
 def category_summary(results: DataFrame, by: str = "category") -> DataFrame:
-    """Counts, passes and means of each category; averages leave nulls out."""
+    """Counts, passes and means of each category, a missing one being `unknown`; averages leave nulls out."""
     rate = F.round(F.count_if("passed") / F.count("*"), 3)
-    return results.groupBy(by).agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"), rate.alias("pass_rate"), F.round(F.avg("retrieval_score"), 3).alias("avg_retrieval"), F.round(F.avg("judge_total"), 3).alias("avg_judge"))
+    return results.groupBy(F.coalesce(F.col(by), F.lit("unknown")).alias(by)).agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"), rate.alias("pass_rate"), F.round(F.avg("retrieval_score"), 3).alias("avg_retrieval"), F.round(F.avg("judge_total"), 3).alias("avg_judge"))
 
 
 def run_summary(results: DataFrame) -> DataFrame:

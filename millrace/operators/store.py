@@ -108,7 +108,7 @@ def crawl_run(counts: DataFrame, department: str, version: str, at: Column | Non
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "append") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:

@@ -603,4 +603,4 @@ def chat_sessions(spark, sf_dir):
     return chat.sessions(table(spark, sf_dir, "events"))
 
 
-from . import parity  # noqa: E402, F401  registers its queries
+from . import parity, smaller  # noqa: E402, F401  register their queries
