@@ -15,30 +15,10 @@ from ..functions.english import lexemes, match_rank
 from ..functions.text import asks_availability, codes, department_prefix, question_type, semester, title_words
 from ..operators import evaluate as E
 from ..operators import lookup as U
+from .embedding import embed  # noqa: F401  part of this interface
 from .retrieve import search
 
 
-def embed(df: DataFrame, key: str, text: str, function: Callable[[list[str]], list[list[float]]], batch: int = 64, most_tokens: int = 240_000) -> DataFrame:
-    """(key, vector) by an injected function over lists of texts, at most `batch` and about so many tokens at a time.
-
-    A text of more tokens than that goes by itself. Tokens are estimated as in `chunks.embedding_batches`.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            texts = [t or "" for t in rows.column(1).to_pylist()]
-            start, total = 0, 0
-            for i in range(len(texts) + 1):
-                n = max(1, (len(texts[i]) + 3) // 4) if i < len(texts) else 0
-                if i > start and (i == len(texts) or i - start == batch or total + n > most_tokens):
-                    vectors = function(texts[start:i])
-                    yield pa.RecordBatch.from_arrays([rows.column(0).slice(start, i - start), pa.array(vectors, pa.list_(pa.float32()))], [key, "vector"])
-                    start, total = i, 0
-                total += n
-
-    return df.select(key, text).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, vector array<float>")
-
-
 def generate(df: DataFrame, function: Callable[[str], str], prompt: str = "prompt", name: str = "answer") -> DataFrame:
     """Add a model's text for each prompt, by an injected function; a failure gives null and the message in `error`."""
 

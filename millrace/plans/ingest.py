@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +13,11 @@ from ..functions.text import codes, collapse, content_id, first_code, question_s
 from ..operators import chunks as C
 from ..operators import layout as L
 from ..operators import sections as X
+from ..operators import versions
 from ..sources import pages as P
 from ..sources.files import with_settings
+from . import retrieve
+from .embedding import embed
 
 
 def ingest_pages(pages: DataFrame, table: DataFrame, department: str, campus: str, version: str, least: int = 0) -> DataFrame:
@@ -126,3 +130,17 @@ def mapped(chunks: DataFrame, department: str, campus: str, year: str, catalog:
 def ingest_lines(lines: DataFrame, plan: DataFrame, department: str, campus: str, year: str, catalog: str = "Academic Catalog", bold: bool = False) -> DataFrame:
     """Rows of the chunk table from catalog lines under a plan (see `catalog_chunks`)."""
     return mapped(catalog_chunks(lines, plan, bold), department, campus, year, catalog)
+
+
+def store(chunks: DataFrame, path: str, department: str, source: str, function: Callable[[list[str]], list[list[float]]] | None = None) -> tuple[int, int]:
+    """Replace what the store at `path` has of a department and source (web or catalog) by these chunks: (version of chunks, of index).
+
+    Chunks are checked for their scope, embedded by `function` (a column `vector`, joined by chunk_id) and published, and so is their
+    index. Each of both tables changes in one step; a run without chunks empties the scope. Of equal ids the first by text stays.
+    """
+    scope = {"department_id": department, "content_source": source}
+    own = C.first_wins(chunks.where(F.col("department_id").eqNullSafe(department) & F.col("content_source").eqNullSafe(source)), "chunk_id", "text")
+    if function is not None:
+        own = own.join(embed(own, "chunk_id", "text", function), "chunk_id", "left")
+    version = versions.publish(own, f"{path}/chunks", retrieve.SCOPES, scope)
+    return version, retrieve.store_index(versions.current(own.sparkSession, f"{path}/chunks", scope), f"{path}/index", scope)

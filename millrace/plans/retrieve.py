@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ..functions import rank as R
 from ..functions import vocabulary as V
 from ..functions.text import expand_acronyms, expand_dates, tokenize
 from ..operators import index, ranked, versions
+from .embedding import embed
 
 FIELDS = "chunk_type level heading course_code referenced_courses degree_full_title degree_type concentration policy_topic lab content_source".split()
 
@@ -45,11 +47,12 @@ def store_index(chunks: DataFrame, path: str, scope: dict | None = None) -> int:
     return index.write(own.fillna("", ["level", "chunk_type"]), path, "chunk_id", "text", SCOPES, label(), scope)
 
 
-def search(questions: DataFrame, chunks: DataFrame, day: Column, department: str | None = None, vectors: DataFrame | None = None, alpha: float = V.ALPHA, stored: str | None = None) -> DataFrame:
+def search(questions: DataFrame, chunks: DataFrame, day: Column, department: str | None = None, vectors: DataFrame | None = None, alpha: float = V.ALPHA, stored: str | None = None, asked_vectors: DataFrame | None = None) -> DataFrame:
     """Ranked chunks of each question: BM25, fused with vector ranks if given, filtered, boosted and ranked again.
 
     chunks has chunk_id, text and the fields of metadata, and `stored` the path of their index (see `store_index`; without one
-    they are indexed for this search alone). vectors are rows (question_id, chunk_id, score). The lists are those of the chunks
+    they are indexed for this search alone). The second list comes from `vectors`, rows (question_id, chunk_id, score), or from
+    `asked_vectors`, rows (question_id, vector), by cosine with the column `vector` of the chunks. The lists are those of the chunks
     of the department that the hard filters admit, and their fusion is exact at any depth; each question's K best go on, and
     boosts re-rank them.
     """
@@ -65,8 +68,12 @@ def search(questions: DataFrame, chunks: DataFrame, day: Column, department: str
     level, kind = F.split("label", "\x01")[0], F.split("label", "\x01")[1]
     allowed = facts.crossJoin(F.broadcast(labels)).where(R.hard_filter(F.col("rewritten"), F.col("tokens"), level, kind)).select("question_id", "label")
     asked = facts.select("question_id", F.col("rewritten").alias("text"))
-    lists = [(ranked.Words(rows, asked, "question_id", "chunk_id", allowed=allowed), 1.0 if vectors is None else 1 - alpha)]
-    if vectors is not None:
+    second = vectors is not None or asked_vectors is not None
+    lists = [(ranked.Words(rows, asked, "question_id", "chunk_id", allowed=allowed), 1 - alpha if second else 1.0)]
+    if asked_vectors is not None:
+        held = own.fillna("", ["level", "chunk_type"]).select("chunk_id", "vector", label().alias("label"))
+        lists.append((ranked.Vectors(held, asked_vectors, "question_id", "chunk_id", "vector", "label", allowed), alpha))
+    elif vectors is not None:
         labelled = own.fillna("", ["level", "chunk_type"]).select("chunk_id", label().alias("label"))
         admitted = vectors.join(labelled, "chunk_id").join(allowed, ["question_id", "label"])
         lists.append((ranked.Given(admitted, asked, "question_id", "chunk_id"), alpha))
@@ -78,6 +85,17 @@ def search(questions: DataFrame, chunks: DataFrame, day: Column, department: str
     return R.top(scored, "question_id", [F.desc("final_score"), F.col("hybrid_rank")], F.col("k")).drop("rewritten", "tokens", "k")
 
 
+def search_stored(questions: DataFrame, path: str, day: Column, department: str | None = None, function: Callable[[list[str]], list[list[float]]] | None = None, alpha: float = V.ALPHA) -> DataFrame:
+    """`search` over what `ingest.store` has written at `path`; with `function`, which embeds texts, by words and vectors."""
+    spark = questions.sparkSession
+    chunks = versions.current(spark, f"{path}/chunks", {"department_id": department} if department else None)
+    asked = None
+    if function is not None:
+        rewritten = prepared(questions, day).select("question_id", F.col("rewritten").alias("text"))
+        asked = embed(rewritten, "question_id", "text", function)
+    return search(questions, chunks, day, department, stored=f"{path}/index", alpha=alpha, asked_vectors=asked)
+
+
 #: What a hit has of its chunk, in this order; what a chunk lacks is empty.
 HIT = "chunk_id chunk_type department_id campus text heading source level degree_type course_code referenced_courses content_source catalog_year catalog_page catalog_page_end degree_full_title concentration credits policy_topic lab".split()
 
