@@ -97,3 +97,7 @@ RETRIEVED = "chunk_id rank hybrid_score metadata_boost final_score chunk_type co
 
 # Defaults.
 TOP_K, ALPHA, MIN_CHARS, MAX_CHARS, TOKEN_LIMIT = 5, 0.75, 150, 2000, 8192
+
+# The columns of the sheet that people review, and the fields of a chunk in the older store.
+REVIEW = "question_id category judge_pass judge_total human_pass human_notes question system_answer judge_reasoning".split()
+LEGACY = "text chunk_type catalog_page catalog_page_end chunk_id dept_name program_family degree_level degree_type concentration degree_full_title course_code course_title credits dept_prefix course_number_level has_prerequisites policy_topic lab_name referenced_courses catalog_year source_scope is_research_related".split()

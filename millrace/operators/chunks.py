@@ -178,6 +178,29 @@ def batches_in_order(df: DataFrame, key: str, text: str = "text", most_rows: int
     return greedy_batches(df.select(key, estimate_tokens(F.col(text)).alias("tokens")), key, "tokens", most_rows, most_tokens, width)
 
 
+def common_prefixes(courses: DataFrame, prefix: str = "dept_prefix", k: int = 20) -> DataFrame:
+    """(prefix, n): the k most frequent prefixes of course descriptions, ties by name; empty and null ones don't count."""
+    counts = courses.where(F.col(prefix) != "").groupBy(F.col(prefix).alias("prefix")).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "prefix").limit(k)
+
+
+def legacy_rows(chunks: DataFrame, year: str, scope: str, vectors: DataFrame | None = None) -> DataFrame:
+    """Rows of the older store: its fields in order, with the year and scope of the run, and the vector of the chunk's id.
+
+    Fields that chunks lack are empty, false or no list; without `vectors` there is no vector.
+    """
+    flags, lists, pages = ("has_prerequisites", "is_research_related"), ("program_family", "referenced_courses"), ("catalog_page", "catalog_page_end")
+
+    def field(name: str) -> Column:
+        if name in ("catalog_year", "source_scope"):
+            return F.lit(year if name == "catalog_year" else scope)
+        kind, empty = ("boolean", F.lit(False)) if name in flags else ("array<string>", F.array()) if name in lists else ("int", F.lit(0)) if name in pages else ("string", F.lit(""))
+        return F.coalesce(F.col(name).cast(kind), empty.cast(kind)) if name in chunks.columns else empty.cast(kind)
+
+    rows = chunks.select(*[field(c).alias(c) for c in V.LEGACY])
+    return rows if vectors is None else rows.join(vectors.select("chunk_id", "vector"), "chunk_id", "left").select(*V.LEGACY, "vector")
+
+
 def quality_issues(chunks: DataFrame) -> DataFrame:
     """(chunk_id, issue): one row for each rule that a chunk breaks."""
     kind = F.col("chunk_type")

@@ -203,6 +203,21 @@ def review_sample(scores: DataFrame, answers: DataFrame, clear: int = 10, exclud
     return ranked.where((F.col("stratum") < 2) | (F.col("_n") <= clear)).drop("_n").join(answers, "question_id", "left")
 
 
+def review_sheet(scores: DataFrame, answers: DataFrame, clear: int = 10, excluded: list[str] | None = None) -> DataFrame:
+    """The sampled questions as a sheet to fill in: failures, borderline and clear passes in turn, each by id, all columns text.
+
+    What scores or answers lack is empty, as are the two columns that people fill in. `place` is the row's place in its stratum's turn.
+    """
+    rows = review_sample(scores, answers, clear, excluded)
+    named = {"judge_pass": "passed", "human_pass": None, "human_notes": None}
+
+    def text(column: str) -> Column:
+        source = named.get(column, column)
+        return F.coalesce(F.col(source).cast("string"), F.lit("")) if source in rows.columns else F.lit("")
+
+    return rows.select("stratum", *[text(c).alias(c) for c in V.REVIEW])
+
+
 def context(chunks: Column) -> Column:
     """A prompt's context: a block for each chunk, numbered."""
     field = lambda name, value: F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("")))

@@ -564,7 +564,7 @@ def type_histogram(spark, sf_dir):
 
 @query("SELECT p_brand AS prefix, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, prefix LIMIT 20")
 def top_prefixes(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("prefix")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "prefix").limit(20)
+    return C.common_prefixes(table(spark, sf_dir, "part"), "p_brand")
 
 
 @query(f"WITH {CHUNKS} SELECT doc_id, chunk_type FROM chunks WHERE level = 'graduate' AND chunk_type = 'policy'")

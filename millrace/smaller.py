@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import vocabulary as V
+from .functions.text import content_id
 from .operators import chunks as C
 from .operators import evaluate as E
 from .operators import layout as L
@@ -119,6 +120,30 @@ def course_entities(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", E.codes_valid(answer, facts).alias("valid"))
 
 
+@query("""WITH s AS (SELECT CAST(event_id AS VARCHAR) AS question_id, event_type AS category, CASE WHEN event_id % 7 <> 0 THEN value > 20 END AS passed, round(value / 100, 3) AS judge_total FROM events),
+ t AS (SELECT *, CASE WHEN NOT coalesce(passed, false) THEN 0 WHEN judge_total < 0.85 THEN 1 ELSE 2 END AS stratum FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY question_id) AS n FROM t)
+ SELECT CAST(stratum AS INT) AS stratum, question_id, category, coalesce(CAST(passed AS VARCHAR), '') AS judge_pass, '' AS human_pass, '' AS human_notes, CASE WHEN CAST(question_id AS BIGINT) % 2 = 0 THEN 'Q' || question_id ELSE '' END AS question,
+  CASE WHEN CAST(question_id AS BIGINT) % 2 = 0 THEN 'A' || question_id ELSE '' END AS system_answer, '' AS judge_reasoning FROM r WHERE stratum < 2 OR n <= 10""")
+def review_sheet(spark, sf_dir):
+    e, v = table(spark, sf_dir, "events"), F.col("value")
+    key = F.col("event_id").cast("string")
+    scores = e.select(key.alias("question_id"), F.col("event_type").alias("category"), F.when(F.col("event_id") % 7 != 0, v > 20).alias("passed"), F.round(v / 100, 3).alias("judge_total"))
+    answers = e.where("event_id % 2 = 0").select(key.alias("question_id"), F.concat(F.lit("Q"), key).alias("question"), F.concat(F.lit("A"), key).alias("system_answer"))
+    return E.review_sheet(scores, answers).drop("judge_total")
+
+
+@query("""SELECT substr(sha256(p_name || p_partkey), 1, 16) AS chunk_id, p_name || p_partkey AS text, CAST(p_partkey AS INT) AS catalog_page, 0 AS catalog_page_end, '2026' AS catalog_year, 'main' AS source_scope, p_partkey % 2 = 0 AS has_prerequisites, '' AS lab_name,
+ array_to_string([p_type], '|') AS referenced, 0 AS families, CASE WHEN p_partkey % 3 = 0 THEN p_size END AS first FROM part""")
+def legacy_upload(spark, sf_dir):
+    """Rows of the older store, with vectors of a third of the chunks."""
+    text = F.concat("p_name", F.col("p_partkey").cast("string"))
+    made = table(spark, sf_dir, "part").select(content_id(text).alias("chunk_id"), text.alias("text"), F.col("p_partkey").alias("catalog_page"), (F.col("p_partkey") % 2 == 0).alias("has_prerequisites"), F.array("p_type").alias("referenced_courses"), "p_size", "p_partkey")
+    vectors = made.where("p_partkey % 3 = 0").select("chunk_id", F.array("p_size").alias("vector"))
+    rows = C.legacy_rows(made, "2026", "main", vectors)
+    own = ["chunk_id", "text", "catalog_page", "catalog_page_end", "catalog_year", "source_scope", "has_prerequisites", "lab_name"]
+    return rows.select(*own, F.array_join("referenced_courses", "|").alias("referenced"), F.size("program_family").alias("families"), F.get("vector", F.lit(0)).alias("first"))
+
+
 SAID = """CASE event_id % 4 WHEN 0 THEN '{"faith": ' || (event_id % 3) || ', "full": 1}' WHEN 1 THEN '{"faith": 2, "full": null, "more": 7}' WHEN 2 THEN 'no json' ELSE '{"full": ' || (event_id % 2) || '}' END"""
 
 
