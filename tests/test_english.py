@@ -15,7 +15,7 @@ inning inning news news exceedingly exceed rolling roll controlled control repla
 o'neil's o'neil triplicate triplic formalize formal argued argu physics physic calculus calculus mathematics mathemat engineering engin algebra algebra statistics statist history histori""".split()
 
 
-@pytest.mark.parametrize("word,want", zip(KNOWN[::2], KNOWN[1::2]))
+@pytest.mark.parametrize("word,want", list(zip(KNOWN[::2], KNOWN[1::2])))
 def test_stems(word, want):
     assert X.stem(word) == want
 
