@@ -35,7 +35,7 @@ def bucket_of(token: Column) -> Column:
 
 
 def entries(chunks: DataFrame, item: str, text: str, by: list[str], label: Column | None) -> DataFrame:
-    """The rows of the index for these chunks; nothing is shuffled, a task makes blocks of the rows that it reads."""
+    """The rows of the index for these chunks: a task makes blocks of the rows that it reads, scope by scope."""
     kind = chunks.schema[item].dataType
     schema = T.StructType([*[T.StructField(c, chunks.schema[c].dataType) for c in by], *T._parse_datatype_string(LISTS).fields, T.StructField("ids", T.ArrayType(kind))])
     words = F.coalesce(tokenize(F.col(text)), F.array().cast("array<string>"))
@@ -132,6 +132,10 @@ def write(chunks: DataFrame, path: str, item: str = "chunk_id", text: str = "tex
     the version. Blocks are made from stable files, and a lost task is made again before any reader sees its rows.
     """
     by = by or []
+    if by:  # rows of a scope together, a large scope in parts, so that blocks are full
+        parts = max(1, chunks.count() // (64 * BLOCK_ROWS))
+        tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        chunks = chunks.repartition(tasks, *by, F.pmod(F.xxhash64(item), F.lit(parts)))
     made = entries(chunks, item, text, by, label)
     folder = f"{path}/making-{uuid.uuid4().hex}"
     spark = chunks.sparkSession
