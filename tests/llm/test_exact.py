@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -429,3 +430,18 @@ def test_mix_positions(docs):
     assert len(rows) == docs.count() and len({r["position"] for r in rows}) == len(rows)
     assert len({(r["slot"]) for r in rows}) == max(r["slot"] for r in rows) + 1
     assert all(len({r["source"] for r in rows if r["slot"] == s}) == 1 for s in range(10))
+
+
+def test_near_components_in_passes(spark, monkeypatch):
+    """Texts are compared in passes of few rows, and the components are those of one pass."""
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(12)]
+    rows = [(10 * i + j, " ".join(words[j:])) for i, words in enumerate(base) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda: {r["doc_id"]: r["component_id"] for r in jaccard.near_components(docs, n=3, threshold=90).collect()}
+    whole = found()
+    passes, take = [], jaccard.bucket
+    monkeypatch.setattr(jaccard, "PASS_ROWS", 7)
+    monkeypatch.setattr(jaccard, "bucket", lambda *c, buckets: passes.append(buckets) or take(*c, buckets=buckets))
+    assert found() == whole == {10 * i + j: 10 * i for i in range(12) for j in range(4)}
+    assert len(passes) > 3 and set(passes) == {len(passes)}
