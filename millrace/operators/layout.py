@@ -145,11 +145,11 @@ def _sections(lines: DataFrame, by: str) -> DataFrame:
     return lines.groupBy(by, "section").agg(ordered("text").alias("body"), F.min(at)["page"].alias("catalog_page"))
 
 
-def heading_chunks(lines: DataFrame, by: str = "range_id", size: float = HEADING_SIZE, least: int = 120, preset: str | None = None, keep: Column | None = None) -> DataFrame:
+def heading_chunks(lines: DataFrame, by: str = "range_id", size: float = HEADING_SIZE, least: int = 120, preset: str | None = None, keep: Column | None = None, code: str = V.CATALOG_CODE) -> DataFrame:
     """(by, catalog_page, topic, text): a chunk for each heading of the lines of a page range, at least 120 characters.
 
     Headings that follow each other are one, joined by blanks, and lead the chunk's text. What stands before the first
-    heading has the topic that the column `preset` gives, and goes if that is empty, unless `keep` holds.
+    heading has the topic that the column `preset` gives, and goes if that is empty, unless `keep` holds. `code` is the form of course codes.
     """
     before, stays = (F.coalesce(F.col(preset), F.lit("")) if preset else F.lit("")), (keep if keep is not None else F.lit(False))
     own = lines.where("not is_header").withColumn("_at", F.struct("page", "line_no")).withColumn("_heads", F.col("size") >= size).withColumn("_before", before).withColumn("_stays", stays)
@@ -160,7 +160,7 @@ def heading_chunks(lines: DataFrame, by: str = "range_id", size: float = HEADING
     bodies = _sections(cut.where("not _heads"), by).select(by, "section", "body")
     whole = topics.join(bodies, [by, "section"], "left").withColumn("text", strip(F.concat_ws("\n", F.nullif("head", F.lit("")), "body")))
     named = whole.withColumn("topic", F.when(F.col("head") != "", F.col("head")).otherwise(F.col("_before")))
-    return named.where(((F.col("topic") != "") | F.col("_stays")) & (F.length("text") >= least)).select(by, "catalog_page", "topic", "text", codes(F.col("text"), V.CATALOG_CODE).alias("referenced_courses"))
+    return named.where(((F.col("topic") != "") | F.col("_stays")) & (F.length("text") >= least)).select(by, "catalog_page", "topic", "text", codes(F.col("text"), code).alias("referenced_courses"))
 
 
 def course_chunks(lines: DataFrame, by: str = "range_id", bold: bool = False, least: int = 30, most: int = 32_000) -> DataFrame:

@@ -57,11 +57,11 @@ def as_chunks(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("range_id", *[v.alias(c) for c, v in kept.items()])
 
 
-def generic_chunks(lines: DataFrame) -> DataFrame:
-    """Chunks of policy, glossary, graduate and research ranges (lines with handler and the plan's columns)."""
+def generic_chunks(lines: DataFrame, code: str = V.CATALOG_CODE) -> DataFrame:
+    """Chunks of policy, glossary, graduate and research ranges (lines with handler and the plan's columns); `code` is the form of course codes."""
     kind = F.coalesce(*[F.when(F.col("handler") == h, F.lit(k)) for h, k in GENERIC.items()])
     facts = lines.select("range_id", kind.alias("chunk_type"), "dept_name", "degree_level").distinct()
-    cut = L.heading_chunks(lines, preset="topic", keep=F.col("handler") == "glossary").join(facts, "range_id")
+    cut = L.heading_chunks(lines, preset="topic", keep=F.col("handler") == "glossary", code=code).join(facts, "range_id")
     is_lab = F.col("chunk_type") == "research"
     topic = F.when(F.col("chunk_type").isin("policy", "grad_program_info"), F.col("topic")).otherwise("")
     return as_chunks(cut, policy_topic=topic, lab_name=F.when(is_lab, F.col("topic")).otherwise(""), is_research_related=is_lab)
