@@ -20,13 +20,13 @@ from . import retrieve
 from .embedding import embed
 
 
-def ingest_pages(pages: DataFrame, table: DataFrame, department: str, campus: str, version: str, least: int = 0) -> DataFrame:
+def ingest_pages(pages: DataFrame, table: DataFrame, department: str, campus: str, version: str, least: int = 0, references: list[str] | None = None) -> DataFrame:
     """Chunks of web pages (page_id, url, html): walk, split questions, pack, annotate.
 
     A page whose sections give nothing is one chunk of its text, cut at 2000 characters. Pages with a text of no more
     than `least` characters, and pages that could not be read, are left out.
     """
-    walked = with_settings(P.walk_pages(pages), table).where(F.col("_error").isNull() & (F.length("text") > least - (least == 0)))
+    walked = with_settings(P.walk_pages(pages, references), table).where(F.col("_error").isNull() & (F.length("text") > least - (least == 0)))
     split = F.flatten(F.transform("sections", lambda s: question_sections(s["heading"], s["text"])))
     whole = F.when(strip(F.col("text")) != "", F.array(F.struct(F.col("h1").alias("heading"), F.substring(strip(F.col("text")), 1, V.MAX_CHARS).alias("text")))).otherwise(F.slice(C.pack_sections(split, F.col("chunk_type")), 1, 0))
     made = walked.withColumn("packed", C.pack_sections(split, F.col("chunk_type")))

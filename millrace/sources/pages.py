@@ -118,9 +118,13 @@ def page_facts(tree: Tree) -> tuple[str, str | None]:
     return body.text(), next((s for s in stamps if s), None)
 
 
-def parsed(html: str | None) -> Tree:
+def parsed(html: str | None, references: list[str] | None = None) -> Tree:
+    """The tree of a page. Character references are read as browsers do, or only those named, where a semicolon ends them."""
+    html = html or ""
+    if references is not None:
+        html = re.sub(f"&(?!(?:{'|'.join(map(re.escape, references))});)", "&amp;", html)
     tree = Tree()
-    tree.feed(html or "")
+    tree.feed(html)
     tree.close()
     return tree
 
@@ -161,15 +165,16 @@ def tree_parts(tree: Tree) -> tuple[str, list[tuple[str, str]], list[str]]:
 PAGE = "page_id long, url string, h1 string, text string, sections array<struct<heading:string,text:string>>, links array<string>, page_timestamp string, _error string"
 
 
-def walk_pages(pages: DataFrame) -> DataFrame:
+def walk_pages(pages: DataFrame, references: list[str] | None = None) -> DataFrame:
     """(page_id, url, h1, text, sections, links, page_timestamp, _error) of pages (page_id, url, html).
 
-    A null page has no sections. A page that can't be read has a message in _error and nothing else.
+    A null page has no sections. A page that can't be read has a message in _error and nothing else. With `references` only
+    these character references are decoded (`parsed`).
     """
 
     def facts(html: str | None) -> tuple:
         try:
-            tree = parsed(html)
+            tree = parsed(html, references)
             return *tree_parts(tree), *page_facts(tree), None
         except Exception as e:  # one bad page must not lose the batch
             return "", [], [], "", None, str(e) or type(e).__name__
