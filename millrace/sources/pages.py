@@ -169,8 +169,11 @@ def walk_pages(pages: DataFrame, references: list[str] | None = None) -> DataFra
     """(page_id, url, h1, text, sections, links, page_timestamp, _error) of pages (page_id, url, html).
 
     A null page has no sections. A page that can't be read has a message in _error and nothing else. With `references` only
-    these character references are decoded (`parsed`).
+    these character references are decoded (`parsed`). Pages are dealt out by hash first: a small file of many pages is one
+    task's otherwise, which walks them all.
     """
+    spark = pages.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def facts(html: str | None) -> tuple:
         try:
@@ -187,7 +190,7 @@ def walk_pages(pages: DataFrame, references: list[str] | None = None) -> DataFra
             strings = [pa.array(x, pa.string()) for x in (h1, text, stamp, error)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), strings[0], strings[1], sections, pa.array(links, pa.list_(pa.string())), *strings[2:]], ["page_id", "url", "h1", "text", "sections", "links", "page_timestamp", "_error"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(walk, PAGE)
+    return pages.select("page_id", "url", "html").repartition(tasks, "page_id", "url").mapInArrow(walk, PAGE)
 
 
 def allowed(url: Column, hosts: list[str], prefixes: list[str], denied: list[str]) -> Column:

@@ -15,3 +15,10 @@ def test_character_references():
     html = "<h1>&quot;a&quot; &lt;b&gt; &amp;lt; c&amp</h1>"
     title = lambda *a: pages.tree_parts(pages.parsed(html, *a))[0]
     assert title() == '"a" <b> &lt; c&' and title(["lt", "gt", "amp"]) == "&quot;a&quot; <b> &lt; c&amp"
+
+
+def test_pages_of_one_file_are_dealt_out(spark, tmp_path):
+    made = spark.range(200).selectExpr("id AS page_id", "'u' AS url", "'<h1>' || id || '</h1>' AS html")
+    made.coalesce(1).write.parquet(str(tmp_path / "pages"))
+    walked = pages.walk_pages(spark.read.parquet(str(tmp_path / "pages")))
+    assert walked.rdd.getNumPartitions() >= 4 and {r["h1"] for r in walked.collect()} == {str(i) for i in range(200)}
