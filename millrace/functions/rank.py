@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,11 +145,15 @@ def relative_scores(lists: list[tuple[DataFrame, float]], keys: list[str], by: s
     return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.round(F.sum("_part"), 8).alias("score"))
 
 
+#: Items and questions whose scores are made at once, 8 MB of them.
+TILE = 1024
+
+
 def nearest(vectors: DataFrame, questions: DataFrame, k: int, item: str = "doc_id", question: str = "item_id", vector: str = "embedding", most: int = 4096) -> DataFrame:
     """(question, item, score, rank): the k items of largest cosine for each question, 6 places, ties to the smaller item.
 
-    Questions are broadcast as one matrix, at most `most` at a time (more take more passes); items stay where they are, a
-    batch is one matrix product, and of each batch only the k best for each question go on.
+    Questions are broadcast as one matrix, at most `most` at a time (more take more passes); items stay where they are. A
+    batch is scored in tiles of TILE items and questions, and what is below a question's k-th best so far doesn't go on.
     """
     spark, kinds = vectors.sparkSession, (dict(questions.dtypes)[question], dict(vectors.dtypes)[item])
     asked = questions.select(F.col(question).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
@@ -159,15 +164,21 @@ def nearest(vectors: DataFrame, questions: DataFrame, k: int, item: str = "doc_i
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
+            held = np.full((len(names), k), -np.inf)  # the k best scores of each question so far
             for batch in batches:
                 batch = batch.filter(batch.column(1).is_valid())
-                if not len(batch) or not len(names):
-                    continue
-                ids, score = batch.column(0), np.round(unit(batch.column(1)) @ q.T, 6)
-                order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
-                rank = order[np.argsort(-score[order], axis=0, kind="stable")[:k]]
-                of, at = np.broadcast_to(np.arange(len(names)), rank.shape).ravel(), rank.ravel()
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), ids.take(pa.array(at)), pa.array(score[at, of])], [question, item, "score"])
+                for start in range(0, len(batch) if len(names) else 0, TILE):
+                    rows = batch.slice(start, TILE)
+                    rows = rows.take(pc.sort_indices(rows.column(0)))  # ties go to the smaller item
+                    x = unit(rows.column(1))
+                    for lo in range(0, len(names), TILE):
+                        score = np.round(q[lo : lo + TILE] @ x.T, 6)
+                        rank = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                        top, mine = np.take_along_axis(score, rank, axis=1), held[lo : lo + TILE]
+                        mine[:] = -np.partition(-np.concatenate((mine, top), axis=1), k - 1, axis=1)[:, :k]
+                        of, place = np.nonzero(top >= mine.min(axis=1, keepdims=True))
+                        if len(of):
+                            yield pa.RecordBatch.from_arrays([names.take(pa.array(of + lo)), rows.column(0).take(pa.array(rank[of, place])), pa.array(top[of, place])], [question, item, "score"])
 
         one = vectors.select(item, F.col(vector).cast("array<double>")).mapInArrow(best, f"{question} {kinds[0]}, {item} {kinds[1]}, score double")
         out = one if out is None else out.unionByName(one)
