@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import fresh
+from .frames import fresh, release
 from .kernel import U64, give_back, text_slices, words
 
 
@@ -195,6 +195,7 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, grades: int, sample: in
             blocks.append((np.array([len(c) for c in columns]), np.concatenate(columns).astype(np.int32), np.concatenate(values).astype(np.float32)))
         grade_of = fit.column(0).to_numpy()
         del fit
+        release(spark)  # the driver's Python is at its largest here, so its JVM needn't be
         model = Model(blocks, grade_of, grades, dims)
         del blocks
     shared = spark.sparkContext.broadcast(model)
